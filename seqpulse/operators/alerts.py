@@ -216,15 +216,18 @@ def engagement(
 def _mail_touches(
     cohort: DataFrame, comms: DataFrame, email_msgs: DataFrame, as_of: date, floor: date
 ) -> DataFrame:
-    """The last e-mail of a workflow per member of the cohort, for workflows named after the member's sequence."""
-    sent = snapshot(comms, "comms", as_of, floor).filter("workflow_name IS NOT NULL")
+    """The last e-mail of a workflow per member of the cohort, for workflows named after the member's sequence.
+
+    The receivers have no date; they are cut to the cohort's addresses before anything else is done with them.
+    """
+    sent = snapshot(comms, "comms", as_of, floor).filter("comm_id IS NOT NULL AND workflow_name IS NOT NULL")
     messages = sent.groupBy("comm_id", "workflow_name").agg(F.max("comm_date").alias("touch"))
     receivers = (
-        email_msgs.filter("message_id IS NOT NULL AND pro_email_address IS NOT NULL")
-        .select(F.col("message_id").alias("comm_id"), F.col("pro_email_address").alias("email")).distinct()
+        email_msgs.select(F.col("message_id").alias("comm_id"), F.col("pro_email_address").alias("email"))
+        .filter("comm_id IS NOT NULL").join(cohort.select("email"), "email", "left_semi").distinct()
     )
     received = messages.join(receivers, "comm_id").groupBy("workflow_name", "email").agg(F.max("touch").alias("touch"))
-    bridge = name_bridge(sent, cohort)
+    bridge = name_bridge(messages.filter("touch IS NOT NULL"), cohort)
     return (
         received.join(cohort.select("cadence_id", "email"), "email")
         .join(bridge, ["workflow_name", "cadence_id"], "left_semi")
@@ -254,7 +257,7 @@ def email_baselines(
     checkpoints: DataFrame, comms: DataFrame, as_of: date, cfg: Config = Config(), cadences: DataFrame | None = None
 ) -> DataFrame:
     names = watched_sequences(checkpoints, as_of, cfg) if cadences is None else cadences
-    weekly = weekly_email_volume(comms, names, as_of, _grid_floor(as_of, cfg))
+    weekly = weekly_email_volume(comms, names, as_of, weeks_back(as_of, cfg.n_weeks, include_current=False))
     return _recent(_judge(weekly, ["email_volume"], as_of, cfg), as_of, cfg)
 
 

@@ -22,38 +22,46 @@ def name_bridge(names: DataFrame, cadences: DataFrame) -> DataFrame:
         names.select("workflow_name").filter("workflow_name IS NOT NULL").distinct()
         .withColumn("low", F.lower("workflow_name"))
         .withColumn("first", F.explode(F.sequence(F.lit(1), F.length(low) + 1)))
-        .select("workflow_name", F.explode(
-            F.transform(F.sequence(F.lit(0), F.length(low) - first + 1), lambda n: F.substring(low, first, n))
-        ).alias("piece"))
+        .withColumn("n", F.explode(F.sequence(F.lit(0), F.length(low) - first + 1)))
+        .select("workflow_name", F.substring(low, first, F.col("n")).alias("piece"))
         .distinct()
     )
     wanted = cadences.select("cadence_id").filter("cadence_id IS NOT NULL").distinct()
     return pieces.join(wanted, F.col("piece") == F.lower("cadence_id")).select("workflow_name", "cadence_id")
 
 
+def _per_cadence(counts: DataFrame, cadences: DataFrame, keys: list[str], metric: str) -> DataFrame:
+    """Counts per workflow name as counts per sequence.
+
+    The names come from the counted rows, so that the messages are read and shuffled once for both.
+    """
+    names = counts.filter("n > 0")
+    return (
+        counts.join(name_bridge(names, cadences), "workflow_name")
+        .groupBy("cadence_id", *keys).agg(F.sum("n").alias(metric))
+    )
+
+
 def comms_volume(comms: DataFrame, cadences: DataFrame, as_of: date, floor: date | None = None) -> DataFrame:
-    """Messages per sequence, kind and day. Facts are counted per workflow name before any join."""
+    """Messages per sequence, kind and day. Messages are counted per workflow name before any join."""
     sent = snapshot(comms, "comms", as_of, floor).filter("workflow_name IS NOT NULL")
     daily = (
         sent.groupBy("workflow_name", "comm_type", F.to_date("comm_date").alias("comm_day"))
         .agg(F.count("*").alias("n"))
     )
-    return (
-        daily.join(name_bridge(sent, cadences), "workflow_name")
-        .groupBy("cadence_id", "comm_type", "comm_day").agg(F.sum("n").alias("messages"))
-    )
+    return _per_cadence(daily, cadences, ["comm_type", "comm_day"], "messages")
 
 
-def weekly_email_volume(comms: DataFrame, cadences: DataFrame, as_of: date, floor: date) -> DataFrame:
-    sent = snapshot(comms, "comms", as_of, floor).filter("workflow_name IS NOT NULL AND comm_type = 'email'")
+def weekly_email_volume(comms: DataFrame, cadences: DataFrame, as_of: date, weeks: list[date]) -> DataFrame:
+    """E-mails per sequence in the given weeks."""
+    first, last = F.lit(weeks[0]), F.lit(weeks[-1])
+    sent = snapshot(comms, "comms", as_of, weeks[0]).filter("workflow_name IS NOT NULL AND comm_type = 'email'")
     weekly = (
-        sent.groupBy("workflow_name", F.trunc(F.to_date("comm_date"), "week").alias("week_start"))
-        .agg(F.count("*").alias("n"))
-    )
-    return (
-        weekly.join(name_bridge(sent, cadences), "workflow_name")
-        .groupBy("cadence_id", "week_start").agg(F.sum("n").alias("email_volume"))
+        sent.withColumn("week_start", F.trunc(F.to_date("comm_date"), "week"))
+        .filter(F.col("week_start").between(first, last))
+        .groupBy("workflow_name", "week_start").agg(F.count("*").alias("n"))
     )
+    return _per_cadence(weekly, cadences, ["week_start"], "email_volume")
 
 
 def workflow_coverage(checkpoints: DataFrame, comms: DataFrame) -> DataFrame:

@@ -147,7 +147,7 @@ def diagnose(
     A weekly check counts the weeks that fell by `wow_drop` or more against the week before.
     """
     keys = sequence_names(checkpoints, as_of) if cadences is None else cadences
-    events = seq.starts_and_exits(snapshot(checkpoints, "checkpoints", as_of))
+    events = seq.all_events(snapshot(checkpoints, "checkpoints", as_of))
     people = weekly_people(checkpoints, as_of, cfg, keys)
     worked = weekly_steps(steps, as_of, cfg, keys)
 

@@ -20,15 +20,20 @@ PERSON = ["cadence_id", "email"]
 _NO_EMAIL = "\0"
 
 
-def starts_and_exits(checkpoints: DataFrame) -> DataFrame:
+def _starts_and_exits(checkpoints: DataFrame) -> DataFrame:
     return checkpoints.filter(F.col("cadence_step").isin("Start", "Exit")).select(
         norm_cadence().alias("cadence_id"), "email", "cadence_step", "event_timestamp"
     ).filter(F.col("cadence_id").isNotNull())
 
 
 def external_events(checkpoints: DataFrame, cfg: Config) -> DataFrame:
-    """Starts and exits without internal traffic."""
-    return starts_and_exits(checkpoints).filter(~is_internal(F.col("email"), cfg.internal_domains))
+    """Starts and exits without internal traffic; all of them have an e-mail."""
+    return _starts_and_exits(checkpoints).filter(~is_internal(F.col("email"), cfg.internal_domains))
+
+
+def all_events(checkpoints: DataFrame) -> DataFrame:
+    """All starts and exits, with a stand-in for a missing e-mail, so that the e-mail can be a join key."""
+    return _starts_and_exits(checkpoints).withColumn("email", F.coalesce("email", F.lit(_NO_EMAIL)))
 
 
 def person_state(checkpoints: DataFrame, as_of: date, cfg: Config, before_day: date | None = None) -> DataFrame:
@@ -56,16 +61,17 @@ def person_state(checkpoints: DataFrame, as_of: date, cfg: Config, before_day: d
 def event_sequence(events: DataFrame, cfg: Config, state: DataFrame | None = None) -> DataFrame:
     """Per person and instant: how many starts and exits, and the last start and exit strictly before.
 
-    `events` has cadence_id, email, cadence_step and event_timestamp; `state` carries what happened before the
-    first of them. Both the scan within a slice and the summary of the slices read the same folded rows, whose
-    shuffle Spark then reuses.
+    `events` has cadence_id, email (never NULL), cadence_step and event_timestamp; `state` carries what happened
+    before the first of them. Both the scan within a slice and the summary of the slices read the same folded
+    rows, whose shuffle Spark then reuses.
     """
     ts, step = F.col("event_timestamp"), F.col("cadence_step")
-    time_slice = F.floor(F.unix_seconds(ts) / cfg.slice_seconds)
-    person, sliced = ["cadence_id", "person"], ["cadence_id", "person", "slice"]
+    sliced = [*PERSON, "slice"]
+    # the join below implies that its keys are never NULL; said here, both of its inputs have the same plan
     instants = (
-        events.withColumn("person", F.coalesce("email", F.lit(_NO_EMAIL)))
-        .groupBy("cadence_id", "person", time_slice.alias("slice"), "event_timestamp")
+        events.withColumn("slice", F.floor(F.unix_seconds(ts) / cfg.slice_seconds))
+        .filter("slice IS NOT NULL AND email IS NOT NULL AND cadence_id IS NOT NULL")
+        .groupBy(*sliced, "event_timestamp")
         .agg(F.count_if(step == "Start").alias("n_start"), F.count_if(step == "Exit").alias("n_exit"))
     )
     started, exited = F.when(F.col("n_start") > 0, ts), F.when(F.col("n_exit") > 0, ts)
@@ -77,23 +83,20 @@ def event_sequence(events: DataFrame, cfg: Config, state: DataFrame | None = Non
     )
 
     slices = instants.groupBy(*sliced).agg(F.max(started).alias("last_start"), F.max(exited).alias("last_exit"))
-    earlier_slices = Window.partitionBy(*person).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    earlier_slices = Window.partitionBy(*PERSON).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = slices.select(
         *sliced,
         F.max("last_start").over(earlier_slices).alias("start_carried"),
         F.max("last_exit").over(earlier_slices).alias("exit_carried"),
     )
     if state is not None:
-        history = state.select(
-            "cadence_id", F.coalesce("email", F.lit(_NO_EMAIL)).alias("person"), "start_before", "exit_before"
-        )
-        carried = carried.join(history, person, "left").select(
+        carried = carried.join(state.select(*PERSON, "start_before", "exit_before"), PERSON, "left").select(
             *sliced,
             F.coalesce("start_carried", "start_before").alias("start_carried"),
             F.coalesce("exit_carried", "exit_before").alias("exit_carried"),
         )
     return within.join(carried, sliced).select(
-        "cadence_id", F.nullif("person", F.lit(_NO_EMAIL)).alias("email"), "event_timestamp", "n_start", "n_exit",
+        *PERSON, "event_timestamp", "n_start", "n_exit",
         F.coalesce("start_within", "start_carried").alias("prev_start_ts"),
         F.coalesce("exit_within", "exit_carried").alias("prev_exit_ts"),
     )
@@ -107,7 +110,7 @@ def _repeat(event: str) -> tuple[Column, Column, Column]:
     """
     other = "exit" if event == "start" else "start"
     count, previous, separator = F.col(f"n_{event}"), F.col(f"prev_{event}_ts"), F.col(f"prev_{other}_ts")
-    unseparated = F.col("email").isNull() | separator.isNull() | (separator <= previous)
+    unseparated = (F.col("email") == _NO_EMAIL) | separator.isNull() | (separator <= previous)
     return count, previous, (count > 0) & previous.isNotNull() & unseparated
 
 
@@ -130,18 +133,20 @@ def double_events(events: DataFrame, cfg: Config, event: str, state: DataFrame |
         F.struct(now.alias(f"prev_{event}_ts"), F.greatest(count - 1, F.lit(0)).alias("copies")),
     )
     return (
-        sequence.select("cadence_id", "email", now.alias(f"this_{event}_ts"), F.inline(pairs))
+        sequence.select(
+            "cadence_id", F.nullif("email", F.lit(_NO_EMAIL)).alias("email"), now.alias(f"this_{event}_ts"), F.inline(pairs)
+        )
         .filter("copies > 0")
     )
 
 
 def double_starts(checkpoints: DataFrame, as_of: date, cfg: Config = Config()) -> DataFrame:
     """All second starts of the whole history, all domains."""
-    return double_events(starts_and_exits(snapshot(checkpoints, "checkpoints", as_of)), cfg, "start")
+    return double_events(all_events(snapshot(checkpoints, "checkpoints", as_of)), cfg, "start")
 
 
 def double_exits(checkpoints: DataFrame, as_of: date, cfg: Config = Config()) -> DataFrame:
-    return double_events(starts_and_exits(snapshot(checkpoints, "checkpoints", as_of)), cfg, "exit")
+    return double_events(all_events(snapshot(checkpoints, "checkpoints", as_of)), cfg, "exit")
 
 
 def doubles_by_cadence(
@@ -168,7 +173,7 @@ def _count_doubles(sequence: DataFrame) -> DataFrame:
         F.sum("n_start").alias("starts"), F.sum("n_exit").alias("exits"),
         F.sum(repeats("start")).alias("double_starts"), F.sum(repeats("exit")).alias("double_exits"),
     )
-    named = F.col("email").isNotNull()
+    named = F.col("email") != _NO_EMAIL
     return per_person.groupBy("cadence_id").agg(
         F.sum("starts").alias("total_starts"), F.sum("exits").alias("total_exits"),
         F.sum("double_starts").alias("double_starts"), F.sum("double_exits").alias("double_exits"),
@@ -201,7 +206,7 @@ def stuck(checkpoints: DataFrame, as_of: date, cfg: Config = Config()) -> DataFr
     # an exit without an e-mail belongs to nobody
     left = F.when((step == "Exit") & F.col("email").isNotNull(), ts)
     return (
-        starts_and_exits(snapshot(checkpoints, "checkpoints", as_of))
+        _starts_and_exits(snapshot(checkpoints, "checkpoints", as_of))
         .groupBy(*PERSON)
         .agg(F.min(F.when(step == "Start", ts)).alias("start_ts"),
              F.min(left).alias("first_exit"), F.max(left).alias("last_exit"))
