@@ -17,6 +17,7 @@ def spark():
         SparkSession.builder.master("local[8]").appName("tests")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.default.parallelism", "2")
         .config("spark.driver.memory", "6g")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
