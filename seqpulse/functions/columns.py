@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seqpulse.config import Config
 
@@ -83,6 +83,8 @@ def ratio(numerator: Column, denominator: Column, digits: int = 4) -> Column:
     return F.round(numerator / F.nullif(denominator, F.lit(0)), digits)
 
 
-def spread_null(key: Column, *salt: str | Column) -> Column:
+def spread_null(df: DataFrame, key: str) -> Column:
     """A join key whose NULLs land in many partitions instead of one. The stand-ins match no real key."""
-    return F.coalesce(key, F.concat(F.lit("\0"), F.pmod(F.xxhash64(*salt), F.lit(4096)).cast("string")))
+    salt = [c for c in ("email", "event_timestamp", "entry_timestamp") if c in df.columns] or [F.lit(0)]
+    stand_in = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*salt), F.lit(4096)).cast("string"))
+    return F.coalesce(F.col(key), stand_in)

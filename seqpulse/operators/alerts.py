@@ -216,23 +216,22 @@ def engagement(
 def _mail_touches(
     cohort: DataFrame, comms: DataFrame, email_msgs: DataFrame, as_of: date, floor: date
 ) -> DataFrame:
-    """The last e-mail of a workflow per member of the cohort, for workflows named after the member's sequence.
+    """Times of e-mails to members of the cohort, from workflows named after the member's sequence.
 
-    The receivers have no date; they are cut to the cohort's addresses before anything else is done with them.
+    Messages are brought to one row per id and sequence, receivers to the members they concern; the two then meet
+    on id and sequence, so that a message id with many workflows and many receivers does not multiply.
     """
     sent = snapshot(comms, "comms", as_of, floor).filter("comm_id IS NOT NULL AND workflow_name IS NOT NULL")
     messages = sent.groupBy("comm_id", "workflow_name").agg(F.max("comm_date").alias("touch"))
+    by_sequence = (
+        messages.join(name_bridge(messages.filter("touch IS NOT NULL"), cohort), "workflow_name")
+        .groupBy("comm_id", "cadence_id").agg(F.max("touch").alias("touch"))
+    )
     receivers = (
         email_msgs.select(F.col("message_id").alias("comm_id"), F.col("pro_email_address").alias("email"))
-        .filter("comm_id IS NOT NULL").join(cohort.select("email"), "email", "left_semi").distinct()
-    )
-    received = messages.join(receivers, "comm_id").groupBy("workflow_name", "email").agg(F.max("touch").alias("touch"))
-    bridge = name_bridge(messages.filter("touch IS NOT NULL"), cohort)
-    return (
-        received.join(cohort.select("cadence_id", "email"), "email")
-        .join(bridge, ["workflow_name", "cadence_id"], "left_semi")
-        .select("cadence_id", "email", "touch")
+        .filter("comm_id IS NOT NULL").join(cohort.select("cadence_id", "email"), "email")
     )
+    return receivers.join(by_sequence, ["comm_id", "cadence_id"]).select("cadence_id", "email", "touch")
 
 
 def low_engagement(

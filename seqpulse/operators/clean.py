@@ -89,7 +89,7 @@ def is_lost(cfg: Config) -> Column:
 def exclude_lost(df: DataFrame, leads: DataFrame, cfg: Config, key: str = "lead_id") -> DataFrame:
     """Rows whose lead is not lost. Rows without a lead id stay."""
     lost = leads.filter(is_lost(cfg)).select(F.col("id").alias("_lead")).distinct()
-    keyed = df.withColumn("_lead", spread_null(F.col(key), *df.columns))
+    keyed = df.withColumn("_lead", spread_null(df, key))
     return keyed.join(lost, "_lead", "left_anti").drop("_lead")
 
 
@@ -100,7 +100,7 @@ def with_lost_reason(df: DataFrame, leads: DataFrame, cfg: Config, key: str = "l
         "_lead", F.col("l.status").alias("status"), F.col("l.lost_lead_reason__c").alias("lost_lead_reason__c")
     ).withColumn("is_lost", is_lost(cfg))
     return (
-        df.withColumn("_lead", spread_null(F.col(key), *df.columns))
+        df.withColumn("_lead", spread_null(df, key))
         .join(known, "_lead", "left").drop("_lead")
         .withColumnsRenamed({"status": "lead_status", "lost_lead_reason__c": "lost_lead_reason"})
         .withColumn("is_lost", F.coalesce("is_lost", F.lit(False)))

@@ -50,7 +50,7 @@ def resolve_account(df: DataFrame, account_map: DataFrame, key: str = "user_id")
         .select("_pro", "m.organization_id", "m.account_id")
     )
     return (
-        df.withColumn("_pro", spread_null(F.col(key), *df.columns))
+        df.withColumn("_pro", spread_null(df, key))
         .join(one_each, "_pro", "left").drop("_pro")
     )
 

@@ -25,6 +25,18 @@ MEASURES = [
 ]
 
 
+_PERSON = ["unique_id", "cadence_id"]
+_NOBODY = "\0"  # rows without any id form one person
+
+
+def _is_entry() -> Column:
+    return F.col("cadence_step").isin("Start", "Test")
+
+
+def _is_exit() -> Column:
+    return F.col("cadence_step") == "Exit"
+
+
 def _rep_fields(df: DataFrame) -> list[Column]:
     return [F.col(c).cast("string").alias(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in REP_FIELDS]
 
@@ -45,52 +57,75 @@ def checkpoint_facts(checkpoints: DataFrame, cfg: Config = Config()) -> DataFram
     )
 
 
+def _first_and_exit_times(events: DataFrame, cfg: Config) -> DataFrame:
+    """Time of the first entry per person and sequence, and of the first exit at or after it.
+
+    The exit depends on the entry, so instants are first folded per slice of time: within the slice of the first
+    entry only exits from that entry on count, later slices give their earliest exit. A person with very many
+    events is spread over many groups, and only numbers are shuffled.
+    """
+    ts = F.col("event_timestamp")
+    sliced = [*_PERSON, "slice"]
+    instants = (
+        events.withColumn("slice", F.floor(F.unix_seconds(ts) / cfg.slice_seconds))
+        .groupBy(*sliced, "event_timestamp")
+        .agg(F.max(F.when(_is_entry(), ts)).alias("entered"), F.max(F.when(_is_exit(), ts)).alias("left"))
+    )
+    slice_entry = F.min("entered").over(Window.partitionBy(*sliced))
+    slices = (
+        instants.withColumn("slice_entry", slice_entry).groupBy(*sliced)
+        .agg(
+            F.min("entered").alias("entered"),
+            F.min(F.when(F.col("left") >= F.col("slice_entry"), F.col("left"))).alias("left_after"),
+            F.min("left").alias("left_any"),
+        )
+    )
+    entry_slice = F.min(F.when(F.col("entered").isNotNull(), F.col("slice"))).over(Window.partitionBy(*_PERSON))
+    here, later = F.col("slice") == F.col("entry_slice"), F.col("slice") > F.col("entry_slice")
+    return (
+        slices.withColumn("entry_slice", entry_slice).groupBy(*_PERSON)
+        .agg(F.min("entered").alias("entry_timestamp"),
+             F.min(F.when(here, F.col("left_after")).when(later, F.col("left_any"))).alias("exit_timestamp"))
+        .filter("entry_timestamp IS NOT NULL")
+    )
+
+
 def entries(
     checkpoints: DataFrame, account_map: DataFrame, as_of: date, cfg: Config = Config()
 ) -> DataFrame:
     """First entry (treated or held out) per person and sequence, with the first exit at or after it.
 
-    Minima of structs replace a ranking window. The exit depends on the entry, so events are first folded per
-    slice of time: within the slice of the first entry only exits from that entry on count, later slices give
-    their earliest exit. A person with very many events is thus spread over many groups.
+    The two times are found on narrow rows; the attributes are then fetched from the events at exactly these
+    times. Events that tie are decided by their attributes, so that a rerun gives the same row.
     """
-    ts, step = F.col("event_timestamp"), F.col("cadence_step")
-    person, sliced = ["unique_id", "cadence_id"], ["unique_id", "cadence_id", "slice"]
-    about = ["cadence_step", "entry_group", "workflow_id", "email", "lead_id", "user_id", "anonymous_id",
-             "object_record_id", *REP_FIELDS]
-    is_entry, is_exit = step.isin("Start", "Test"), step == "Exit"
     events = (
-        snapshot(checkpoints, "checkpoints", as_of).filter(is_entry | is_exit)
-        .select(
-            unique_id().alias("unique_id"), norm_cadence().alias("cadence_id"), ts,
-            F.floor(F.unix_seconds(ts) / cfg.slice_seconds).alias("slice"),
-            F.when(is_entry, F.struct(*about[:8], *_rep_fields(checkpoints))).alias("entry"),
-            F.when(is_exit, F.struct(F.col("cadence_step_value").alias("exit_group"))).alias("exit"),
-        )
+        snapshot(checkpoints, "checkpoints", as_of)
+        .filter(F.col("cadence_step").isin("Start", "Test", "Exit") & F.col("cadence_id").isNotNull())
+        .withColumns({"unique_id": F.coalesce(unique_id(), F.lit(_NOBODY)), "cadence_id": norm_cadence()})
     )
-    instants = events.groupBy(*sliced, "event_timestamp").agg(F.min("entry").alias("entry"), F.min("exit").alias("exit"))
-    entered = F.when(F.col("entry").isNotNull(), ts)
-    left = F.when(F.col("exit").isNotNull(), F.struct("event_timestamp", "exit"))
-    first_in_slice = F.min(entered).over(Window.partitionBy(*sliced))
-    slices = (
-        instants.withColumn("entered", first_in_slice).groupBy(*sliced)
-        .agg(
-            F.min(F.when(F.col("entry").isNotNull(), F.struct("event_timestamp", "entry"))).alias("first"),
-            F.min(F.when(ts >= F.col("entered"), left)).alias("exit_from_entry"),
-            F.min(left).alias("exit_any"),
-        )
+    times = _first_and_exit_times(events.select(*_PERSON, "cadence_step", "event_timestamp"), cfg)
+    wanted = times.select(
+        *_PERSON, F.col("entry_timestamp").alias("event_timestamp"), F.lit(True).alias("at_entry")
+    ).unionByName(
+        times.filter("exit_timestamp IS NOT NULL")
+        .select(*_PERSON, F.col("exit_timestamp").alias("event_timestamp"), F.lit(False).alias("at_entry"))
     )
-    entry_slice = F.min(F.when(F.col("first").isNotNull(), F.col("slice"))).over(Window.partitionBy(*person))
+    attributes = ["cadence_step", "entry_group", "workflow_id", "email", "lead_id", "user_id", "anonymous_id",
+                  "object_record_id"]
     found = (
-        slices.withColumn("entry_slice", entry_slice).groupBy(*person)
+        events.select(*_PERSON, "event_timestamp", "cadence_step_value", *attributes, *_rep_fields(checkpoints))
+        .join(wanted, [*_PERSON, "event_timestamp"])
+        .filter(F.when(F.col("at_entry"), _is_entry()).otherwise(_is_exit()))
+        .groupBy(*_PERSON)
         .agg(
-            F.min("first").alias("first"),
-            F.min(F.when(F.col("slice") == F.col("entry_slice"), F.col("exit_from_entry"))
-                  .when(F.col("slice") > F.col("entry_slice"), F.col("exit_any"))).alias("left"),
+            F.min(F.when(F.col("at_entry"), F.struct("event_timestamp", *attributes, *REP_FIELDS))).alias("entry"),
+            F.min(F.when(~F.col("at_entry"), F.struct("event_timestamp", "cadence_step_value"))).alias("exit"),
+        )
+        .select(
+            F.nullif("unique_id", F.lit(_NOBODY)).alias("unique_id"), "cadence_id", "entry.*",
+            F.col("exit.event_timestamp").alias("exit_timestamp"), F.col("exit.cadence_step_value").alias("exit_group"),
         )
-        .filter("first IS NOT NULL")
-        .select(*person, F.col("first.event_timestamp").alias("entry_timestamp"), "first.entry.*",
-                F.col("left.event_timestamp").alias("exit_timestamp"), F.col("left.exit.exit_group").alias("exit_group"))
+        .withColumnRenamed("event_timestamp", "entry_timestamp")
     )
     return (
         resolve_account(found, account_map).drop("organization_id")
