@@ -149,16 +149,20 @@ def staleness(feed: DataFrame, today: date, cfg: Config = Config()) -> DataFrame
     )
 
 
-def upsert(history: DataFrame, new: DataFrame, run_column: str = "run_date") -> DataFrame:
-    """Feed history with one row per id: the one of the latest run."""
-    both = history.unionByName(new)
-    rest = [c for c in both.columns if c not in ("id", run_column)]
+def freshest(history: DataFrame, run_column: str = "run_date") -> DataFrame:
+    """One row per id: the one of the latest run."""
+    rest = [c for c in history.columns if c not in ("id", run_column)]
     return (
-        both.groupBy("id").agg(F.max(F.struct(run_column, *rest)).alias("r"))
-        .select(*[F.col(f"r.{c}").alias(c) if c != "id" else F.col("id") for c in both.columns])
+        history.groupBy("id").agg(F.max(F.struct(run_column, *rest)).alias("r"))
+        .select(*[F.col("id") if c == "id" else F.col(f"r.{c}").alias(c) for c in history.columns])
     )
 
 
+def upsert(history: DataFrame, new: DataFrame, run_column: str = "run_date") -> DataFrame:
+    """Feed history after a run: known ids are replaced, new ones added."""
+    return freshest(history.unionByName(new), run_column)
+
+
 # ledger -------------------------------------------------------------------------------------------
 
 def ledger_key() -> Column:

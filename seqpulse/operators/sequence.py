@@ -36,26 +36,54 @@ def all_events(checkpoints: DataFrame) -> DataFrame:
     return _starts_and_exits(checkpoints).withColumn("email", F.coalesce("email", F.lit(_NO_EMAIL)))
 
 
+STATE = ["start_before", "exit_before", "recent_start", "first_exit", "last_exit"]
+
+
+def _state_columns(as_of: date, cfg: Config, before_day: date | None = None) -> dict[str, Column]:
+    ts, step = F.col("event_timestamp"), F.col("cadence_step")
+    before = ts < at(before_day or as_of - timedelta(days=cfg.double_days))
+    recent = ts >= at(as_of - timedelta(days=cfg.stuck_window))
+    return {
+        "start_before": F.when((step == "Start") & before, ts),
+        "exit_before": F.when((step == "Exit") & before, ts),
+        "recent_start": F.when((step == "Start") & recent, ts),
+        "first_exit": F.when(step == "Exit", ts),
+        "last_exit": F.when(step == "Exit", ts),
+    }
+
+
+def _fold_state(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*PERSON).agg(
+        F.max("start_before").alias("start_before"), F.max("exit_before").alias("exit_before"),
+        F.min("recent_start").alias("recent_start"),
+        F.min("first_exit").alias("first_exit"), F.max("last_exit").alias("last_exit"),
+    )
+
+
 def person_state(checkpoints: DataFrame, as_of: date, cfg: Config, before_day: date | None = None) -> DataFrame:
     """One row per sequence and person: all that checks 2-4 need from the whole history.
 
     `start_before` and `exit_before` are the last ones before `before_day`, by default the first of the trailing
     days of checks 2 and 3. A single pass with map-side combine; a batch run stores it once for all checks.
     """
-    ts, step = F.col("event_timestamp"), F.col("cadence_step")
-    before = ts < at(before_day or as_of - timedelta(days=cfg.double_days))
-    recent = ts >= at(as_of - timedelta(days=cfg.stuck_window))
-    return (
-        external_events(snapshot(checkpoints, "checkpoints", as_of), cfg)
-        .groupBy(*PERSON)
-        .agg(
-            F.max(F.when((step == "Start") & before, ts)).alias("start_before"),
-            F.max(F.when((step == "Exit") & before, ts)).alias("exit_before"),
-            F.min(F.when((step == "Start") & recent, ts)).alias("recent_start"),
-            F.min(F.when(step == "Exit", ts)).alias("first_exit"),
-            F.max(F.when(step == "Exit", ts)).alias("last_exit"),
-        )
-    )
+    events = external_events(snapshot(checkpoints, "checkpoints", as_of), cfg)
+    return _fold_state(events.select(*PERSON, *[e.alias(c) for c, e in _state_columns(as_of, cfg, before_day).items()]))
+
+
+def advance_state(
+    previous: DataFrame, checkpoints: DataFrame, previous_day: date, as_of: date, cfg: Config
+) -> DataFrame:
+    """The state of `as_of` from a stored one of an earlier day and the events since.
+
+    All but `recent_start` only ever grow to a later maximum or an earlier minimum, so that events met twice do no
+    harm; `recent_start` is taken anew from its window. The scan is floored at the older of the window and the
+    days the stored state had not closed yet. Events that arrive after their day need a state from the history.
+    """
+    floor = min(previous_day - timedelta(days=cfg.double_days), as_of - timedelta(days=cfg.stuck_window))
+    events = external_events(snapshot(checkpoints, "checkpoints", as_of, floor), cfg)
+    fresh = events.select(*PERSON, *[e.alias(c) for c, e in _state_columns(as_of, cfg).items()])
+    kept = previous.select(*PERSON, *STATE).withColumn("recent_start", F.lit(None).cast("timestamp"))
+    return _fold_state(kept.unionByName(fresh))
 
 
 def event_sequence(events: DataFrame, cfg: Config, state: DataFrame | None = None) -> DataFrame:

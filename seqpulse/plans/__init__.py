@@ -1,3 +1,3 @@
-from seqpulse.plans.batch import run_alerts, run_marts
+from seqpulse.plans.batch import run_alerts, run_digest, run_marts
 
-__all__ = ["run_alerts", "run_marts"]
+__all__ = ["run_alerts", "run_digest", "run_marts"]

@@ -1,27 +1,64 @@
-"""The two batch jobs. Their only output is tables."""
+"""The batch jobs. Their only output is tables."""
 
 from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqpulse.config import Config
 from seqpulse.operators import feed as feeds, marts, sequence
 from seqpulse.session import configure, durable
-from seqpulse.sources import Tables, write_feed, write_mart
+from seqpulse.sources import Tables, read_feed, write_feed, write_mart
 
 
-def run_alerts(spark: SparkSession, tables: Tables, as_of: date, cfg: Config, out: str) -> DataFrame:
+def run_alerts(
+    spark: SparkSession, tables: Tables, as_of: date, cfg: Config, out: str, previous_day: date | None = None
+) -> DataFrame:
     """All nine checks into the feed folder of this run.
 
-    The event history is read once into the per-person state, which checks 2-4 share from stable storage. Running
-    a day again replaces its folder.
+    The per-person state is written first and shared by checks 2-4. With `previous_day`, the state of that run is
+    carried forward, so that a daily run reads months of events instead of the whole history. Running a day again
+    replaces its own folders only.
     """
     configure(spark)
-    state = durable(sequence.person_state(tables.checkpoints, as_of, cfg))
-    write_feed(feeds.alert_feed(tables, as_of, cfg, state), f"{out}/alert_feed", as_of)
-    return spark.read.parquet(f"{out}/alert_feed")
+    if previous_day is None:
+        state = sequence.person_state(tables.checkpoints, as_of, cfg)
+    else:
+        previous = spark.read.parquet(_state_folder(out, previous_day))
+        state = sequence.advance_state(previous, tables.checkpoints, previous_day, as_of, cfg)
+    state.write.mode("overwrite").parquet(_state_folder(out, as_of))
+    stored = spark.read.parquet(_state_folder(out, as_of))
+    write_feed(feeds.alert_feed(tables, as_of, cfg, stored), f"{out}/alert_feed", as_of)
+    return read_feed(spark, f"{out}/alert_feed")
+
+
+def _state_folder(out: str, day: date) -> str:
+    return f"{out}/person_state/as_of={day.isoformat()}"
+
+
+def run_digest(spark: SparkSession, today: date, cfg: Config, out: str, ledger: DataFrame | None = None) -> None:
+    """The tables a sender needs, from the stored feed: messages, digest, overview, offenders, freshness, ledger.
+
+    The feed holds alerts only and is small; it is brought to one row per id by its latest run first.
+    """
+    configure(spark)
+    history = read_feed(spark, f"{out}/alert_feed").filter(F.col("run_date") <= F.lit(today))
+    current = history.filter(F.col("run_date") == F.lit(today)).drop("run_date")
+    latest = durable(feeds.freshest(history).drop("run_date"))
+    period = feeds.digest_period(latest, today)
+    results = {
+        "urgent_messages": feeds.urgent_messages(current),
+        "digest_message": feeds.digest_message(latest, today),
+        "check_overview": feeds.check_overview(period),
+        "top_by_severity": feeds.top_by_severity(period),
+        "repeat_offenders": feeds.repeat_offenders(period),
+        "staleness": feeds.staleness(latest, today, cfg),
+    }
+    if ledger is not None:
+        results["actions"] = feeds.reconcile(feeds.route(current).filter("tier = 'urgent'"), ledger, today)
+    for name, df in results.items():
+        df.write.mode("overwrite").parquet(f"{out}/digest/{name}/run_date={today.isoformat()}")
 
 
 def run_marts(spark: SparkSession, tables: Tables, as_of: date, cfg: Config, out: str) -> None:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from seqpulse.sources.schema import SCHEMAS
 
 
 def write_mart(df: DataFrame, path: str, date_column: str | None = None, mode: str = "overwrite") -> None:
@@ -26,11 +28,14 @@ def write_mart(df: DataFrame, path: str, date_column: str | None = None, mode: s
 
 
 def write_feed(feed: DataFrame, path: str, run_date: date) -> None:
-    """One folder per run; writing a run again replaces that run only."""
-    (
-        feed.withColumn("run_date", F.lit(run_date))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(path)
-    )
+    """One folder per run; writing a run again replaces that run, also when it now finds nothing."""
+    feed.write.mode("overwrite").parquet(f"{path}/run_date={run_date.isoformat()}")
+
+
+def read_feed(spark: SparkSession, path: str) -> DataFrame:
+    """The feed of all runs, with the day of each."""
+    schema = T.StructType([*SCHEMAS["alert_feed"].fields, T.StructField("run_date", T.DateType())])
+    return spark.read.schema(schema).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -132,3 +132,18 @@ def test_daily_baseline(cp):
     found = alerts.double_baseline(cp(*rows, *spike), DAY, "start", CFG).collect()
     assert [(r.day, r.doubles) for r in found] == [(DAY, 22)]
     assert alerts.double_baseline(cp(*rows), DAY, "start", CFG).count() == 0
+
+
+def test_state_carried_from_day_to_day(cp):
+    """A state advanced in uneven steps is the state built from the whole history."""
+    events = [e for e in random_events(9, n=800) if e[1] is not None]
+    cfg = replace(CFG, stuck_window=10)
+    df = cp(*events)
+    day = date(2024, 5, 6)
+    state = sequence.person_state(df, day, cfg)
+    for step in (1, 9, 14):
+        following = day + timedelta(days=step)
+        state = sequence.advance_state(state, df, day, following, cfg)
+        day = following
+        whole = sequence.person_state(df, day, cfg)
+        assert sorted(map(str, state.collect())) == sorted(map(str, whole.select(state.columns).collect()))

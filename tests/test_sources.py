@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from fixtures import project as p
 from fixtures.project import AS_OF, CONFIG, LOW_VOLUME
-from seqpulse import Tables
 from seqpulse.operators import feed as feeds
-from seqpulse.plans import run_alerts, run_marts
+from seqpulse.plans import run_alerts, run_digest, run_marts
 from seqpulse.session import durable
-from seqpulse.sources import SCHEMAS, conform, read_tables, snapshot, validate, write_csv, write_feed
+from seqpulse.sources import SCHEMAS, conform, read_feed, read_tables, snapshot, validate, write_csv, write_feed
 
 SF = "/root/testdata/sf0.001"
 NAMES = ("checkpoints", "steps", "comms", "email_msgs", "activity", "eligible", "leads", "account_map", "changes")
@@ -67,18 +66,41 @@ def test_alert_job_replaces_its_own_run_only(spark, stored, tmp_path):
     tables = read_tables(spark, stored)
     out = str(tmp_path)
     run_alerts(spark, tables, AS_OF, LOW_VOLUME, out)
-    run_alerts(spark, tables, AS_OF + timedelta(days=1), LOW_VOLUME, out)
+    run_alerts(spark, tables, AS_OF + timedelta(days=1), LOW_VOLUME, out, previous_day=AS_OF)
     again = run_alerts(spark, tables, AS_OF, LOW_VOLUME, out)
     per_run = {r.run_date: r["count"] for r in again.groupBy("run_date").count().collect()}
     assert set(per_run) == {AS_OF, AS_OF + timedelta(days=1)}
     direct = feeds.alert_feed(tables, AS_OF, LOW_VOLUME)
     assert per_run[AS_OF] == direct.count() == direct.select("id").distinct().count() > 0
+    tomorrow = feeds.alert_feed(tables, AS_OF + timedelta(days=1), LOW_VOLUME)
+    carried = again.filter(F.col("run_date") > F.lit(AS_OF)).drop("run_date")
+    assert sorted(map(str, carried.collect())) == sorted(map(str, tomorrow.collect()))
     history = feeds.upsert(again.filter(F.col("run_date") == F.lit(AS_OF)), again.filter(F.col("run_date") != F.lit(AS_OF)))
     assert history.count() == again.select("id").distinct().count()
 
 
-def test_empty_feed_can_be_written(spark, make, tmp_path):
-    write_feed(make("alert_feed", []), f"{tmp_path}/feed", date(2024, 6, 5))
+def test_digest_job(spark, make, tmp_path):
+    day = date(2024, 6, 5)
+    base = {"check_name": "Double Starts", "check_number": 2, "detail": "d", "metric_value": 0.5, "reference_value": 0.1}
+    rows = [{**base, "id": f"2|S{i}|{day}", "cadence_id": f"S{i}", "as_of": day} for i in range(2)]
+    write_feed(make("alert_feed", rows), f"{tmp_path}/alert_feed", day)
+    ledger = make("alert_ledger", [{"check_number": 2, "cadence_id": "S0", "key": "", "thread": "t"}])
+    run_digest(spark, day, CONFIG, str(tmp_path), ledger)
+    def read(name):
+        return spark.read.parquet(f"{tmp_path}/digest/{name}/run_date={day}")
+    assert {r.cadence_id: r.action for r in read("actions").collect()} == {"S0": "reply", "S1": "post"}
+    assert "1 of the 9 checks flagged: Double Starts" in read("digest_message").first().message
+    assert read("urgent_messages").count() == 2 and read("check_overview").count() == 9
+    assert read("staleness").first().is_stale is False
+
+
+def test_an_empty_run_replaces_an_earlier_one(spark, make, tmp_path):
+    day = date(2024, 6, 5)
+    row = {"id": "1", "check_number": 1, "check_name": "x", "as_of": day}
+    write_feed(make("alert_feed", [row]), f"{tmp_path}/feed", day)
+    assert read_feed(spark, f"{tmp_path}/feed").first().run_date == day
+    write_feed(make("alert_feed", []), f"{tmp_path}/feed", day)
+    assert read_feed(spark, f"{tmp_path}/feed").count() == 0
 
 
 def test_mart_job(spark, stored, tmp_path):
