@@ -104,12 +104,10 @@ def entries(
         .withColumns({"unique_id": F.coalesce(unique_id(), F.lit(_NOBODY)), "cadence_id": norm_cadence()})
     )
     times = _first_and_exit_times(events.select(*_PERSON, "cadence_step", "event_timestamp"), cfg)
-    wanted = times.select(
-        *_PERSON, F.col("entry_timestamp").alias("event_timestamp"), F.lit(True).alias("at_entry")
-    ).unionByName(
-        times.filter("exit_timestamp IS NOT NULL")
-        .select(*_PERSON, F.col("exit_timestamp").alias("event_timestamp"), F.lit(False).alias("at_entry"))
-    )
+    wanted = times.select(*_PERSON, F.inline(F.array(
+        F.struct(F.col("entry_timestamp").alias("event_timestamp"), F.lit(True).alias("at_entry")),
+        F.struct(F.col("exit_timestamp").alias("event_timestamp"), F.lit(False).alias("at_entry")),
+    ))).filter("event_timestamp IS NOT NULL")
     attributes = ["cadence_step", "entry_group", "workflow_id", "email", "lead_id", "user_id", "anonymous_id",
                   "object_record_id"]
     found = (
