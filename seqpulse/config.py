@@ -20,7 +20,7 @@ class Config:
     user_prefixes: tuple[str, ...] = ("Post-Enroll",)
     organisation_prefixes: tuple[str, ...] = ("Demo Attendance",)
 
-    # vocabulary
+    # The words the source tables use.
     break_substring: str = "cadence break"
     fold_status: bool = False
     step_type: str = "Call attempt"

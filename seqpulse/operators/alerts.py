@@ -243,29 +243,30 @@ def low_engagement(
 
 # 9 ------------------------------------------------------------------------------------------------
 
-def watched_sequences(checkpoints: DataFrame, as_of: date, cfg: Config) -> DataFrame:
-    """Sequences that ever started or ended somebody and whose name has one of the watched prefixes."""
+def active_names(checkpoints: DataFrame, as_of: date, floor: date | None = None) -> DataFrame:
+    """Sequences that ever (or since `floor`) started or ended somebody."""
     return (
-        snapshot(checkpoints, "checkpoints", as_of).filter(F.col("cadence_step").isin("Start", "Exit"))
-        .select(norm_cadence().alias("cadence_id"))
-        .filter(starts_with_any(F.col("cadence_id"), cfg.name_prefixes)).distinct()
+        snapshot(checkpoints, "checkpoints", as_of, floor).filter(F.col("cadence_step").isin("Start", "Exit"))
+        .select(norm_cadence().alias("cadence_id")).filter("cadence_id IS NOT NULL").distinct()
     )
 
 
 def email_baselines(
-    checkpoints: DataFrame, comms: DataFrame, as_of: date, cfg: Config = Config(), cadences: DataFrame | None = None
+    checkpoints: DataFrame, comms: DataFrame, as_of: date, cfg: Config = Config(), names: DataFrame | None = None
 ) -> DataFrame:
-    names = watched_sequences(checkpoints, as_of, cfg) if cadences is None else cadences
-    weekly = weekly_email_volume(comms, names, as_of, weeks_back(as_of, cfg.n_weeks, include_current=False))
+    """Weekly e-mail volume of the sequences with a watched prefix; `names` saves the pass that lists them."""
+    listed = active_names(checkpoints, as_of) if names is None else names
+    watched = listed.filter(starts_with_any(F.col("cadence_id"), cfg.name_prefixes))
+    weekly = weekly_email_volume(comms, watched, as_of, weeks_back(as_of, cfg.n_weeks, include_current=False))
     return _recent(_judge(weekly, ["email_volume"], as_of, cfg), as_of, cfg)
 
 
 def email_volume(
-    checkpoints: DataFrame, comms: DataFrame, as_of: date, cfg: Config = Config(), cadences: DataFrame | None = None
+    checkpoints: DataFrame, comms: DataFrame, as_of: date, cfg: Config = Config(), names: DataFrame | None = None
 ) -> DataFrame:
     """Weeks in which the e-mail volume fell or rose by two deviations or more; a flat series does both."""
     flags = {"drop_flag": is_drop("email_volume", cfg), "spike_flag": is_spike("email_volume", cfg)}
-    judged = email_baselines(checkpoints, comms, as_of, cfg, cadences).withColumns(flags)
+    judged = email_baselines(checkpoints, comms, as_of, cfg, names).withColumns(flags)
     return judged.filter("drop_flag OR spike_flag").select(
         "cadence_id", "week_start", "email_volume", *_rounded("email_volume"), *flags
     )

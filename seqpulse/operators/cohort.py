@@ -58,10 +58,10 @@ def test_vs_control(cohort: DataFrame, horizon: int = 60, by: str | None = None)
     )
 
     def compared(m: str) -> Column:
-        t = F.col(f"{m}_t") / F.nullif("treatment_entries", F.lit(0))
-        c = F.col(f"{m}_c") / F.nullif("control_entries", F.lit(0))
+        t = ratio(F.col(f"{m}_t"), F.col("treatment_entries"))
+        c = ratio(F.col(f"{m}_c"), F.col("control_entries"))
         return F.struct(
-            F.lit(m).alias("measure"), F.round(t, 4).alias("treatment_mean"), F.round(c, 4).alias("control_mean"),
+            F.lit(m).alias("measure"), t.alias("treatment_mean"), c.alias("control_mean"),
             F.round(t - c, 4).alias("difference"),
         )
 

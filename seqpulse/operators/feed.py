@@ -66,13 +66,13 @@ def _against_baseline(check: int, series: str, flagged: Column, sub_key: str | N
 
 
 def alert_feed(
-    tables: Tables, as_of: date, cfg: Config = Config(), state: DataFrame | None = None
+    tables: Tables, as_of: date, cfg: Config = Config(), state: DataFrame | None = None, names: DataFrame | None = None
 ) -> DataFrame:
     """Every alert of every check as one row of nine columns. No rows means that nothing was found.
 
     Checks that read the same aggregate (2 and 3, both metrics of 5, 7 and 8, both directions of 9) come from one
-    branch, so that the union holds one scan per source and period. With a stored `person_state` the event
-    history is not scanned at all.
+    branch, so that the union holds one scan per source and period. With a stored `person_state` and list of
+    `active_names` the event history is not scanned at all.
     """
     cp, steps = tables.checkpoints, tables.steps
     today = F.lit(as_of)
@@ -112,7 +112,7 @@ def alert_feed(
         *[_against_baseline(check, m, is_drop(m, cfg)) for check, m in ((7, "steps_surfaced"), (8, "steps_completed"))],
     )
     mailed = _emit(
-        alerts.email_baselines(cp, tables.comms, as_of, cfg),
+        alerts.email_baselines(cp, tables.comms, as_of, cfg, names),
         _against_baseline(9, "email_volume", is_drop("email_volume", cfg), "drop", direction=F.lit("drop")),
         _against_baseline(9, "email_volume", is_spike("email_volume", cfg), "spike", direction=F.lit("spike")),
     )

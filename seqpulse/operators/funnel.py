@@ -168,11 +168,9 @@ def exit_reason_shift(checkpoints: DataFrame, as_of: date, tz: str | None = None
         share.select("cadence_id", "exit_reason", F.inline(F.array(now, following)))
         .filter(F.col("week_start") <= F.trunc(F.lit(as_of), "week"))
         .groupBy("cadence_id", "week_start", "exit_reason")
-        .agg(F.sum("exits").alias("exits"), F.sum("share").alias("s"), F.sum("prior_share").alias("p"))
-        .select(
-            "cadence_id", "week_start", "exit_reason", "exits", F.round("s", 4).alias("share"),
-            F.round("p", 4).alias("prior_share"), F.round(F.col("s") - F.col("p"), 4).alias("share_shift"),
-        )
+        .agg(F.sum("exits").alias("exits"), F.round(F.sum("share"), 4).alias("share"),
+             F.round(F.sum("prior_share"), 4).alias("prior_share"))
+        .withColumn("share_shift", F.round(F.col("share") - F.col("prior_share"), 4))
     )
 
 

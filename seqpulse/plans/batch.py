@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqpulse.config import Config
-from seqpulse.operators import feed as feeds, marts, sequence
+from seqpulse.operators import alerts, feed as feeds, marts, sequence
 from seqpulse.session import configure, durable
 from seqpulse.sources import Tables, read_feed, write_feed, write_mart
 
@@ -17,24 +17,33 @@ def run_alerts(
 ) -> DataFrame:
     """All nine checks into the feed folder of this run.
 
-    The per-person state is written first and shared by checks 2-4. With `previous_day`, the state of that run is
-    carried forward, so that a daily run reads months of events instead of the whole history. Running a day again
-    replaces its own folders only.
+    The per-person state and the list of sequences are written first and shared by the checks. With `previous_day`,
+    those of that run are carried forward, so that a daily run reads months of events instead of the whole
+    history. Running a day again replaces its own folders only.
     """
     configure(spark)
+    cp = tables.checkpoints
     if previous_day is None:
-        state = sequence.person_state(tables.checkpoints, as_of, cfg)
+        state = sequence.person_state(cp, as_of, cfg)
+        names = alerts.active_names(cp, as_of)
     else:
-        previous = spark.read.parquet(_state_folder(out, previous_day))
-        state = sequence.advance_state(previous, tables.checkpoints, previous_day, as_of, cfg)
-    state.write.mode("overwrite").parquet(_state_folder(out, as_of))
-    stored = spark.read.parquet(_state_folder(out, as_of))
-    write_feed(feeds.alert_feed(tables, as_of, cfg, stored), f"{out}/alert_feed", as_of)
+        previous = _read(spark, out, "person_state", previous_day)
+        state = sequence.advance_state(previous, cp, previous_day, as_of, cfg)
+        known = _read(spark, out, "sequence_names", previous_day)
+        names = known.union(alerts.active_names(cp, as_of, floor=previous_day)).distinct()
+    state = _store(state, out, "person_state", as_of)
+    names = _store(names, out, "sequence_names", as_of)
+    write_feed(feeds.alert_feed(tables, as_of, cfg, state, names), f"{out}/alert_feed", as_of)
     return read_feed(spark, f"{out}/alert_feed")
 
 
-def _state_folder(out: str, day: date) -> str:
-    return f"{out}/person_state/as_of={day.isoformat()}"
+def _read(spark: SparkSession, out: str, table: str, day: date) -> DataFrame:
+    return spark.read.parquet(f"{out}/{table}/as_of={day.isoformat()}")
+
+
+def _store(df: DataFrame, out: str, table: str, day: date) -> DataFrame:
+    df.write.mode("overwrite").parquet(f"{out}/{table}/as_of={day.isoformat()}")
+    return _read(df.sparkSession, out, table, day)
 
 
 def run_digest(spark: SparkSession, today: date, cfg: Config, out: str, ledger: DataFrame | None = None) -> None:
