@@ -12,17 +12,15 @@ from seqpulse.sources.schema import SCHEMAS
 def write_mart(df: DataFrame, path: str, date_column: str | None = None, mode: str = "overwrite") -> None:
     """Write a mart, one folder per month of `date_column`.
 
-    Rows of a month are first brought together, so that a run does not leave one small file per task and month;
-    several files per month remain, since the row hash takes part in the placement.
+    Rows of a month are first brought together, so that a run does not leave one small file per task and month; the
+    rebalancing splits months that are too large for one file.
     """
     if date_column is None:
         df.write.mode(mode).parquet(path)
         return
     month = f"{date_column}_month"
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(32))
     (
-        df.withColumn(month, F.trunc(F.col(date_column), "month"))
-        .repartition(F.col(month), spread)
+        df.withColumn(month, F.trunc(F.col(date_column), "month")).hint("rebalance", F.col(month))
         .write.mode(mode).partitionBy(month).parquet(path)
     )
 

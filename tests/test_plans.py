@@ -1,9 +1,9 @@
 """What Spark makes of the operators: joins, shuffles and what reaches the scan."""
 
 import re
-from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from fixtures import project as p
 from fixtures.project import AS_OF, CONFIG
@@ -113,3 +113,8 @@ def test_stored_state_replaces_the_history(t, spark, tmp_path):
     full_scans = [s for s in re.findall(r"PushedFilters: \[(.*?)\]\n", plan(alerts.double_starts(t.checkpoints, AS_OF, CONFIG, state)))
                   if "event_timestamp" in s and "GreaterThanOrEqual(event_timestamp" not in s]
     assert not full_scans
+
+
+def test_the_best_few_are_kept_before_the_shuffle(t):
+    samples = diagnostics.ticket_samples(t.checkpoints, F.col("cadence_step") == "Exit", AS_OF, days=2000)
+    assert "WindowGroupLimit" in plan(samples)
