@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqpulse.llm import chat, decontaminate
-from seqpulse.llm.common import store
+from seqpulse.llm import chat, decontaminate, quality, token_file, toxicity
+from seqpulse.llm.common import fold, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -75,3 +75,25 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(length('<|im_start|>' || replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<|nl|>') || chr(10)
     || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id"""
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    held_out = fold("doc_id", 4, 2)
+    scored = toxicity.score(docs, toxicity.train(docs, labels, ~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity_score").alias("score"),
+                         (F.col("toxicity_score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents")
+    return token_file.read_tokens(token_file.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), token_file.token_folder(spark)))
