@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,3 +100,55 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int, weight: str = "text") -
                 held, held_bytes = [], 0
     if held:
         yield pa.Table.from_batches(held)
+
+
+_SLICES = 64
+
+
+def count_slots(docs: DataFrame, bits: int, slots: Callable[[list[str | None], WordHashes], np.ndarray]) -> np.ndarray:
+    """How often each of 2**bits hash slots occurs in all texts: 2**bits numbers, whatever the size of the corpus.
+
+    A task adds up its own texts and hands on one block per slice of slots, so that what is shuffled follows the number
+    of tasks; each slice is added up by itself.
+    """
+    width = (1 << bits) // _SLICES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, hashes = np.zeros(1 << bits, np.int64), WordHashes()
+        for table in chunks(batches, 8 << 20):
+            total += np.bincount(slots(table["text"].to_pylist(), hashes), minlength=1 << bits)
+        blocks = [total[i * width : (i + 1) * width] for i in range(_SLICES)]
+        kept = [i for i, b in enumerate(blocks) if b.any()]
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array([blocks[i].tobytes() for i in kept], pa.binary())], ["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, block in zip(b["slice"].to_pylist(), b["counts"]):
+                sums[i] = sums.get(i, 0) + np.frombuffer(block.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
+
+    schema = "slice int, counts binary"
+    rows = docs.select("text").mapInArrow(count, schema).repartition("slice").mapInArrow(add, schema)
+    out = np.zeros((_SLICES, width), np.int64)
+    for r in rows.collect():  # 2**bits numbers
+        out[r["slice"]] = np.frombuffer(r["counts"], np.int64)
+    return out.reshape(-1)
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """Columns node, root (the smallest node it is linked with) for the nodes of undirected edges (a, b).
+
+    Each round takes the smallest label around a node and then the label of that label, so that long chains halve.
+    """
+    both = store(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        nearer = labels.join(near, "node").select("node", F.least("root", "near").alias("up"), F.col("root").alias("old"))
+        jump = labels.select(F.col("node").alias("up"), F.col("root").alias("far"))
+        new = store(nearer.join(jump, "up", "left").select("node", F.least("up", "far").alias("root"), "old"), "labels")
+        changed = new.filter("root != old").limit(1).count()
+        labels = new.select("node", "root")
+        if not changed:
+            return labels

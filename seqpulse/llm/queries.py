@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqpulse.llm import chat, decontaminate, quality, token_file, toxicity
+from seqpulse.llm import chat, decontaminate, mixing, ngram_join, quality, token_file, toxicity
 from seqpulse.llm.common import fold, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,15 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     return token_file.read_tokens(token_file.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), token_file.token_folder(spark)))
+
+
+@query
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_groups(_table(spark, sf_dir, "documents"), width=3, threshold=90).drop("row_key")
+
+
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    rated = mixing.mixing_rates(docs, labels, keep=["doc_id"])
+    return rated.withColumn("copies", mixing.copies(F.col("rate"), "doc_id"))
