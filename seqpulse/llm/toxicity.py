@@ -1,6 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text are the presence of hashed words, word pairs and pairs with one word between, of its letters-only words in lower case.
+Features of a text are the presence of hashed words, their beginnings, word pairs and pairs with one word between, of its
+letters-only words in lower case.
 Training reads at most `sample` labelled rows (the smallest id hashes; a documented bound), whose texts Spark turns into
 features where they lie; one task then runs FTRL over them in hash order, with per-coordinate rates and L1, so that few weights remain. The
 weights (at most 2**bits) are broadcast and every whole text is scored where it lies, without a shuffle.
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from seqpulse.llm.common import WordHashes, chunks, mix
+from seqpulse.llm.common import chunks, mix
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -36,13 +37,36 @@ class Ftrl:
     l2: float = 0.1
 
 
-def features(text: str | None, hashes: WordHashes, bits: int) -> np.ndarray:
-    """Distinct slots of the text's words, pairs and skip-pairs; slot 0 is the intercept."""
-    h = hashes.of([w.encode() for w in _WORD.findall((text or "").lower())])
+#: Lengths of the word beginnings that are features beside the whole word: inflected and compounded forms share them.
+BEGINNINGS = (4, 5, 6, 7)
+
+
+class WordFeatures(dict):
+    """Hashes of a word and of its beginnings (0 where the word is not longer), emptied at `limit` words."""
+
+    def __init__(self, limit: int = 200_000):
+        import xxhash
+
+        super().__init__()
+        self.limit, self.digest = limit, xxhash.xxh3_64_intdigest
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        found = [self.digest(word), *(self.digest(word[:k], seed=k) if len(word) > k else 0 for k in BEGINNINGS)]
+        value = self[word] = np.array(found, np.uint64).tobytes()
+        return value
+
+
+def features(text: str | None, known: WordFeatures, bits: int) -> np.ndarray:
+    """Distinct slots of the text's words, beginnings, pairs and skip-pairs; slot 0 is the intercept."""
+    words = _WORD.findall((text or "").lower())
+    table = np.frombuffer(b"".join([known[w] for w in words]), np.uint64).reshape(-1, 1 + len(BEGINNINGS))
+    h = table[:, 0]
     with np.errstate(over="ignore"):
         pairs = mix(h[:-1] * np.uint64(3) + h[1:])
         skips = mix(h[:-2] * np.uint64(5) + h[2:])
-    slots = np.concatenate([mix(h), pairs, skips]) >> np.uint64(64 - bits)
+    slots = np.concatenate([mix(table.reshape(-1)), pairs, skips]) >> np.uint64(64 - bits)
     return np.unique(np.concatenate([np.zeros(1, np.int32), slots.astype(np.int32)]))
 
 
@@ -71,9 +95,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, cfg: Ftrl = Ftrl()
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "order", "toxic").agg(F.min("text").alias("text"))
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        known = WordFeatures()
         for b in batches:
-            found = [features(t, hashes, cfg.bits).tobytes() for t in b["text"].to_pylist()]
+            found = [features(t, known, cfg.bits).tobytes() for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["order"], b["doc_id"], b["toxic"], pa.array(found, pa.binary())], ["order", "doc_id", "toxic", "slots"])
 
     def learn(table: pa.Table) -> pa.Table:
@@ -100,9 +124,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = Ftr
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.zeros(1 << bits)
         w[shared.value[0]] = shared.value[1]
-        hashes = WordHashes()
+        known = WordFeatures()
         for table in chunks(batches, 8 << 20):
-            sums = [w[features(t, hashes, bits)].sum() for t in table["text"].to_pylist()]
+            sums = [w[features(t, known, bits)].sum() for t in table["text"].to_pylist()]
             p = 1 / (1 + np.exp(-np.clip(sums, -30, 30)))
             yield from table.append_column(name, pa.array(p, pa.float64())).to_batches()
 
