@@ -3,7 +3,7 @@
 Every window of `width` tokens gets a key: the name of an interior symbol that its own tokens determine (`Parse.keys`), so equal windows
 have equal keys wherever they stand. A task first settles its own chunk: of equal windows those in later documents are covered, and one row per
 window and chunk goes on, however often it occurs. The rows of a key meet in one bucket, where windows (told apart by key and
-32 more bits of an independent hash) are covered if a smaller id has them. So a window costs at most one row per chunk, whatever the number of
+48 more bits of an independent hash) are covered if a smaller id has them. So a window costs at most one row per chunk, whatever the number of
 copies, and a bucket holds a share of all windows that is set by the number of buckets.
 
 Results are ranges of covered window starts by doc_id; the caller applies them to the texts. They are broadcast if their measured size
@@ -183,10 +183,10 @@ def _emit_windows(parse: Parse, n_buckets: int, with_open: bool):
             covered[order] = rank[sr] > rank[sr[first]]
             goes[order] = new | np.concatenate([[True], sr[1:] != sr[:-1]])[: len(sw)]
             goes &= ~covered
-            check = (w >> np.uint64(32)).astype(np.uint32)
+            check = w >> np.uint64(16)
             start = at - begin[row_of]
             out = []
-            r, runs = _ranges(row_of[covered], start[covered], check[covered])
+            r, runs = _ranges(row_of[covered], start[covered], check[covered] >> np.uint64(16))
             out += [(i % n_buckets, i, None, x) for i, x in zip(*_by_id(ids[r], runs))]
             k, r, s, c = key[goes], row_of[goes], start[goes], check[goes]
             if len(k):
@@ -202,17 +202,26 @@ def _emit_windows(parse: Parse, n_buckets: int, with_open: bool):
                 for b in np.flatnonzero(np.diff(edge)):
                     i, j = edge[b], edge[b + 1]
                     x = g[i:j]
-                    out.append((int(b), None, _pack(ids[r[x]], k[x], s[x], count[i:j]), data[ends[i] : ends[j]].tobytes()))
+                    out.append((int(b), None, _pack(ids[r[x]], k[x], s[x], count[i:j]), _pack_checks(data[ends[i] : ends[j]])))
             yield _rows(out)
     return run
 
 
+def _pack_checks(check: np.ndarray) -> bytes:
+    return (check & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (check >> np.uint64(32)).astype("<u2").tobytes()
+
+
+def _unpack_checks(block: bytes) -> np.ndarray:
+    n = len(block) // 6
+    return np.frombuffer(block, "<u4", n).astype(np.uint64) | (np.frombuffer(block, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32))
+
+
 def _join_groups(table: pa.Table) -> tuple[np.ndarray, ...] | None:
     blocks = [(_unpack(g), d) for g, d in zip(table["groups"].to_pylist(), table["data"].to_pylist()) if g is not None]
     if not blocks:
         return None
     ids, key, at, count = (np.concatenate([b[0][k] for b in blocks]) for k in range(4))
-    return ids, key, at.astype(np.int64), count.astype(np.int64), np.frombuffer(b"".join(b[1] for b in blocks), "<u4")
+    return ids, key, at.astype(np.int64), count.astype(np.int64), np.concatenate([_unpack_checks(b[1]) for b in blocks])
 
 
 def _passed(table: pa.Table) -> tuple[list[int], list[bytes]]:
@@ -230,14 +239,14 @@ def _settle_windows(table: pa.Table) -> pa.Table:
         at = np.arange(ends[-1]) - np.repeat(ends - count - at, count)
         ids, key = np.repeat(ids, count), np.repeat(key, count)
         with np.errstate(over="ignore"):
-            same = mix(key + check.astype(np.uint64) * _ODD)
+            same = mix(key + check * _ODD)
         order = np.lexsort((ids, same))
         sk, sc, si = key[order], check[order], ids[order]
         new = np.ones(len(order), bool)
         new[1:] = (sk[1:] != sk[:-1]) | (sc[1:] != sc[:-1])
         covered = order[si > si[np.flatnonzero(new)[np.cumsum(new) - 1]]]
         covered = covered[np.lexsort((at[covered], ids[covered]))]
-        r, runs = _ranges(ids[covered], at[covered], check[covered])
+        r, runs = _ranges(ids[covered], at[covered], check[covered] >> np.uint64(16))
         more, blocks = _by_id(r, runs)
         ids_out, runs_out = ids_out + more, runs_out + blocks
     return pa.table({"doc_id": pa.array(ids_out, pa.int64()), "ranges": pa.array(runs_out, pa.binary())})
