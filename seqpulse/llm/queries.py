@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqpulse.llm import byte_dedup, chat, decontaminate, mixing, ngram_join, quality, token_file, toxicity, word_dedup
+from seqpulse.llm import byte_dedup, chat, context_mixing, decontaminate, mixing, ngram_join, quality, token_file, toxicity, word_dedup
 from seqpulse.llm.common import fold, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = byte_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold("doc_id", 7, 2)
+    scored = context_mixing.score_texts(_table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
