@@ -12,7 +12,7 @@ class Config:
     recurring_substrings: tuple[str, ...] = ()
     quiet_substrings: tuple[str, ...] = ()
 
-    # sequences whose e-mail volume is watched (check 9); matched case-insensitively at the start
+    # sequences whose e-mail volume is watched (check 9); matched case-insensitively at the start, empty: all
     name_prefixes: tuple[str, ...] = ()
 
     # identity by name prefix

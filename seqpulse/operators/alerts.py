@@ -254,9 +254,9 @@ def active_names(checkpoints: DataFrame, as_of: date, floor: date | None = None)
 def email_baselines(
     checkpoints: DataFrame, comms: DataFrame, as_of: date, cfg: Config = Config(), names: DataFrame | None = None
 ) -> DataFrame:
-    """Weekly e-mail volume of the sequences with a watched prefix; `names` saves the pass that lists them."""
+    """Weekly e-mail volume of the sequences with a watched prefix, of all where none is given; `names` saves the pass that lists them."""
     listed = active_names(checkpoints, as_of) if names is None else names
-    watched = listed.filter(starts_with_any(F.col("cadence_id"), cfg.name_prefixes))
+    watched = listed.filter(starts_with_any(F.col("cadence_id"), cfg.name_prefixes)) if cfg.name_prefixes else listed
     weekly = weekly_email_volume(comms, watched, as_of, weeks_back(as_of, cfg.n_weeks, include_current=False))
     return _recent(_judge(weekly, ["email_volume"], as_of, cfg), as_of, cfg)
 

@@ -13,20 +13,22 @@ from seqpulse.sources import snapshot
 def name_bridge(names: DataFrame, cadences: DataFrame) -> DataFrame:
     """Pairs of workflow name and sequence whose name occurs in it, ignoring case.
 
-    Every piece of a workflow name is looked up among the sequence names: an equality join on distinct names,
-    which never compares all names with all sequences. A short name may lie inside a longer one; the workflow
-    then counts for both.
+    A workflow name is cut into the pieces whose length some sequence name has, and these are looked up by equality: pieces
+    grow with the name times the number of distinct lengths, and names are never compared with all sequences. A
+    short name may lie inside a longer one; the workflow then counts for both.
     """
-    low, first = F.col("low"), F.col("first")
+    wanted = cadences.select("cadence_id").filter("cadence_id IS NOT NULL").distinct()
+    lengths = wanted.select(F.length(F.lower("cadence_id")).alias("n")).distinct()
+    low, n = F.col("low"), F.col("n")
     pieces = (
         names.select("workflow_name").filter("workflow_name IS NOT NULL").distinct()
         .withColumn("low", F.lower("workflow_name"))
-        .withColumn("first", F.explode(F.sequence(F.lit(1), F.length(low) + 1)))
-        .withColumn("n", F.explode(F.sequence(F.lit(0), F.length(low) - first + 1)))
-        .select("workflow_name", F.substring(low, first, F.col("n")).alias("piece"))
+        .withColumn("n", F.explode(F.sequence(F.lit(0), F.length("low"))))
+        .join(lengths, "n")
+        .withColumn("first", F.explode(F.sequence(F.lit(1), F.length(low) - n + 1)))
+        .select("workflow_name", F.substring(low, F.col("first"), n).alias("piece"))
         .distinct()
     )
-    wanted = cadences.select("cadence_id").filter("cadence_id IS NOT NULL").distinct()
     return pieces.join(wanted, F.col("piece") == F.lower("cadence_id")).select("workflow_name", "cadence_id")
 
 

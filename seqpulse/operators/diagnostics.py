@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqpulse.config import Config
-from seqpulse.functions import fill_weeks, is_break_exit, norm_cadence, weeks_back
+from seqpulse.functions import fill_weeks, is_break_exit, monday, norm_cadence, weeks_back
 from seqpulse.operators import sequence as seq
 from seqpulse.operators.funnel import people_per_week, sequence_names, steps_per_week, wow
 from seqpulse.sources import snapshot
@@ -71,19 +71,23 @@ def weekly_metric(weekly: DataFrame, metric: str) -> DataFrame:
 def payload_class(cfg: Config) -> Column:
     """Which known signal a (step, status, value) is, or what is wrong with it.
 
-    Malformed: a known word in another spelling. Unknown: no known word at all.
+    Malformed: a known word in another spelling. Unknown: no known word at all. Sources write a status in any case,
+    which is no fault: such rows are a class of their own, or count as the word they spell where the case is folded.
     """
     step, status = F.col("cadence_step"), F.col("cadence_step_status")
+    said = F.lower(status)
+    is_break_status = said == "break" if cfg.fold_status else status == "Break"
     steps = [s.lower() for s in cfg.known_steps]
     statuses = [s.lower() for s in cfg.known_statuses]
     return (
         F.when(step.isNull() | ~F.lower(F.trim(step)).isin(*steps), "unknown step")
         .when(~step.isin(*cfg.known_steps), "malformed step")
         .when(status.isNotNull() & ~F.lower(F.trim(status)).isin(*statuses), "unknown status")
-        .when(status.isNotNull() & ~status.isin(*cfg.known_statuses), "malformed status")
+        .when(status.isNotNull() & ~said.isin(*statuses), "malformed status")
         .when(step == "Break", "break step")
-        .when(status == "Break", "break status")
+        .when(is_break_status, "break status")
         .when(is_break_exit(cfg), "break exit")
+        .when(F.lit(not cfg.fold_status) & status.isNotNull() & ~status.isin(*cfg.known_statuses), "status case")
         .otherwise("ok")
     )
 
@@ -144,7 +148,8 @@ def diagnose(
 ) -> DataFrame:
     """One row per sequence: findings of each of the eight checks, clean only if all eight have none.
 
-    A weekly check counts the weeks that fell by `wow_drop` or more against the week before.
+    A weekly check counts the complete weeks that fell by `wow_drop` or more against the week before; the week of
+    `as_of` has not had its time yet.
     """
     keys = sequence_names(checkpoints, as_of) if cadences is None else cadences
     events = seq.all_events(snapshot(checkpoints, "checkpoints", as_of))
@@ -152,7 +157,8 @@ def diagnose(
     worked = weekly_steps(steps, as_of, cfg, keys)
 
     def fell(*metrics: str) -> Column:
-        return F.coalesce(F.count_if(reduce(lambda a, b: a | b, [F.col(f"{m}_wow") <= -cfg.wow_drop for m in metrics])), F.lit(0))
+        dropped = reduce(lambda a, b: a | b, [F.col(f"{m}_wow") <= -cfg.wow_drop for m in metrics])
+        return F.coalesce(F.count_if(dropped & (F.col("week_start") < F.lit(monday(as_of)))), F.lit(0))
 
     def found(df: DataFrame, **hits: Column) -> DataFrame:
         return df.groupBy("cadence_id").agg(*[e.alias(c) for c, e in hits.items()])

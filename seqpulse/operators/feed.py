@@ -215,15 +215,21 @@ def digest_period(feed: DataFrame, today: date) -> DataFrame:
 
 
 def top_by_severity(feed: DataFrame, n: int = 3) -> DataFrame:
-    """The worst rows of each check."""
+    """The worst sequences of each check, each by its worst row."""
     worst = Window.partitionBy("check_number").orderBy(F.desc("severity"), "id")
     return (
-        feed.withColumn("severity", F.round(severity(), 4))
+        _worst_rows(feed.withColumn("severity", F.round(severity(), 4)))
         .withColumn("rank", F.row_number().over(worst)).filter(F.col("rank") <= n)
         .select("check_number", "check_name", "cadence_id", "sub_key", "as_of", "severity", "rank")
     )
 
 
+def _worst_rows(feed: DataFrame) -> DataFrame:
+    """One row per check and sequence, the one of the highest severity."""
+    own = Window.partitionBy("check_number", "cadence_id").orderBy(F.desc("severity"), "id")
+    return feed.withColumn("_place", F.row_number().over(own)).filter("_place = 1").drop("_place")
+
+
 def repeat_offenders(feed: DataFrame, n: int | None = 3) -> DataFrame:
     """Sequences in the most distinct checks, names folded to upper case; ties by summed severity."""
     per_check = (
@@ -318,7 +324,7 @@ def digest_message(feed: DataFrame, today: date, n: int = 3) -> DataFrame:
         F.lit(None).cast("string").alias("worst"), F.lit(None).cast("string").alias("offenders"),
     )
     worst = (
-        period.withColumn("severity", severity()).orderBy(F.desc("severity"), "id").limit(n)
+        _worst_rows(period.withColumn("severity", severity())).orderBy(F.desc("severity"), "id").limit(n)
         .select((-F.col("severity")).alias("a"), F.lit(0.0).alias("b"), "id",
                 F.concat(F.col("cadence_id"), F.lit(" — "), _number("metric_value")).alias("line"))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from seqpulse.config import Config
 from seqpulse.functions import (
-    bucket, fill_weeks, is_completed, norm_cadence, ratio, rep_facing, weeks_back,
+    bucket, fill_weeks, is_completed, monday, norm_cadence, ratio, rep_facing, weeks_back,
 )
 from seqpulse.operators.clean import tag_quiet
 from seqpulse.sources import snapshot
@@ -124,15 +124,19 @@ def wow(weekly: DataFrame, metrics: list[str], key: str = "cadence_id") -> DataF
     )
 
 
-def decoupled(funnel: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Weeks in which entries hold or rise while a later stage collapses by `wow_drop` or more."""
+def decoupled(funnel: DataFrame, as_of: date, cfg: Config = Config()) -> DataFrame:
+    """Weeks in which entries hold or rise while a later stage collapses by `wow_drop` or more.
+
+    Only complete weeks count: in the week of `as_of` the later stages have not had their time yet.
+    """
     later = ["steps_surfaced", "steps_completed", "exits"]
     changed = wow(funnel, ["entries", *later])
     holds = (F.col("entries") >= F.col("prior_entries")) & (F.col("entries") > 0)
     flags = {
         f"{m}_decoupled": F.coalesce(holds & (F.col(f"{m}_wow") <= -cfg.wow_drop), F.lit(False)) for m in later
     }
-    flagged = tag_quiet(changed.withColumns(flags), cfg)
+    complete = changed.filter(F.col("week_start") < F.lit(monday(as_of)))
+    flagged = tag_quiet(complete.withColumns(flags), cfg)
     return flagged.filter(" OR ".join(flags)).select(
         "cadence_id", "week_start", "entries", "prior_entries", *[f"{m}_wow" for m in later], *flags, "is_quiet"
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -23,6 +23,8 @@ def run_alerts(
     """
     configure(spark)
     cp = tables.checkpoints
+    if previous_day is not None and previous_day >= as_of:
+        raise ValueError(f"previous_day {previous_day} is not before {as_of}")
     if previous_day is None:
         state = sequence.person_state(cp, as_of, cfg)
         names = alerts.active_names(cp, as_of)
@@ -30,7 +32,7 @@ def run_alerts(
         previous = _read(spark, out, "person_state", previous_day)
         state = sequence.advance_state(previous, cp, previous_day, as_of, cfg)
         known = _read(spark, out, "sequence_names", previous_day)
-        names = known.union(alerts.active_names(cp, as_of, floor=previous_day)).distinct()
+        names = known.union(alerts.active_names(cp, as_of, floor=as_of - timedelta(days=cfg.stuck_window))).distinct()
     state = _store(state, out, "person_state", as_of)
     names = _store(names, out, "sequence_names", as_of)
     write_feed(feeds.alert_feed(tables, as_of, cfg, state, names), f"{out}/alert_feed", as_of)
@@ -65,7 +67,9 @@ def run_digest(spark: SparkSession, today: date, cfg: Config, out: str, ledger:
         "staleness": feeds.staleness(latest, today, cfg),
     }
     if ledger is not None:
-        results["actions"] = feeds.reconcile(feeds.route(current).filter("tier = 'urgent'"), ledger, today)
+        # both sides hold all checks: an open alert is closed only if its check no longer has it
+        results["actions"] = durable(feeds.reconcile(current, ledger, today))
+        results["ledger"] = feeds.next_ledger(results["actions"], today)
     for name, df in results.items():
         df.write.mode("overwrite").parquet(f"{out}/digest/{name}/run_date={today.isoformat()}")
 

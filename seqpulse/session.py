@@ -1,7 +1,9 @@
-"""Session settings the jobs expect, and the lineage cut for batch jobs."""
+"""Session settings the jobs expect, and intermediates that outlive an executor."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -18,15 +20,18 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset one below the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints").rstrip("/")
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; without one the frame stays lazy.
+    """The frame written to the shared folder and read back; the same plan on every master.
 
     Reused intermediate results go to shared storage, so that a lost executor costs a re-read and not a
     re-scan of the history.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None and folder:
-        context.setCheckpointDir(folder)
-    return df.checkpoint() if context.getCheckpointDir() else df
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

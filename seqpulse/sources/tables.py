@@ -44,7 +44,9 @@ def read_tables(spark: SparkSession, locations: dict[str, str], fmt: str = "parq
     frames = {}
     for name, location in locations.items():
         if "/" in location and fmt in ("csv", "json"):
-            frames[name] = spark.read.schema(SCHEMAS[name]).format(fmt).options(**options).load(location)
+            # by header, not by position, and no silent NULL for what does not parse
+            strict = {"mode": "FAILFAST", "enforceSchema": "false"} | options
+            frames[name] = spark.read.schema(SCHEMAS[name]).format(fmt).options(**strict).load(location)
         else:
             frames[name] = conform(read_frame(spark, location, fmt, **options), name)
     return Tables(**frames)
