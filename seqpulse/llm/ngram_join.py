@@ -28,6 +28,7 @@ from seqpulse.llm.common import WordHashes, chunks, connected, count_slots, mix,
 SKETCH_BITS = 16
 BITMAP_BITS = 1024
 TILE = 1000
+STARS = 3
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -170,27 +171,49 @@ def _tile_pairs(rows: DataFrame, threshold: int) -> DataFrame:
     tiles = left.select("key", "t.low", "t.step", "t.s1", "t.s2", "t.side", "salt", "class", "n", "root", "bitmap").distinct()
 
     def compare(table: pa.Table) -> pa.Table:
-        step, s1, s2 = (table[c][0].as_py() for c in ("step", "s1", "s2"))
-        n, c, root = (table[x].to_numpy() for x in ("n", "class", "root"))
+        """All tiles of a bucket, one after the other."""
+        key, low, step, s1, s2, side, salt, n, c, root = (table[x].to_numpy() for x in ("key", "low", "step", "s1", "s2", "side", "salt", "n", "class", "root"))
         bits = np.frombuffer(b"".join(table["bitmap"].to_pylist()), np.uint64).reshape(len(n), -1)
-        side, salt = table["side"].to_numpy(), table["salt"].to_numpy()
-        if step:
-            x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        else:
-            x, y = np.flatnonzero(salt == s1), np.flatnonzero(salt == s2)
+        order = np.lexsort((s2, s1, step, low, key))
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (key, low, step, s1, s2)])
+        cut = np.append(np.flatnonzero(new), len(order))
         found = []
-        for i in x:
-            total = n[i] + n[y]
-            need = -(-threshold * total // (100 + threshold))  # overlap of a linked pair
-            differ = np.bitwise_count(bits[i] ^ bits[y]).sum(axis=1, dtype=np.int64)
-            ok = (np.minimum(n[i], n[y]) >= need) & (total - 2 * need >= differ) & (root[y] != root[i])
-            if not step and s1 == s2:
-                ok &= c[y] > c[i]
-            found += [(min(c[i], v), max(c[i], v)) for v in c[y[ok]]]
-        pairs = np.array(found, np.int64).reshape(-1, 2)
+        for a, b in zip(cut[:-1], cut[1:]):
+            rows = order[a:b]
+            if b - a < 2:
+                continue
+            one = rows[0]
+            if step[one]:
+                x, y = rows[side[rows] == 0], rows[side[rows] == 1]
+            else:
+                x, y = rows[salt[rows] == s1[one]], rows[salt[rows] == s2[one]]
+            for i in x:
+                total = n[i] + n[y]
+                need = -(-threshold * total // (100 + threshold))  # overlap of a linked pair
+                fits = (np.minimum(n[i], n[y]) >= need) & (root[y] != root[i])
+                if not step[one] and s1[one] == s2[one]:
+                    fits &= c[y] > c[i]
+                z = y[fits]
+                if len(z):
+                    differ = np.bitwise_count(bits[i] ^ bits[z]).sum(axis=1, dtype=np.int64)
+                    found += [(min(c[i], v), max(c[i], v)) for v in c[z[total[fits] - 2 * need[fits] >= differ]]]
+        pairs = np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
         return pa.table({"hub": pairs[:, 0], "class": pairs[:, 1]})
 
-    return tiles.groupBy("key", "low", "step", "s1", "s2").applyInArrow(compare, "hub long, class long").distinct()
+    # many small tiles share a bucket, so that a call's cost is spread over them
+    buckets = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tiles.withColumn("bucket", F.pmod(F.xxhash64("key", "low", "step", "s1", "s2"), F.lit(buckets)).cast("int"))
+    return dealt.groupBy("bucket").applyInArrow(compare, "hub long, class long").distinct()
+
+
+def _best_hub(pairs: DataFrame) -> DataFrame:
+    """For each class the hub that it shares most keys with."""
+    return pairs.groupBy("class", "hub").count().groupBy("class").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
+
+
+def _rooted(candidates: DataFrame, roots: DataFrame) -> DataFrame:
+    return candidates.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("key", "class", "n", F.coalesce("root", "class").alias("root"))
 
 
 def jaccard_groups(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
@@ -204,12 +227,19 @@ def jaccard_groups(docs: DataFrame, width: int = 5, threshold: int = 80) -> Data
     wanted = candidates.select("class").distinct().join(
         rows.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct("doc_id", "row_key")).alias("rep")), "class").select("rep.doc_id", "rep.row_key")
     members = store(_members(docs, wanted, width).dropDuplicates(["class"]), "shingle-members")
-    star = candidates.filter("class != hub").groupBy("class", "hub").count().groupBy("class").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
+    star = _best_hub(candidates.filter("class != hub"))
     edges = store(_star_edges(star, members, threshold), "edges-star")
     roots = connected(edges)
-    # keys that still hold more than one component
-    rooted = candidates.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select(
-        "key", "class", "n", F.coalesce("root", "class").alias("root"))
+    # further stars around other hubs, for keys that still hold more than one component: linear work that saves comparing all with all
+    for turn in range(1, STARS):
+        rooted = _rooted(candidates, roots)
+        hubs = rooted.groupBy("key").agg(
+            F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("class", F.lit(turn)), "class", "root")).alias("h"))
+        hubs = hubs.filter("lo != hi").select("key", F.col("h.class").alias("hub"), F.col("h.root").alias("hub_root"))
+        star = _best_hub(rooted.join(hubs, "key").filter("root != hub_root"))
+        edges = store(edges.union(_star_edges(star, members, threshold)), "edges-star")
+        roots = connected(edges)
+    rooted = _rooted(candidates, roots)
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
     still = rooted.join(open_keys, "key", "left_semi").join(members.select("class", "bitmap"), "class")
     pairs = store(_tile_pairs(still, threshold), "shingle-pairs")
