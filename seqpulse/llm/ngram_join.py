@@ -236,7 +236,10 @@ def jaccard_groups(docs: DataFrame, width: int = 5, threshold: int = 80) -> Data
         hubs = rooted.groupBy("key").agg(
             F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("class", F.lit(turn)), "class", "root")).alias("h"))
         hubs = hubs.filter("lo != hi").select("key", F.col("h.class").alias("hub"), F.col("h.root").alias("hub_root"))
-        star = _best_hub(rooted.join(hubs, "key").filter("root != hub_root"))
+        # a key with one component stays so: only the others go on
+        still = store(rooted.join(hubs, "key"), "shingle-open")
+        star = _best_hub(still.filter("root != hub_root"))
+        candidates = still.select("key", "class", "n")
         edges = store(edges.union(_star_edges(star, members, threshold)), "edges-star")
         roots = connected(edges)
     rooted = _rooted(candidates, roots)
