@@ -3,8 +3,8 @@
 Induced sorting picks the suffixes that start at local minima, names the substrings between them, and recurs on the names until suffixes are told
 apart. Here that recursion selects, level by level, sampled suffixes that equal passages share (a minimum is seen from its neighbours alone);
 Spark's sort-based shuffle, which spills to disk, is the external queue in which the tuples of equal names meet and are ordered by (name,
-document), instead of one queue per shard: nothing is held beyond one chunk of texts or one bucket. First only names are exchanged; the 50-byte
-strings around names that several documents have follow, and those are compared themselves (`repeats`).
+document), instead of one queue per shard: nothing is held beyond one chunk of texts or one bucket. First only the suffixes' names with their
+first 24 bytes, as one hash, are exchanged; the 50-byte strings around those that several documents have follow, and are compared themselves (`repeats`).
 
 A byte goes if a string of 50 bytes that covers it also starts in a document with a smaller doc_id, judged on the input; strings never cross
 documents. Defined cases as in `word_dedup`; a null text is empty.
@@ -16,9 +16,10 @@ import numpy as np
 from pyspark.sql import DataFrame, types as T
 
 from seqpulse.llm.common import mix
-from seqpulse.llm.repeats import INF, Parse, Symbols, apply_repeats, covered_tokens, find_repeats
+from seqpulse.llm.repeats import Parse, Symbols, apply_repeats, covered_tokens, find_repeats, window_hashes
 
 LEVELS = 2
+PREFIX = 24
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = 0x9E3779B97F4A7C15
 
@@ -55,12 +56,21 @@ def name_between_minima(s: Symbols) -> Symbols:
     return Symbols(name, s.row[a], s.left[a - 1], np.maximum(s.right[b], s.right[other[b]]))
 
 
+def _with_prefix(s: Symbols, row: np.ndarray, prefix: np.ndarray) -> Symbols:
+    """The sampled suffixes told apart by their first bytes beside their names: common names alone bring much text together."""
+    ok = s.left < len(prefix)
+    ok[ok] = row[s.left[ok] + PREFIX - 1] == s.row[ok]
+    with np.errstate(over="ignore"):
+        name = mix(s.name[ok] + prefix[s.left[ok]])
+    return Symbols(name, s.row[ok], s.left[ok], np.maximum(s.right[ok], s.left[ok] + PREFIX))
+
+
 def induced_levels(h: np.ndarray, row: np.ndarray) -> list[Symbols]:
     at = np.arange(len(h))
-    s, out = Symbols(h, row, at, at + 1), []
+    s, out, prefix = Symbols(h, row, at, at + 1), [], window_hashes(h, PREFIX)
     for _ in range(LEVELS):
         s = name_between_minima(s)
-        out.append(s)
+        out.append(_with_prefix(s, row, prefix))
     return out
 
 
@@ -68,7 +78,7 @@ def byte_parse(width: int = 50) -> Parse:
     def tokens(texts: list[str | None]) -> list[np.ndarray]:
         return [_BYTES[np.frombuffer(_bytes(t), np.uint8)] for t in texts]
 
-    return Parse(tokens, induced_levels, width, gram=12, chunk=2 << 20)
+    return Parse(tokens, induced_levels, width, gram=PREFIX, chunk=2 << 20, raw=_bytes, alphabet=_BYTES)
 
 
 def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:

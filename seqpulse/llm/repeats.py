@@ -4,7 +4,8 @@ Every window of `width` tokens gets a key: the name of an interior symbol that i
 have equal keys wherever they stand. A task first settles its own chunk: of equal windows those in later documents are covered, and one row per
 window and chunk goes on, however often it occurs. The rows of a key meet in one bucket, where windows (told apart by key and
 48 more bits of an independent hash) are covered if a smaller id has them. So a window costs at most one row per chunk, whatever the number of
-copies, and a bucket holds a share of all windows that is set by the number of buckets.
+copies. The number of buckets follows the bytes of all texts, so that a bucket's share stays the same. Consecutive windows of one
+key travel as a group: with their hashes, or, where tokens are bytes, as the bytes they span, which are fewer and compress.
 
 Results are ranges of covered window starts by doc_id; the caller applies them to the texts. They are broadcast if their measured size
 is below a bound and joined by a shuffle beyond it.
@@ -23,6 +24,8 @@ from seqpulse.llm.common import chunks, mix, store
 
 RANGE = np.dtype([("start", "<u4"), ("count", "<u4"), ("check", "<u4")])
 HITS_BYTES = 32 << 20  # ranges of all documents, for a broadcast
+BUCKET_BYTES = 16 << 20  # text for each bucket
+LONGEST = 1 << 15  # windows in a group, whose count has 16 bits
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 INF = 1 << 60
 
@@ -73,6 +76,8 @@ class Parse:
     width: int
     gram: int
     chunk: int
+    raw: Callable[[str | None], bytes] | None = None  # where tokens are bytes: these, and the token of each byte value
+    alphabet: np.ndarray | None = None
 
     def keys(self, h: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Key of each window: its symbol of the highest level, of these the one with the largest hashed name."""
@@ -192,17 +197,22 @@ def _emit_windows(parse: Parse, n_buckets: int, with_open: bool):
             if len(k):
                 cut = np.ones(len(k), bool)
                 cut[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1)
+                cut[::LONGEST] = True
                 g = np.flatnonzero(cut)
                 count = np.diff(np.append(g, len(k)))
                 order, edge = _split((mix(k[g]) % np.uint64(n_buckets)).astype(np.int64), n_buckets)
                 g, count = g[order], count[order]
-                ends = np.concatenate([[0], np.cumsum(count)])
-                windows = np.arange(ends[-1]) + np.repeat(g - ends[:-1], count)
-                data = c[windows]
+                if parse.raw is None:
+                    source, first, length, pack = c, g, count, _pack_checks
+                else:
+                    source = np.frombuffer(b"".join(map(parse.raw, table["text"].to_pylist())), np.uint8)
+                    first, length, pack = at[goes][g], count + parse.width - 1, _squeeze
+                ends = np.concatenate([[0], np.cumsum(length)])
+                data = source[np.arange(ends[-1]) + np.repeat(first - ends[:-1], length)]
                 for b in np.flatnonzero(np.diff(edge)):
                     i, j = edge[b], edge[b + 1]
                     x = g[i:j]
-                    out.append((int(b), None, _pack(ids[r[x]], k[x], s[x], count[i:j]), _pack_checks(data[ends[i] : ends[j]])))
+                    out.append((int(b), None, _pack(ids[r[x]], k[x], s[x], count[i:j]), pack(data[ends[i] : ends[j]])))
             yield _rows(out)
     return run
 
@@ -216,12 +226,38 @@ def _unpack_checks(block: bytes) -> np.ndarray:
     return np.frombuffer(block, "<u4", n).astype(np.uint64) | (np.frombuffer(block, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32))
 
 
-def _join_groups(table: pa.Table) -> tuple[np.ndarray, ...] | None:
+def _squeeze(data: np.ndarray) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data.tobytes(), "zstd", asbytes=True)
+
+
+def _stretch(block: bytes) -> bytes:
+    return pa.decompress(block[8:], int.from_bytes(block[:8], "little"), "zstd", asbytes=True)
+
+
+def _spanned_checks(raw: np.ndarray, count: np.ndarray, parse: Parse) -> np.ndarray:
+    """Hashes of the windows of groups that lie in `raw` one after the other, some LONGEST windows at a time or more."""
+    out, length = [np.zeros(0, np.uint64)], count + parse.width - 1
+    ends = np.concatenate([[0], np.cumsum(length)])
+    part = ends[:-1] >> 22
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(count))
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        w = window_hashes(parse.alphabet[raw[ends[i] : ends[j]]], parse.width) >> np.uint64(16)
+        n = count[i:j]
+        out.append(w[np.arange(n.sum()) + np.repeat(ends[i:j] - ends[i] - (np.cumsum(n) - n), n)])
+    return np.concatenate(out)
+
+
+def _join_groups(table: pa.Table, parse: Parse) -> tuple[np.ndarray, ...] | None:
     blocks = [(_unpack(g), d) for g, d in zip(table["groups"].to_pylist(), table["data"].to_pylist()) if g is not None]
     if not blocks:
         return None
     ids, key, at, count = (np.concatenate([b[0][k] for b in blocks]) for k in range(4))
-    return ids, key, at.astype(np.int64), count.astype(np.int64), np.concatenate([_unpack_checks(b[1]) for b in blocks])
+    count = count.astype(np.int64)
+    if parse.raw is None:
+        check = np.concatenate([_unpack_checks(b[1]) for b in blocks])
+    else:
+        check = _spanned_checks(np.frombuffer(b"".join([_stretch(b[1]) for b in blocks]), np.uint8), count, parse)
+    return ids, key, at.astype(np.int64), count, check
 
 
 def _passed(table: pa.Table) -> tuple[list[int], list[bytes]]:
@@ -229,27 +265,29 @@ def _passed(table: pa.Table) -> tuple[list[int], list[bytes]]:
     return [i for i, _ in rows], [d for _, d in rows]
 
 
-def _settle_windows(table: pa.Table) -> pa.Table:
-    """Of the windows of a bucket those that a smaller id has too."""
-    ids_out, runs_out = _passed(table)
-    found = _join_groups(table)
-    if found is not None:
-        ids, key, at, count, check = found
-        ends = np.cumsum(count)
-        at = np.arange(ends[-1]) - np.repeat(ends - count - at, count)
-        ids, key = np.repeat(ids, count), np.repeat(key, count)
-        with np.errstate(over="ignore"):
-            same = mix(key + check * _ODD)
-        order = np.lexsort((ids, same))
-        sk, sc, si = key[order], check[order], ids[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (sk[1:] != sk[:-1]) | (sc[1:] != sc[:-1])
-        covered = order[si > si[np.flatnonzero(new)[np.cumsum(new) - 1]]]
-        covered = covered[np.lexsort((at[covered], ids[covered]))]
-        r, runs = _ranges(ids[covered], at[covered], check[covered] >> np.uint64(16))
-        more, blocks = _by_id(r, runs)
-        ids_out, runs_out = ids_out + more, runs_out + blocks
-    return pa.table({"doc_id": pa.array(ids_out, pa.int64()), "ranges": pa.array(runs_out, pa.binary())})
+def _settle_windows(parse: Parse):
+    def run(table: pa.Table) -> pa.Table:
+        """Of the windows of a bucket those that a smaller id has too."""
+        ids_out, runs_out = _passed(table)
+        found = _join_groups(table, parse)
+        if found is not None:
+            ids, key, at, count, check = found
+            ends = np.cumsum(count)
+            at = np.arange(ends[-1]) - np.repeat(ends - count - at, count)
+            ids, key = np.repeat(ids, count), np.repeat(key, count)
+            with np.errstate(over="ignore"):
+                same = mix(key + check * _ODD)
+            order = np.lexsort((ids, same))
+            sk, sc, si = key[order], check[order], ids[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (sk[1:] != sk[:-1]) | (sc[1:] != sc[:-1])
+            covered = order[si > si[np.flatnonzero(new)[np.cumsum(new) - 1]]]
+            covered = covered[np.lexsort((at[covered], ids[covered]))]
+            r, runs = _ranges(ids[covered], at[covered], check[covered] >> np.uint64(16))
+            more, blocks = _by_id(r, runs)
+            ids_out, runs_out = ids_out + more, runs_out + blocks
+        return pa.table({"doc_id": pa.array(ids_out, pa.int64()), "ranges": pa.array(runs_out, pa.binary())})
+    return run
 
 
 # keys that several documents share --------------------------------------------------------------------
@@ -338,7 +376,8 @@ def find_repeats(docs: DataFrame, parse: Parse, sparse: bool) -> DataFrame:
 
     With `sparse`, keys alone are exchanged first, and only windows whose key several documents have follow.
     """
-    n_buckets = 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_buckets = max(3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if sparse:
         keys = rows.mapInArrow(_emit_keys(parse, n_buckets), _EXCHANGE)
@@ -346,7 +385,7 @@ def find_repeats(docs: DataFrame, parse: Parse, sparse: bool) -> DataFrame:
         opened = opened.groupBy("doc_id").agg(F.collect_list("starts").alias("open"))
         rows = rows.join(opened, "doc_id")
     windows = rows.mapInArrow(_emit_windows(parse, n_buckets, sparse), _EXCHANGE)
-    hits = windows.groupBy("bucket").applyInArrow(_settle_windows, "doc_id long, ranges binary")
+    hits = windows.groupBy("bucket").applyInArrow(_settle_windows(parse), "doc_id long, ranges binary")
     return store(hits.groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges")), "repeats")
 
 

@@ -92,12 +92,14 @@ def test_tiles_find_the_links_a_star_misses(spark):
     assert {d: (r["n_shingles"], r["component_id"]) for d, r in got.items()} == brute.jaccard(rows, 1, 80)
 
 
-def test_repeats_over_many_chunks(spark, texts):
-    """The same result when each chunk holds a few texts only, and when windows share few keys."""
+def test_repeats_over_many_chunks(spark, texts, monkeypatch):
+    """The same result when each chunk holds a few texts only, groups of windows are cut and buckets are many."""
     import dataclasses
 
     from seqpulse.llm import repeats
 
+    monkeypatch.setattr(repeats, "LONGEST", 5)
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 50_000)
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
     for parse, sparse, width in ((word_dedup.word_parse(), False, 13), (byte_dedup.byte_parse(), True, 50)):
         small = dataclasses.replace(parse, chunk=20_000)
