@@ -85,6 +85,6 @@ def ratio(numerator: Column, denominator: Column, digits: int = 4) -> Column:
 
 def spread_null(df: DataFrame, key: str) -> Column:
     """A join key whose NULLs land in many partitions instead of one. The stand-ins match no real key."""
-    salt = [c for c in ("email", "event_timestamp", "entry_timestamp") if c in df.columns] or [F.lit(0)]
+    salt = [c for c in ("email", "event_timestamp", "entry_timestamp") if c in df.columns] or [c for c, kind in df.dtypes if "map<" not in kind]
     stand_in = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*salt), F.lit(4096)).cast("string"))
     return F.coalesce(F.col(key), stand_in)

@@ -138,9 +138,9 @@ def _rounded(metric: str, prefix: str | None = None) -> list:
 
 def entry_exit_baselines(checkpoints: DataFrame, as_of: date, cfg: Config = Config()) -> DataFrame:
     people = exclude_domains(
-        snapshot(checkpoints, "checkpoints", as_of, _grid_floor(as_of, cfg)), cfg.internal_domains
+        snapshot(checkpoints, "checkpoints", as_of, _grid_floor(as_of, cfg), cfg.tz), cfg.internal_domains
     )
-    weekly = people_per_week(people, {"entries": "Start", "exits": "Exit"})
+    weekly = people_per_week(people, {"entries": "Start", "exits": "Exit"}, cfg.tz)
     return _recent(_judge(weekly, ["entries", "exits"], as_of, cfg), as_of, cfg)
 
 
@@ -156,7 +156,7 @@ def entry_exit_drop(checkpoints: DataFrame, as_of: date, cfg: Config = Config())
 def step_baselines(steps: DataFrame, as_of: date, cfg: Config = Config()) -> DataFrame:
     """Surfaced and completed steps with their baselines, from one pass. An empty result is not a completion."""
     seen = exclude_domains(
-        snapshot(steps, "steps", as_of, _grid_floor(as_of, cfg)), cfg.internal_domains, "email__c"
+        snapshot(steps, "steps", as_of, _grid_floor(as_of, cfg), cfg.tz), cfg.internal_domains, "email__c"
     )
     weekly = steps_per_week(seen, cfg, blank_is_open=True)
     return _recent(_judge(weekly, ["steps_surfaced", "steps_completed"], as_of, cfg), as_of, cfg)
@@ -257,7 +257,7 @@ def email_baselines(
     """Weekly e-mail volume of the sequences with a watched prefix, of all where none is given; `names` saves the pass that lists them."""
     listed = active_names(checkpoints, as_of) if names is None else names
     watched = listed.filter(starts_with_any(F.col("cadence_id"), cfg.name_prefixes)) if cfg.name_prefixes else listed
-    weekly = weekly_email_volume(comms, watched, as_of, weeks_back(as_of, cfg.n_weeks, include_current=False))
+    weekly = weekly_email_volume(comms, watched, as_of, weeks_back(as_of, cfg.n_weeks, include_current=False), cfg.tz)
     return _recent(_judge(weekly, ["email_volume"], as_of, cfg), as_of, cfg)
 
 

@@ -43,7 +43,7 @@ def weekly_breaks(checkpoints: DataFrame, as_of: date, cfg: Config = Config()) -
     """Break volume per week, zero-filled for every sequence that broke at least once in the period."""
     floor = weeks_back(as_of, cfg.n_weeks)[0]
     weekly = (
-        snapshot(checkpoints, "checkpoints", as_of, floor).filter(is_break(cfg))
+        snapshot(checkpoints, "checkpoints", as_of, floor, cfg.tz).filter(is_break(cfg))
         .groupBy(norm_cadence().alias("cadence_id"), bucket("event_timestamp", "week", cfg.tz).alias("week_start"))
         .agg(F.count("*").alias("breaks"))
     )

@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, functions as F
 
-from seqpulse.functions import norm_cadence
+from seqpulse.functions import bucket, norm_cadence
 from seqpulse.sources import snapshot
 
 
@@ -54,12 +54,12 @@ def comms_volume(comms: DataFrame, cadences: DataFrame, as_of: date, floor: date
     return _per_cadence(daily, cadences, ["comm_type", "comm_day"], "messages")
 
 
-def weekly_email_volume(comms: DataFrame, cadences: DataFrame, as_of: date, weeks: list[date]) -> DataFrame:
+def weekly_email_volume(comms: DataFrame, cadences: DataFrame, as_of: date, weeks: list[date], tz: str | None = None) -> DataFrame:
     """E-mails per sequence in the given weeks."""
     first, last = F.lit(weeks[0]), F.lit(weeks[-1])
-    sent = snapshot(comms, "comms", as_of, weeks[0]).filter("workflow_name IS NOT NULL AND comm_type = 'email'")
+    sent = snapshot(comms, "comms", as_of, weeks[0], tz).filter("workflow_name IS NOT NULL AND comm_type = 'email'")
     weekly = (
-        sent.withColumn("week_start", F.trunc(F.to_date("comm_date"), "week"))
+        sent.withColumn("week_start", bucket("comm_date", "week", tz))
         .filter(F.col("week_start").between(first, last))
         .groupBy("workflow_name", "week_start").agg(F.count("*").alias("n"))
     )

@@ -44,7 +44,7 @@ def weekly_people(
 ) -> DataFrame:
     """Entries and exits per week with the week before and the relative change."""
     weekly = people_per_week(
-        snapshot(checkpoints, "checkpoints", as_of, _floor(as_of, cfg)), {"entries": "Start", "exits": "Exit"}, cfg.tz
+        snapshot(checkpoints, "checkpoints", as_of, _floor(as_of, cfg), cfg.tz), {"entries": "Start", "exits": "Exit"}, cfg.tz
     )
     keys = sequence_names(checkpoints, as_of) if cadences is None else cadences
     return wow(fill_weeks(weekly, ["entries", "exits"], as_of, cfg.n_weeks, keys=keys), ["entries", "exits"])
@@ -58,7 +58,7 @@ def weekly_steps(
     Without `cadences` the sequences are those that have steps in the period.
     """
     metrics = ["steps_surfaced", "steps_completed"]
-    weekly = steps_per_week(snapshot(steps, "steps", as_of, _floor(as_of, cfg)), cfg)
+    weekly = steps_per_week(snapshot(steps, "steps", as_of, _floor(as_of, cfg), cfg.tz), cfg)
     return wow(fill_weeks(weekly, metrics, as_of, cfg.n_weeks, keys=cadences), metrics)
 
 

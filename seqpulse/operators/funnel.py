@@ -102,10 +102,10 @@ def four_stage_funnel(
     floor = _since(as_of, cfg)
     keys = sequence_names(checkpoints, as_of) if cadences is None else cadences
     people = people_per_week(
-        snapshot(checkpoints, "checkpoints", as_of, floor),
+        snapshot(checkpoints, "checkpoints", as_of, floor, cfg.tz),
         {"entries": "Start", "control": "Test", "exits": "Exit"}, cfg.tz,
     )
-    worked = steps_per_week(snapshot(steps, "steps", as_of, floor), cfg)
+    worked = steps_per_week(snapshot(steps, "steps", as_of, floor, cfg.tz), cfg)
     weekly = (
         people.unionByName(worked, allowMissingColumns=True)
         .groupBy("cadence_id", "week_start").agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in STAGES])
@@ -157,7 +157,7 @@ def exit_reason_shift(checkpoints: DataFrame, as_of: date, tz: str | None = None
     A week's row is laid beside the one seven days later and both are added up, so that a reason that vanished
     shows its loss too. Weeks after the current one are left out.
     """
-    mix = exit_reason_mix(snapshot(checkpoints, "checkpoints", as_of), tz)
+    mix = exit_reason_mix(snapshot(checkpoints, "checkpoints", as_of, tz=tz), tz)
     week = Window.partitionBy("cadence_id", "week_start")
     total = F.nullif(F.sum("exits").over(week), F.lit(0))  # 0 where no exit of the week has an e-mail
     share = mix.withColumn("share", F.coalesce(F.col("exits") / total, F.lit(0.0)))

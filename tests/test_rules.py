@@ -1,12 +1,12 @@
 """Rules that the incomplete week, the case of a status, repeated rows and long names must not bend."""
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from seqpulse import Config
-from seqpulse.operators import comms, diagnostics, feed as feeds, funnel
+from seqpulse.operators import alerts, comms, diagnostics, feed as feeds, funnel
 from seqpulse.session import shared_folder
 from seqpulse.sources import read_tables
 
@@ -67,3 +67,23 @@ def test_swapped_headers_are_an_error(spark, tmp_path):
 
 def test_shared_folder_is_named_by_the_session(spark):
     assert shared_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir"))
+
+
+@pytest.mark.parametrize("tz, hour", [("Asia/Tokyo", -9), ("America/New_York", 4), (None, 0)])
+def test_weeks_begin_and_end_at_local_midnight(cp, st, rows, tz, hour):
+    """The first week of the series is whole, and nothing of the day after `as_of` counts."""
+    as_of, n_weeks = date(2024, 6, 4), 3
+    first, end = datetime(2024, 5, 20) + timedelta(hours=hour), datetime(2024, 6, 5) + timedelta(hours=hour)
+    times = [first - timedelta(seconds=1), first, first + timedelta(hours=12), end - timedelta(seconds=1), end]
+    checkpoints = cp(*[("A", f"p{k}@x.example", "Start", f"{t}") for k, t in enumerate(times)])
+    steps = st(*[("A", f"p{k}@x.example", f"{t}", "Done", f"{t}") for k, t in enumerate(times)])
+    funnel_rows = rows(funnel.four_stage_funnel(checkpoints, steps, as_of, Config(tz=tz, n_weeks=n_weeks)))
+    by_week = {r["week_start"]: (r["entries"], r["steps_surfaced"], r["steps_completed"]) for r in funnel_rows}
+    assert by_week == {date(2024, 5, 20): (2, 2, 2), date(2024, 5, 27): (0, 0, 0), date(2024, 6, 3): (1, 1, 1)}
+
+
+@pytest.mark.parametrize("tz, entries", [("Asia/Tokyo", 2), (None, 1)])
+def test_checks_use_the_zone(cp, rows, tz, entries):
+    made = cp(("A", "p@x.example", "Start", "2024-05-26 18:00:00"), ("A", "q@x.example", "Start", "2024-05-28"), ("A", "r@x.example", "Start", "2024-05-07"))
+    got = rows(alerts.entry_exit_baselines(made, date(2024, 6, 4), Config(tz=tz)).filter("week_start = DATE '2024-05-27'"))
+    assert [r["entries"] for r in got] == [entries]
