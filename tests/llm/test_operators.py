@@ -133,6 +133,16 @@ def test_spelling_is_a_distribution():
     assert one + 10.0 ** context_mixing.spelled([b""], model)[0] == pytest.approx(1)
 
 
+def test_words_are_predicted_from_the_words_before(spark):
+    """The same words in another order have another score: pairs that were learnt cost less."""
+    learnt = [(k, f"left{k % 9} right{k % 9} and north{k % 7} south{k % 7}") for k in range(200)]
+    asked = [(1000, "left1 right1 and north2 south2"), (1001, "south2 right1 and left1 north2")]
+    docs = spark.createDataFrame(learnt + asked, "doc_id long, text string")
+    got = by_id(context_mixing.score_texts(docs, F.col("doc_id") < 1000))
+    assert got[1000]["base_score"] == pytest.approx(got[1001]["base_score"])
+    assert got[1000]["score"] > got[1001]["score"] + 3
+
+
 def test_quality_base_columns(spark, texts):
     got = by_id(q.op4_quality_rules(spark, SF))
     for d, t in texts:
