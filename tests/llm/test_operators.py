@@ -143,6 +143,20 @@ def test_words_are_predicted_from_the_words_before(spark):
     assert got[1000]["score"] > got[1001]["score"] + 3
 
 
+def test_lm_fit_counts_every_occurrence_however_dealt(spark):
+    """Every bit of every training text is in the tables, as often as it occurs, and partitions do not matter."""
+    long = "zq " * 60_000  # beyond any bound on the length of a text
+    rows = [(1, long), (2, "zx"), *((k, f"word{k % 5} here") for k in range(3, 60)), (1000, "zq"), (1001, "zx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = (by_id(context_mixing.score_texts(docs.repartition(n), F.col("doc_id") < 1000)) for n in (1, 7))
+    for d, r in one.items():
+        assert r["score"] == pytest.approx(many[d]["score"], rel=1e-4)
+    streams = context_mixing._streams([t for d, t in rows if d < 1000])
+    code = context_mixing.huffman(context_mixing._byte_counts(streams))
+    tables = context_mixing._bit_tables(docs.filter("doc_id < 1000").repartition(7), code)
+    assert tables[:, 0].sum() == code[0][np.frombuffer(b" ".join(streams) + b" ", np.uint8)].sum()
+
+
 def test_quality_base_columns(spark, texts):
     got = by_id(q.op4_quality_rules(spark, SF))
     for d, t in texts:
