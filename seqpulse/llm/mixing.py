@@ -1,6 +1,7 @@
 r"""Mixing to target weights with soft membership.
 
-A classifier is fitted on at most `sample` labelled rows (the smallest id hashes; a documented bound): naive Bayes over hashed words, whose
+Domains are all values of the column, with their shares of all documents as prior. Their words are learnt from about `sample` labelled rows, as many of each
+domain (chosen by id hash; a documented bound; `least` or all of a domain if there are many domains): naive Bayes over hashed words, whose
 evidence is divided by the square root of the text's length so that posteriors stay soft. Each document then has posteriors
 over the domains. Document rates are found by projected gradient on
 
@@ -13,7 +14,7 @@ computed anew where the document lies. Nothing per document reaches the driver.
 The mix holds floor(rate) copies of a document and one more where a hash of its id and text falls below the fraction.
 
 Defined cases: a null or empty text has no words, adds nothing to any total and takes the prior as posterior; a null domain is not
-learnt from; without any labelled row there is one domain "" with posterior 1. Repeated rows have equal rates. Columns named
+learnt from; domains without any labelled row are one class OTHER with the words of all labelled rows, which has posterior 1 if there are no others. Repeated rows have equal rates. Columns named
 `posterior`, `n_words`, `rate` must not be there already; any other column is carried along.
 """
 
@@ -26,14 +27,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from seqpulse.llm.common import WordHashes, chunks, count_slots, mix, store, words_of
+from seqpulse.llm.common import WordHashes, chunks, mix, store, words_of
+
+
+OTHER = "__other__"  # the class of all domains without a labelled document
 
 
 @dataclass(frozen=True)
 class Mix:
     bits: int = 16
     sample: int = 8000
-    domains: int = 32  # the most frequent ones of the sample; others are not learnt
+    least: int = 50  # about so many labelled documents of each domain are in the sample, or all it has
     steps: int = 15
     ridge: float = 1e-3
     power: float = 0.7  # targets: share ** power, scaled so that no domain shrinks
@@ -53,18 +57,42 @@ def _slots(texts: list[str | None], hashes: WordHashes, bits: int) -> tuple[np.n
     return (mix(h) >> np.uint64(64 - bits)).astype(np.int64), np.array([len(w) for w in words], np.int64)
 
 
+def _word_counts(sample: DataFrame, bits: int) -> dict[str, np.ndarray]:
+    """How often each slot occurs in the sampled texts of each domain, which are bounded, so that a domain is one task's work."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, hashes = {}, WordHashes()
+        for table in chunks(batches, 4 << 20):
+            slots, sizes = _slots(table["text"].to_pylist(), hashes, bits)
+            ends = np.cumsum(sizes)
+            for d, a, b in zip(table["domain"].to_pylist(), ends - sizes, ends):
+                np.add.at(total.setdefault(d, np.zeros(1 << bits, np.int64)), slots[a:b], 1)
+        for d, x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([d]), pa.array([x.tobytes()], pa.binary())], ["domain", "counts"])
+
+    rows = sample.select("domain", "text").repartition("domain").mapInArrow(run, "domain string, counts binary").collect()
+    return {r["domain"]: np.frombuffer(r["counts"], np.int64) for r in rows}
+
+
 def fit_domains(docs: DataFrame, labels: DataFrame, domain: str, cfg: Mix) -> Domains:
+    """Every domain of the documents; those without a labelled document share the class OTHER."""
     known = labels.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.sample)
-    sample = docs.filter(F.col(domain).isNotNull()).select("doc_id", F.col(domain).cast("string").alias("domain"), "text").join(F.broadcast(chosen), "doc_id")
-    sample = store(sample.dropDuplicates(["doc_id"]), "mixing-sample")
-    found = sorted((r["domain"], r["count"]) for r in sample.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(cfg.domains).collect())
-    if not found:
-        return Domains([""], np.zeros(1), np.zeros((1 << cfg.bits, 1)))
-    names = [n for n, _ in found]
-    weights = np.array([c for _, c in found], float)
-    counts = [count_slots(sample.filter(F.col("domain") == n), cfg.bits, lambda t, h: _slots(t, h, cfg.bits)[0]) for n in names]
-    table = np.stack(counts, axis=1) + 0.5
+    rows = docs.filter(F.col(domain).isNotNull()).select("doc_id", F.col(domain).cast("string").alias("domain"), "text")
+    documents = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}  # one number for each domain
+    labelled = store(rows.select("doc_id", "domain").join(known, "doc_id", "left_semi").distinct(), "mixing-labelled")
+    share = F.lit(float(max(cfg.least, -(-cfg.sample // max(len(documents), 1))))) / F.col("count")
+    u = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    chosen = labelled.join(labelled.groupBy("domain").count(), "domain").filter(u < share).select("doc_id", "domain")
+    sample = store(rows.join(F.broadcast(chosen), ["doc_id", "domain"]).dropDuplicates(["doc_id", "domain"]), "mixing-sample")
+    counts = _word_counts(sample, cfg.bits)
+    names = sorted(counts)
+    weights = [documents[n] for n in names]
+    if len(names) < len(documents) or not names:
+        # no text says what the others look like: they have the words of all
+        counts[OTHER] = sum(counts.values(), np.zeros(1 << cfg.bits, np.int64))
+        names.append(OTHER)
+        weights.append(sum(documents.values()) - sum(weights) or 1)
+    table = np.stack([counts[n] for n in names], axis=1) + 0.5
+    weights = np.array(weights, float)
     return Domains(names, np.log(weights / weights.sum()), np.log(table / table.sum(axis=0)))
 
 
@@ -76,7 +104,7 @@ def posteriors(docs: DataFrame, domains: Domains, cfg: Mix, keep: list[str]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (prior, word), hashes = shared.value, WordHashes()
-        for table in chunks(batches, 4 << 20):
+        for table in chunks(batches, (128 << 20) // max(len(prior), 32)):
             slots, sizes = _slots(table["text"].to_pylist(), hashes, cfg.bits)
             sums = np.concatenate([np.zeros((1, len(prior))), np.cumsum(word[slots], axis=0)])
             ends = np.cumsum(sizes)

@@ -213,6 +213,18 @@ def test_mixing_reaches_its_targets(spark):
     assert np.allclose((n * r) @ p, targets, rtol=0.02) and r.min() >= 0
 
 
+def test_mixing_learns_every_domain(spark):
+    """Forty domains, one of them rare, and values without a labelled document."""
+    rows = [(k, f"w{k % 40} x{k % 40} y{k % 40}", f"d{k % 40}") for k in range(800)] + [(900, "rare words", "rare"), (901, "w1 x2", "unseen"), (902, "w3", "unseen too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(k,) for k in range(901)], "doc_id long")
+    domains = mixing.fit_domains(docs, labels, "source", mixing.Mix())
+    assert sorted(domains.names) == sorted([*(f"d{k}" for k in range(40)), "rare", mixing.OTHER])
+    assert np.exp(domains.prior)[domains.names.index(mixing.OTHER)] == pytest.approx(2 / 803)
+    got = {r["doc_id"]: r["posterior"] for r in mixing.posteriors(docs, domains, mixing.Mix(), ["doc_id"]).collect()}
+    assert domains.names[int(np.argmax(got[37]))] == "d37" and got[900][domains.names.index("rare")] > 3 * np.exp(domains.prior)[domains.names.index("rare")]
+
+
 def test_decontamination_removes_spans(spark):
     docs = spark.createDataFrame([(1, "Keep this. One two, three four! Keep that.", "x"), (2, "nothing here", "y"), (3, None, "z")], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame([(7, "ONE two three four", 1), (8, None, 2), (None, "...", 3)], "item_id long, text string, doc_id long")
