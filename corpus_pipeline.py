@@ -2,11 +2,13 @@
 
 Every stage works on all that its predecessor kept and takes effect: toxic documents go, one document of each group of near copies
 (five words, 80 percent) stays, documents with benchmark text go, documents are repeated at the rates that bring the
-languages to their targets (none is dropped by that), and the ids are written and read back.
+languages to their targets (none is dropped by that, unless targets are given), and the ids are written and read back.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,8 +34,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
 
 
-def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(docs, _table(spark, sf_dir, "labels"))
+def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str, targets: Mapping[str, float] | None = None) -> DataFrame:
+    return mixing.mix_documents(docs, _table(spark, sf_dir, "labels"), targets=targets)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +54,10 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, targets: Mapping[str, float] | None = None) -> DataFrame:
+    """`targets`: weights of the languages in the mix, without which the mixing stage sets its own."""
     rows = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        rows = store(stage(spark, rows, sf_dir), f"pipeline-{name}")
+        more = {"targets": targets} if stage is mix_languages else {}
+        rows = store(stage(spark, rows, sf_dir, **more), f"pipeline-{name}")
     return rows

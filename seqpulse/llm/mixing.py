@@ -3,13 +3,13 @@ r"""Mixing to target weights with soft membership.
 Domains are all values of the column, with their shares of all documents as prior. Their words are learnt from about `sample` labelled rows, as many of each
 domain (chosen by id hash; a documented bound; `least` or all of a domain if there are many domains): naive Bayes over hashed words, whose
 evidence is divided by the square root of the text's length so that posteriors stay soft. Each document then has posteriors
-over the domains. Document rates are found by projected gradient on
+over the domains. Document rates are the ones nearest to 1,
 
-    1/2 sum_k (sum_d r_d n_d p_dk / N - T_k / N)^2 / s_k  +  ridge/2 sum_d (n_d / N) (r_d - 1)^2,   r_d >= at_least,
+    min  1/2 sum_d n_d (r_d - 1)^2   with   sum_d r_d n_d p_dk = T_k  and  r_d >= at_least,
 
-where n_d are the document's words, s_k the domain's share at rate 1 and T_k its target. A step needs only the K sums over documents, so
-each iteration is one aggregation; a document's rate is a function of its own posteriors and of the K numbers of each past step and is
-computed anew where the document lies. Nothing per document reaches the driver.
+where n_d are the document's words and T_k a domain's target: given weights, or self-made ones. They are r_d = max(at_least, 1 - p_d y), and y is found by gradient
+steps on the dual, scaled by the K x K matrix sum_d n_d p_d p_d'. A step needs only the K sums over documents, so each iteration is one aggregation; a document's
+rate is a function of its own posteriors and of y and is computed anew where the document lies. Nothing per document reaches the driver. It ends at a tolerance, and what is left of the gap beyond it is told by domain.
 
 The mix holds floor(rate) copies of a document and one more where a hash of its id and text falls below the fraction.
 
@@ -20,7 +20,8 @@ learnt from; domains without any labelled row are one class OTHER with the words
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import warnings
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,8 +39,9 @@ class Mix:
     bits: int = 16
     sample: int = 8000
     least: int = 50  # about so many labelled documents of each domain are in the sample, or all it has
-    steps: int = 15
-    ridge: float = 1e-3
+    steps: int = 100  # at most; it ends when the totals are within 0.1 %, or no longer come nearer
+    tolerance: float = 0.02  # gap of a total, as a part of its target, beyond which the targets count as missed
+    ridge: float = 1e-6
     power: float = 0.7  # targets: share ** power, scaled so that no domain shrinks
     at_least: float = 0.0
 
@@ -123,31 +125,43 @@ def posteriors(docs: DataFrame, domains: Domains, cfg: Mix, keep: list[str]) ->
 
 
 def _rates(p: np.ndarray, steps: list[np.ndarray], cfg: Mix) -> np.ndarray:
-    r = np.ones(len(p))
-    for pull in steps:
-        r = np.maximum(cfg.at_least, r - (p @ pull + cfg.ridge * (r - 1)) / (1 + cfg.ridge))
-    return r
+    return np.maximum(cfg.at_least, 1 - p @ np.sum(steps, axis=0)) if steps else np.maximum(cfg.at_least, np.ones(len(p)))
 
 
-def _totals(scored: DataFrame, steps: list[np.ndarray], cfg: Mix, k: int) -> np.ndarray:
-    """Sums of rate x words x posterior by domain: one row per task, added up by Spark."""
+def _added_up(scored: DataFrame, k: int, f, size: int) -> np.ndarray:
+    """f(posteriors, words) of `size` numbers, added up over all documents: one row per number and task, added by Spark."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k)
+        total = np.zeros(size)
         for b in batches:
             p = b["posterior"].flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-            total += (_rates(p, steps, cfg) * b["n_words"].to_numpy()) @ p
-        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(total)], ["k", "total"])
+            total += f(p, b["n_words"].to_numpy()).reshape(-1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(total)], ["k", "total"])
 
     rows = scored.select("n_words", "posterior").mapInArrow(run, "k int, total double").groupBy("k").agg(F.sum("total").alias("total")).collect()
-    out = np.zeros(k)
+    out = np.zeros(size)
     for r in rows:
         out[r["k"]] = r["total"]
     return out
 
 
+def _totals(scored: DataFrame, steps: list[np.ndarray], cfg: Mix, k: int) -> np.ndarray:
+    """Sums of rate x words x posterior by domain."""
+    return _added_up(scored, k, lambda p, n: (_rates(p, steps, cfg) * n) @ p, k)
+
+
+def target_totals(targets: Mapping[str, float], names: list[str], n: float) -> np.ndarray:
+    """The words each domain is to have, of n in all; weights need not add up to one."""
+    if set(targets) != set(names):
+        raise ValueError(f"targets without a domain: {sorted(set(targets) - set(names))}; domains without a target: {sorted(set(names) - set(targets))}")
+    weights = np.array([targets[x] for x in names], float)
+    if not (np.isfinite(weights).all() and (weights > 0).all()):
+        raise ValueError("targets must be positive numbers")
+    return weights / weights.sum() * n
+
+
 def fit_rates(scored: DataFrame, k: int, cfg: Mix, targets: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """The steps that give every document its rate, the targets, and the totals reached."""
-    base = _totals(scored, [], cfg, k)
+    base = _added_up(scored, k, lambda p, n: n @ p, k)
     n = base.sum()
     if not n:
         return [], np.zeros(k), base
@@ -155,22 +169,42 @@ def fit_rates(scored: DataFrame, k: int, cfg: Mix, targets: np.ndarray | None =
     if targets is None:
         wish = share**cfg.power
         targets = wish / np.min(wish / share) * n
-    steps, reached = [], base
-    for _ in range(cfg.steps):
-        steps.append((reached - targets) / n / share)
-        reached = _totals(scored, steps, cfg, k)
-        if np.max(np.abs(reached - targets) / targets) < 1e-3:
+    # how the totals answer to a step where no rate is at its bound; elsewhere they answer less, so that steps are never too long
+    answer = _added_up(scored, k, lambda p, w: (p * w[:, None]).T @ p, k * k).reshape(k, k) / n + cfg.ridge * np.diag(share)
+    steps, reached, gaps = [], _totals(scored, [], cfg, k), []
+    for turn in range(cfg.steps):
+        gaps.append(np.max(np.abs(reached - targets) / targets))
+        if gaps[-1] < 1e-3 or turn >= 15 and gaps[-1] > 0.99 * gaps[-11]:
             break
+        steps.append(np.linalg.solve(answer, (reached - targets) / n))
+        reached = _totals(scored, steps, cfg, k)
     return steps, targets, reached
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, domain: str = "lang", cfg: Mix = Mix(), keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (default: all), n_words, posterior and rate of every document."""
+def missed(names: list[str], targets: np.ndarray, reached: np.ndarray, cfg: Mix) -> dict[str, float]:
+    """Of each domain beyond the tolerance the gap, as a part of its target."""
+    gap = (reached - targets) / np.maximum(targets, 1e-300)
+    return {x: round(float(g), 4) for x, g in zip(names, gap) if abs(g) > cfg.tolerance}
+
+
+def mixing_rates(docs: DataFrame, labels: DataFrame, domain: str = "lang", cfg: Mix = Mix(), keep: list[str] | None = None,
+                 targets: Mapping[str, float] | None = None) -> DataFrame:
+    """The kept columns (default: all), n_words, posterior and rate of every document.
+
+    `targets` are weights by domain, for a mix with as many words as there are; without them see `Mix.power`. Given targets that can't be reached raise an error that
+    names the gap of each domain; of the self-made ones a warning tells them.
+    """
     keep = list(keep or docs.columns)
     domains = fit_domains(docs, labels, domain, cfg)
     k = len(domains.names)
     scored = store(posteriors(docs, domains, cfg, ["doc_id"]), "mixing-posteriors")
-    steps, _, _ = fit_rates(scored, k, cfg)
+    words = None if targets is None else scored.agg(F.sum("n_words")).first()[0] or 0
+    wanted = None if targets is None else target_totals(targets, domains.names, words)
+    steps, wanted, reached = fit_rates(scored, k, cfg, wanted)
+    if gaps := missed(domains.names, wanted, reached, cfg):
+        if targets is not None:
+            raise ValueError(f"targets not reached, gap by domain: {gaps}")
+        warnings.warn(f"targets not reached, gap by domain: {gaps}")
     source = posteriors(docs, domains, cfg, keep) if keep != ["doc_id"] else scored
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,8 +221,9 @@ def copies(rate, *by):
     return (F.floor(rate) + (u < rate - F.floor(rate)).cast("long")).cast("long")
 
 
-def mix_documents(docs: DataFrame, labels: DataFrame, domain: str = "lang", cfg: Mix = Mix(at_least=1.0)) -> DataFrame:
-    """The mix, with the columns of the documents; with at_least=1 every document stays and some come more than once."""
-    rated = mixing_rates(docs, labels, domain, cfg)
+def mix_documents(docs: DataFrame, labels: DataFrame, domain: str = "lang", cfg: Mix | None = None, targets: Mapping[str, float] | None = None) -> DataFrame:
+    """The mix, with the columns of the documents. Without targets every document stays and some come more than once; with targets rates go below 1 too."""
+    cfg = cfg or Mix(at_least=1.0 if targets is None else 0.0)
+    rated = mixing_rates(docs, labels, domain, cfg, targets=targets)
     n = copies(F.col("rate"), "doc_id", "text")
     return rated.withColumn("rate", F.explode(F.array_repeat(F.lit(1.0), n.cast("int")))).select(*docs.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -105,9 +105,9 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op8_mixing(spark: SparkSession, sf_dir: str, targets: Mapping[str, float] | None = None) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    rated = mixing.mixing_rates(docs, labels, keep=["doc_id"])
+    rated = mixing.mixing_rates(docs, labels, keep=["doc_id"], targets=targets)
     return rated.withColumn("copies", mixing.copies(F.col("rate"), "doc_id"))
 
 

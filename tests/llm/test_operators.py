@@ -213,6 +213,23 @@ def test_mixing_reaches_its_targets(spark):
     assert np.allclose((n * r) @ p, targets, rtol=0.02) and r.min() >= 0
 
 
+def test_mixing_to_given_targets(spark):
+    """Given weights are reached by query and stage, also where a domain shrinks; what can't be reached is an error with the gaps."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    names = mixing.fit_domains(docs, labels, "lang", mixing.Mix()).names
+    targets = dict(zip(names, (3.0, 2.0, 2.0, 3.0)))
+    rows = q.op8_mixing(spark, SF, targets=targets).collect()
+    p, n, r = (np.array([x[c] for x in rows]) for c in ("posterior", "n_words", "rate"))
+    reached = (n * r) @ p
+    assert np.allclose(reached / n.sum(), [targets[x] / 10 for x in names], rtol=0.02) and r.min() >= 0
+    assert (reached < 0.9 * (n @ p)).any()
+    assert corpus_pipeline.mix_languages(spark, docs, SF, targets=targets).columns == docs.columns
+    with pytest.raises(ValueError, match="not reached"):
+        mixing.mixing_rates(docs, labels, cfg=mixing.Mix(at_least=1.0), targets=targets)
+    with pytest.raises(ValueError, match="without a domain"):
+        mixing.mixing_rates(docs, labels, targets={"xx": 1.0})
+
+
 def test_mixing_learns_every_domain(spark):
     """Forty domains, one of them rare, and values without a labelled document."""
     rows = [(k, f"w{k % 40} x{k % 40} y{k % 40}", f"d{k % 40}") for k in range(800)] + [(900, "rare words", "rare"), (901, "w1 x2", "unseen"), (902, "w3", "unseen too")]
