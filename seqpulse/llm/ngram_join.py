@@ -9,6 +9,9 @@ r"""N-gram Jaccard join: documents whose sets of word shingles overlap by `thres
    ratio never meet) and salt, whose number follows the size of the group. Bitmaps of 1,024 bits bound the overlap from above; what they leave
    is decided by an exact intersection of the sorted sets. Pairs within a component cannot change a component.
 
+Steps 3 and the restriction of 4 serve the components alone (`jaccard_groups`, for drop_near_copies). The join itself (`jaccard_links`) compares all classes of a
+key in tiles and returns every linked pair of classes with the membership of rows.
+
 Words are `[^\x20\x09-\x0D]+` after A-Z are lower-cased. A text of fewer words than a shingle is one shingle. Null or empty texts have no
 set and are linked with nothing. Rows with a null id take part; a component's id is its smallest id that is not null.
 Repeated rows fall into one class. Other columns play no part. An empty table gives an empty result.
@@ -216,17 +219,14 @@ def _rooted(candidates: DataFrame, roots: DataFrame) -> DataFrame:
     return candidates.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("key", "class", "n", F.coalesce("root", "class").alias("root"))
 
 
-def jaccard_groups(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
-    """doc_id, row_key, n_shingles, component_id for every row."""
-    rows = store(shingle_classes(docs, width, threshold), "shingle-classes")
-    classes = rows.filter(F.col("class").isNotNull()).groupBy("class").agg(
-        F.first("n").alias("n"), F.first("keys").alias("keys"), F.min(F.struct("doc_id", "row_key")).alias("rep"))
-    each = classes.select(F.explode("keys").alias("key"), "class", "n")
-    met = each.groupBy("key").agg(F.min(F.struct("n", "class"))["class"].alias("hub"), F.count("*").alias("c")).filter("c > 1")
-    candidates = store(each.join(met.select("key", "hub"), "key"), "shingle-candidates")
-    wanted = candidates.select("class").distinct().join(
-        rows.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct("doc_id", "row_key")).alias("rep")), "class").select("rep.doc_id", "rep.row_key")
-    members = store(_members(docs, wanted, width).dropDuplicates(["class"]), "shingle-members")
+def _all_links(candidates: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
+    """Every linked pair (a, b) of classes once: all classes of a key meet in tiles, and what sizes and bitmaps leave is decided exactly."""
+    each = candidates.select("key", "class", "n", F.col("class").alias("root")).join(members.select("class", "bitmap"), "class")
+    return _star_edges(store(_tile_pairs(each, threshold), "shingle-pairs"), members, threshold).distinct()
+
+
+def _component_edges(candidates: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
+    """Linked pairs that join the same components as all links do, without most of those inside a component."""
     star = _best_hub(candidates.filter("class != hub"))
     edges = store(_star_edges(star, members, threshold), "edges-star")
     roots = connected(edges)
@@ -247,13 +247,51 @@ def jaccard_groups(docs: DataFrame, width: int = 5, threshold: int = 80) -> Data
     still = rooted.join(open_keys, "key", "left_semi").join(members.select("class", "bitmap"), "class")
     pairs = store(_tile_pairs(still, threshold), "shingle-pairs")
     more = _star_edges(pairs, members, threshold)
-    nodes = connected(edges.union(more)).select(F.col("node").alias("class"), "root")
+    return edges.union(more)
+
+
+def _join(docs: DataFrame, width: int, threshold: int, links: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their class, the component of each class, and the verified pairs."""
+    rows = store(shingle_classes(docs, width, threshold), "shingle-classes")
+    classes = rows.filter(F.col("class").isNotNull()).groupBy("class").agg(
+        F.first("n").alias("n"), F.first("keys").alias("keys"), F.min(F.struct("doc_id", "row_key")).alias("rep"))
+    each = classes.select(F.explode("keys").alias("key"), "class", "n")
+    met = each.groupBy("key").agg(F.min(F.struct("n", "class"))["class"].alias("hub"), F.count("*").alias("c")).filter("c > 1")
+    candidates = store(each.join(met.select("key", "hub"), "key"), "shingle-candidates")
+    wanted = candidates.select("class").distinct().join(
+        rows.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct("doc_id", "row_key")).alias("rep")), "class").select("rep.doc_id", "rep.row_key")
+    members = store(_members(docs, wanted, width).dropDuplicates(["class"]), "shingle-members")
+    edges = store(_all_links(candidates, members, threshold), "shingle-links") if links else _component_edges(candidates, members, threshold)
+    nodes = connected(edges).select(F.col("node").alias("class"), "root")
     of_class = rows.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least")).join(nodes, "class", "left").select(
         "class", "least", F.coalesce("root", "class").alias("root"))
     of_root = of_class.groupBy("root").agg(F.min("least").alias("component"))
     known = store(of_class.join(of_root, "root").select("class", "component"), "shingle-components")
+    return rows, known, edges
+
+
+def _grouped(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.join(known, "class", "left").select(
-        "doc_id", "row_key", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        "doc_id", "row_key", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "class")
+
+
+def jaccard_groups(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
+    """doc_id, row_key, n_shingles, component_id for every row."""
+    rows, known, _ = _join(docs, width, threshold, links=False)
+    return _grouped(rows, known).drop("class")
+
+
+def jaccard_links(docs: DataFrame, width: int = 5, threshold: int = 80) -> tuple[DataFrame, DataFrame]:
+    """The join itself: every linked pair (a, b) of classes with a < b, and the membership: doc_id, row_key, n_shingles, component_id, class, n_links for every row.
+
+    Rows of one class are linked with each other and with all rows of the classes theirs is paired with; n_links counts the other rows linked with a row.
+    """
+    rows, known, pairs = _join(docs, width, threshold, links=True)
+    sizes = rows.filter(F.col("class").isNotNull()).groupBy("class").agg(F.count("*").alias("size"))
+    both = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("class", "other")
+    linked = both.join(sizes.toDF("other", "others"), "other").groupBy("class").agg(F.sum("others").alias("others"))
+    links = store(sizes.join(linked, "class", "left").select("class", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "shingle-n-links")
+    return pairs, _grouped(rows, known).join(links, "class", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:

@@ -101,7 +101,7 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_groups(_table(spark, sf_dir, "documents"), width=3, threshold=90).drop("row_key")
+    return ngram_join.jaccard_links(_table(spark, sf_dir, "documents"), width=3, threshold=90)[1].select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 @query

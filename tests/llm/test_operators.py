@@ -92,6 +92,28 @@ def test_tiles_find_the_links_a_star_misses(spark):
     assert {d: (r["n_shingles"], r["component_id"]) for d, r in got.items()} == brute.jaccard(rows, 1, 80)
 
 
+def test_join_finds_every_link(spark, texts):
+    """All pairs, also inside a component: a chain, a family of near copies, exact copies, and the test texts."""
+    words = [f"t{i}" for i in range(60)]
+    rows = [(k, " ".join(words[2 * k : 2 * k + 30])) for k in range(10)] + [(20 + k, " ".join([*words[:40], f"u{k // 2}"])) for k in range(12)] + [(90, None)]
+    for some, width, threshold in ((rows, 1, 80), (texts, 3, 90)):
+        pairs, found = ngram_join.jaccard_links(spark.createDataFrame(some, "doc_id long, text string"), width, threshold)
+        sets = {}
+        for d, t in some:
+            w = brute.tokens(t)
+            sets[d] = {tuple(w[i : i + width]) for i in range(max(len(w) - width + 1, 1))} if w else set()
+        want = {d: sum(e != d and bool(s) and 100 * len(s & o) >= threshold * len(s | o) for e, o in sets.items()) for d, s in sets.items()}
+        got = by_id(found)
+        assert {d: r["n_links"] for d, r in got.items()} == want
+        assert {d: (r["n_shingles"], r["component_id"]) for d, r in got.items()} == brute.jaccard(some, width, threshold)
+        least = {}
+        for d, r in got.items():
+            least.setdefault(r["class"], d)
+        assert {frozenset((least[r["a"]], least[r["b"]])) for r in pairs.collect()} == {
+            frozenset((least[got[d]["class"]], least[got[e]["class"]])) for d, s in sets.items() for e, o in sets.items()
+            if s and s != o and 100 * len(s & o) >= threshold * len(s | o)}
+
+
 def test_repeats_over_many_chunks(spark, texts, monkeypatch):
     """The same result when each chunk holds a few texts only, groups of windows are cut and buckets are many."""
     import dataclasses
