@@ -6,7 +6,8 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqpulse.llm import byte_dedup, chat, context_mixing, decontaminate, mixing, ngram_join, quality, token_file, toxicity, word_dedup
+from seqpulse.llm import (
+    byte_dedup, chat, context_mixing, decontaminate, hard_negatives, hyperminhash, importance, mixing, ngram_join, quality, token_file, toxicity, word_dedup)
 from seqpulse.llm.common import fold, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +129,81 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold("doc_id", 7, 2)
     scored = context_mixing.score_texts(_table(spark, sf_dir, "documents"), ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_ALNUM = rf"list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_AZ}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_LOWER = rf"list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_AZ}), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+# CRC-32 bit by bit: a byte comes in with its first bit, and each of eight steps shifts one bit out
+SQL["op11_importance_resampling"] = rf"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents), b AS (SELECT {_ALNUM} AS w FROM benchmark),
+widths AS (SELECT unnest([1, 2, 3]) AS k),
+df AS (SELECT doc_id, array_to_string(w[i : i + k - 1], ' ') AS f FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, widths WHERE len(w) >= k)),
+bf AS (SELECT array_to_string(w[i : i + k - 1], ' ') AS f FROM (SELECT w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b, widths WHERE len(w) >= k)),
+hexed AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+bits AS (
+  SELECT f, flatten(list_transform(range(0, length(h) // 2), lambda i: [CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])) AS x FROM hexed),
+hashed AS (
+  SELECT f, xor(4294967295, list_reduce(x, lambda c, e: xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1)), CAST(4294967295 AS BIGINT))) % 10000 AS bucket FROM bits),
+dc AS (SELECT bucket, count(*) AS s FROM df JOIN hashed USING (f) GROUP BY 1), bc AS (SELECT bucket, count(*) AS t FROM bf JOIN hashed USING (f) GROUP BY 1),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM df) + 10000) / (CAST(s + 1 AS DOUBLE) * ((SELECT count(*) FROM bf) + 10000)))) AS BIGINT) AS g
+  FROM dc LEFT JOIN bc USING (bucket)),
+weights AS (SELECT doc_id, count(*) AS n, CAST(sum(g) AS BIGINT) AS weight FROM df JOIN hashed USING (f) JOIN gain USING (bucket) GROUP BY 1),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights USING (doc_id)),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, 5 * count(*) OVER () // 100 AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= n THEN r END AS rank FROM scored LEFT JOIN placed USING (doc_id)"""
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
+SQL["op12_hard_negatives"] = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id AS id, CAST(list_sum(list_transform(list_zip(a.v, r.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM (SELECT * FROM r WHERE vec_id % 100 = 0) a JOIN r ON r.vec_id <> a.vec_id),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN scored USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10"""
+
+
+@query
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_copies(_table(spark, sf_dir, "documents"), width=2, threshold=80).drop("row_key")
+
+
+def _components(width: int, threshold: int) -> str:
+    """Sizes of the shingle sets and the smallest id reachable by links, from shared shingles counted pair by pair."""
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_LOWER} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {width} + 2), lambda i: array_to_string(w[i : i + {width} - 1], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {threshold} * (x.n + y.n - c)),
+reach AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT b, root FROM reach JOIN link ON a = reach.doc_id),
+c AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id"""
+
+
+SQL["op13_minhash_near_dedup"] = _components(2, 80) + ", doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)"
