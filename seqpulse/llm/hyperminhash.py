@@ -7,9 +7,9 @@ r"""Near copies by HyperMinHash: compressed one-permutation registers, banded, e
 2. 51 bands of 5 registers are the keys by which classes meet. Two sets at the threshold of 0.8 share no band with chance (1 - 0.8^5)^51, 2e-9.
 3. Two classes that meet are compared by their registers. The share that agrees, less what sets of these sizes agree by chance,
    estimates the similarity; pairs six standard deviations below the threshold are dropped, the others are verified on their full sets.
-4. Each class is first compared with one hub of each of its bands, in linear work. Bands that still hold several
-   components are then compared in full: in tiles by salt, whose number follows the size of the band's group, each pair in the first band it shares.
-   Pairs inside a component cannot change a component and are left out.
+4. Each class is first compared with one hub of each of its bands, in linear work; the hub then leaves the band, and bands that still hold several
+   components get another. What is left after these rounds is compared in full: in tiles by salt, whose number follows the size of the band's group,
+   each pair in the first band it shares. Pairs inside a component cannot change a component and are left out, the likeliest pair of each class is verified first.
 
 Words are `[^\x20\x09-\x0D]+` after A-Z are lower-cased. A text of fewer words than a shingle is one shingle. Null or empty texts have no set and are linked with nothing.
 A component's id is its smallest id that is not null; a row with a null id takes part, and alone keeps a null component. Repeated rows fall into one class.
@@ -31,6 +31,8 @@ REGISTERS = 256
 MANTISSA = 10
 BAND = 5
 BANDS = REGISTERS // BAND
+#: Rounds of hubs before the tiles.
+STARS = 2
 #: Rows of a band's group that are compared with as many others in one tile.
 TILE = 2000
 #: Rows of tiles that one task holds at a time, about.
@@ -224,7 +226,7 @@ def _verified(pairs: DataFrame, members: DataFrame, threshold: int) -> DataFrame
 
 
 def _tiles(rows: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (class, hub) of different components that sizes and estimates allow, each in the first band it shares; from rows key, class, n, registers, root."""
+    """Pairs (class, hub, guess) of different components that sizes and estimates allow, each in the first band it shares; from rows key, class, n, registers, root."""
     salts = rows.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("salts"))
     salted = rows.join(salts, "key").withColumn("salt", F.pmod(F.xxhash64("class"), "salts").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
@@ -241,7 +243,7 @@ def _tiles(rows: DataFrame, threshold: int) -> DataFrame:
         new = np.ones(len(order), bool)
         new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (key, s1, s2)])
         cut = np.append(np.flatnonzero(new), len(order))
-        left, right = [], []
+        left, right, guessed = [], [], []
         for a, b in zip(cut[:-1], cut[1:]):
             rows = order[a:b]
             x, y = rows[salt[rows] == s1[rows[0]]], rows[salt[rows] == s2[rows[0]]]
@@ -251,25 +253,51 @@ def _tiles(rows: DataFrame, threshold: int) -> DataFrame:
                     fits &= c[y] > c[i]
                 z = y[fits]
                 if len(z):
-                    agree = (regs[z] == regs[i]).sum(axis=1)
-                    z = z[estimate(agree, level[i], level[z]) >= least]
-                if len(z):
+                    guess = estimate((regs[z] == regs[i]).sum(axis=1), level[i], level[z])
                     common = keys[z] == keys[i]
-                    z = z[keys[i][common.argmax(axis=1)] == key[i]]
-                    left.append(np.full(len(z), c[i]))
-                    right.append(c[z])
+                    ok = (guess >= least) & (keys[i][common.argmax(axis=1)] == key[i])
+                    left.append(np.full(ok.sum(), c[i]))
+                    right.append(c[z[ok]])
+                    guessed.append(guess[ok])
         none = [np.zeros(0, np.int64)]
         left, right = np.concatenate(left + none), np.concatenate(right + none)
-        return pa.table({"class": np.maximum(left, right), "hub": np.minimum(left, right)})
+        return pa.table({"class": np.maximum(left, right), "hub": np.minimum(left, right), "guess": np.concatenate([*guessed, np.zeros(0)])})
 
     spark = rows.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-dealt.count() // TASK_ROWS))
     placed = dealt.withColumn("bucket", F.pmod(F.xxhash64("key", "s1", "s2"), F.lit(buckets)).cast("int"))
-    return placed.groupBy("bucket").applyInArrow(compare, "class long, hub long")
+    return placed.groupBy("bucket").applyInArrow(compare, "class long, hub long, guess double")
+
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots (class, root) after links (a, b): only what joins two components goes into the search for components."""
+    ends = links.join(roots.toDF("a", "x"), "a").join(roots.toDF("b", "y"), "b").filter("x != y")
+    up = connected(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    return store(roots.join(up.toDF("root", "up"), "root", "left").select("class", F.coalesce("up", "root").alias("root")), "hmh-roots")
 
-def _rooted(candidates: DataFrame, roots: DataFrame) -> DataFrame:
-    return candidates.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "key", F.coalesce("root", "class").alias("root"))
+
+def _settled(roots: DataFrame, pairs: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
+    """Roots after all pairs (class, hub, guess) were decided that are not within a component by then.
+
+    The likeliest pair of each class comes first and joins most of a family in linear work; then the others that still matter.
+    """
+    for each in (True, False):
+        apart = pairs.join(roots.toDF("class", "x"), "class").join(roots.toDF("hub", "y"), "hub").filter("x != y").select("class", "hub", "guess")
+        if each:
+            apart = apart.groupBy("class").agg(F.max_by("hub", F.struct("guess", "hub")).alias("hub"))
+        tried = store(apart.select("class", "hub"), "hmh-tried")
+        if tried.isEmpty():
+            break
+        roots = _merged(roots, _verified(tried, members, threshold))
+        pairs = pairs.join(tried, ["class", "hub"], "left_anti")
+    return roots
+
+
+def _open(candidates: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows (key, class) of bands that hold several components, with their root."""
+    rooted = candidates.join(roots, "class")
+    several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
+    return rooted.join(several, "key", "left_semi").select("key", "class", "root")
 
 
 def near_copies(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
@@ -280,22 +308,21 @@ def near_copies(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFra
                                               F.min("doc_id").alias("least")), "hmh-classes")
     # sets too small to reach the threshold with any other set meet none
     each = _keyed(classes.filter(100 * F.col("n") >= threshold * (F.col("n") + 1)))
-    met = each.groupBy("key").agg(F.min("class").alias("hub"), F.count("*").alias("c")).filter("c > 1").select("key", "hub")
+    met = each.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     candidates = store(each.join(met, "key"), "hmh-candidates")
-
-    star = _likely(candidates.filter("class != hub").select("class", "hub").distinct(), classes, threshold)
-    star = store(star.groupBy("class").agg(F.max_by("hub", F.struct("guess", "hub")).alias("hub")), "hmh-star")
     members = store(_members(docs, classes, candidates.select("class").distinct(), width), "hmh-members")
-    edges = store(_verified(star, members, threshold), "hmh-links")
-    roots = connected(edges)
-
-    rooted = _rooted(candidates, roots)
-    several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
-    still = store(rooted.join(several, "key", "left_semi").join(classes.select("class", "n", "registers"), "class"), "hmh-open")
-    pairs = store(_tiles(still, threshold), "hmh-pairs")
-    roots = connected(edges.union(_verified(pairs, members, threshold)))
-
-    of_class = classes.select("class", "least").join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "least", F.coalesce("root", "class").alias("root"))
+    roots = store(members.select("class", F.col("class").alias("root")), "hmh-roots")
+    for _ in range(STARS):
+        hubs = candidates.groupBy("key").agg(F.min("class").alias("hub"))
+        met = store(candidates.select("key", "class").join(hubs, "key").filter("class != hub"), "hmh-met")
+        pairs = store(_likely(met.select("class", "hub").distinct(), classes, threshold), "hmh-star")
+        roots = _settled(roots, pairs, members, threshold)
+        # a hub has met all classes of its band, so it leaves the band
+        candidates = store(_open(met.select("key", "class"), roots), "hmh-open")
+    pairs = store(_tiles(candidates.join(classes.select("class", "n", "registers"), "class"), threshold), "hmh-pairs")
+    roots = _settled(roots, pairs, members, threshold)
+
+    of_class = classes.select("class", "least").join(roots, "class", "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     of_root = of_class.groupBy("root").agg(F.min("least").alias("component"))
     known = of_class.join(of_root, "root").select("class", "component")
     component = F.coalesce("component", "doc_id")
