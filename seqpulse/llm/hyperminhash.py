@@ -7,8 +7,8 @@ r"""Near copies by HyperMinHash: compressed one-permutation registers, banded, e
 2. 51 bands of 5 registers are the keys by which classes meet. Two sets at the threshold of 0.8 share no band with chance (1 - 0.8^5)^51, 2e-9.
 3. Two classes that meet are compared by their registers. The share that agrees, less what sets of these sizes agree by chance,
    estimates the similarity; pairs six standard deviations below the threshold are dropped, the others are verified on their full sets.
-4. Each class is first compared with one hub of each of its bands, in linear work; the hub then leaves the band, and bands that still hold several
-   components get another. What is left after these rounds is compared in full: in tiles by salt, whose number follows the size of the band's group,
+4. Each class is first compared with one hub, the one of most of its bands, in linear work. Bands that still hold several components compare
+   their classes with their own hub, which then leaves them. What is left is compared in full: in tiles by salt, whose number follows the size of the band's group,
    each pair in the first band it shares. Pairs inside a component cannot change a component and are left out, the likeliest pair of each class is verified first.
 
 Words are `[^\x20\x09-\x0D]+` after A-Z are lower-cased. A text of fewer words than a shingle is one shingle. Null or empty texts have no set and are linked with nothing.
@@ -31,7 +31,7 @@ REGISTERS = 256
 MANTISSA = 10
 BAND = 5
 BANDS = REGISTERS // BAND
-#: Rounds of hubs before the tiles.
+#: Rounds in which each class meets one hub.
 STARS = 2
 #: Rows of a band's group that are compared with as many others in one tile.
 TILE = 2000
@@ -193,7 +193,8 @@ def _members(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int)
     """class, members (the sorted hashes) of the wanted classes, from the whole text of one row of each."""
     reps = wanted.join(classes.select("class", "rep.doc_id", "rep.row_key"), "class").select(F.col("class"), F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))
     rows = docs.select("doc_id", row_key().alias("row_key"), "text")
-    rows = rows.join(reps, F.col("row_key").eqNullSafe(F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    # one plan at every size: texts are dealt by their key once
+    rows = rows.join(reps.hint("merge"), F.col("row_key").eqNullSafe(F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(200_000)
@@ -293,6 +294,14 @@ def _settled(roots: DataFrame, pairs: DataFrame, members: DataFrame, threshold:
     return roots
 
 
+def _nearest(candidates: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """Pairs (class, hub) of different components: for each class the hub of most of its bands, among the hubs of this turn."""
+    rooted = candidates.select("key", "class").join(roots, "class")
+    hubs = rooted.groupBy("key").agg(F.min(F.struct(F.xxhash64("class", F.lit(turn)), "class", "root")).alias("h"))
+    pairs = rooted.join(hubs, "key").filter(F.col("root") != F.col("h.root")).select("class", F.col("h.class").alias("hub"))
+    return pairs.groupBy("class", "hub").count().groupBy("class").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
+
+
 def _open(candidates: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows (key, class) of bands that hold several components, with their root."""
     rooted = candidates.join(roots, "class")
@@ -312,13 +321,17 @@ def near_copies(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFra
     candidates = store(each.join(met, "key"), "hmh-candidates")
     members = store(_members(docs, classes, candidates.select("class").distinct(), width), "hmh-members")
     roots = store(members.select("class", F.col("class").alias("root")), "hmh-roots")
-    for _ in range(STARS):
-        hubs = candidates.groupBy("key").agg(F.min("class").alias("hub"))
-        met = store(candidates.select("key", "class").join(hubs, "key").filter("class != hub"), "hmh-met")
-        pairs = store(_likely(met.select("class", "hub").distinct(), classes, threshold), "hmh-star")
-        roots = _settled(roots, pairs, members, threshold)
-        # a hub has met all classes of its band, so it leaves the band
-        candidates = store(_open(met.select("key", "class"), roots), "hmh-open")
+    for turn in range(STARS):
+        # one hub for each class, the one it shares most bands with: a family becomes one component in linear work
+        star = store(_likely(_nearest(candidates, roots, turn), classes, threshold).select("class", "hub"), "hmh-star")
+        roots = _merged(roots, _verified(star, members, threshold))
+        candidates = store(_open(candidates.select("key", "class"), roots), "hmh-open")
+    # what is still apart meets the hub of each band; the hub has then met all classes of the band and leaves it
+    hubs = candidates.groupBy("key").agg(F.min(F.struct("class", "root")).alias("h")).select("key", F.col("h.class").alias("hub"), F.col("h.root").alias("hub_root"))
+    met = store(candidates.join(hubs, "key").filter("class != hub"), "hmh-met")
+    pairs = store(_likely(met.filter("root != hub_root").select("class", "hub").distinct(), classes, threshold), "hmh-star")
+    roots = _settled(roots, pairs, members, threshold)
+    candidates = store(_open(met.select("key", "class"), roots), "hmh-open")
     pairs = store(_tiles(candidates.join(classes.select("class", "n", "registers"), "class"), threshold), "hmh-pairs")
     roots = _settled(roots, pairs, members, threshold)
 
