@@ -7,9 +7,9 @@ r"""Near copies by HyperMinHash: compressed one-permutation registers, banded, e
 2. 51 bands of 5 registers are the keys by which classes meet. Two sets at the threshold of 0.8 share no band with chance (1 - 0.8^5)^51, 2e-9.
 3. Two classes that meet are compared by their registers. The share that agrees, less what sets of these sizes agree by chance,
    estimates the similarity; pairs six standard deviations below the threshold are dropped, the others are verified on their full sets.
-4. Each class is first compared with one hub, the one of most of its bands, in linear work. Bands that still hold several components compare
-   their classes with their own hub, which then leaves them. What is left is compared in full: in tiles by salt, whose number follows the size of the band's group,
-   each pair in the first band it shares. Pairs inside a component cannot change a component and are left out, the likeliest pair of each class is verified first.
+4. Each class is first compared with one hub, the one of most of its bands, in linear work. Bands that still hold several components are then compared
+   in full: in tiles by salt, whose number follows the size of the band's group, each pair in the first band it shares, and verified there, so that
+   pairs are never written out. Pairs inside a component cannot change a component and are left out.
 
 Words are `[^\x20\x09-\x0D]+` after A-Z are lower-cased. A text of fewer words than a shingle is one shingle. Null or empty texts have no set and are linked with nothing.
 A component's id is its smallest id that is not null; a row with a null id takes part, and alone keeps a null component. Repeated rows fall into one class.
@@ -36,7 +36,7 @@ STARS = 2
 #: Rows of a band's group that are compared with as many others in one tile.
 TILE = 2000
 #: Rows of tiles that one task holds at a time, about.
-TASK_ROWS = 20_000
+TASK_ROWS = 10_000
 EMPTY = np.uint16(0xFFFF)
 _REST = 52  # bits of a hash below the bucket that count, so that doubles hold them
 
@@ -167,9 +167,13 @@ def _set(x: pa.Scalar) -> np.ndarray:
     return np.frombuffer(x.as_buffer(), np.uint64)
 
 
-def _linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= threshold * (len(a) + len(b) - both)
+def _linked_to(one: np.ndarray, others: list[np.ndarray], threshold: int) -> np.ndarray:
+    """Which of some sets the one is linked with, by the exact sizes of the intersections."""
+    sizes = np.array([len(x) for x in others], np.int64)
+    flat = np.concatenate(others)
+    place = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    both = np.add.reduceat((one[place] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * both >= threshold * (len(one) + sizes - both)
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
@@ -219,55 +223,64 @@ def _verified(pairs: DataFrame, members: DataFrame, threshold: int) -> DataFrame
     def verify(table: pa.Table) -> pa.Table:
         hub = table["hub"][0].as_py()
         classes = table["class"].to_pylist()
-        centre = _set(table["members"][classes.index(hub)])
-        found = [c for c, s in zip(classes, table["members"]) if c != hub and _linked(centre, _set(s), threshold)]
+        sets = [_set(x) for x in table["members"]]
+        linked = _linked_to(sets[classes.index(hub)], sets, threshold)
+        found = [c for c, ok in zip(classes, linked) if ok and c != hub]
         return pa.table({"a": pa.array([hub] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
 
     return rows.groupBy("hub", "salt").applyInArrow(verify, "a long, b long")
 
 
-def _tiles(rows: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (class, hub, guess) of different components that sizes and estimates allow, each in the first band it shares; from rows key, class, n, registers, root."""
+def _tile_links(rows: DataFrame, threshold: int) -> DataFrame:
+    """Verified links (a, b) that join components, from rows key, class, n, registers, root, members.
+
+    Pairs are looked at in the first band they share, passed by sizes and estimate, and verified on the full sets inside the tile; of the links
+    only those come out that join what is still apart in the tile, so that no more rows come out than went in.
+    """
     salts = rows.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("salts"))
     salted = rows.join(salts, "key").withColumn("salt", F.pmod(F.xxhash64("class"), "salts").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
     dealt = salted.withColumn("other", other).select(
-        "key", F.least("salt", "other").alias("s1"), F.greatest("salt", "other").alias("s2"), "salt", "class", "n", "root", "registers")
+        "key", F.least("salt", "other").alias("s1"), F.greatest("salt", "other").alias("s2"), "salt", "class", "n", "root", "registers", "members")
     least = cutoff(threshold)
 
     def compare(table: pa.Table) -> pa.Table:
         """All tiles of a bucket, one after the other."""
         key, s1, s2, salt, c, n, root = (table[x].to_numpy() for x in ("key", "s1", "s2", "salt", "class", "n", "root"))
-        regs = _matrix(table["registers"])
+        regs, sets = _matrix(table["registers"]), [_set(x) for x in table["members"]]
         keys, level = band_keys(regs), levels(n)
         order = np.lexsort((s2, s1, key))
         new = np.ones(len(order), bool)
         new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (key, s1, s2)])
         cut = np.append(np.flatnonzero(new), len(order))
-        left, right, guessed = [], [], []
+        links = []
         for a, b in zip(cut[:-1], cut[1:]):
             rows = order[a:b]
             x, y = rows[salt[rows] == s1[rows[0]]], rows[salt[rows] == s2[rows[0]]]
+            names, labels = np.unique(root[rows], return_inverse=True)
+            label = dict(zip(rows.tolist(), labels.tolist()))
+            now = np.arange(len(names))  # the component of each root so far
+            of_y = np.array([label[j] for j in y.tolist()], np.int64)
             for i in x:
-                fits = (root[y] != root[i]) & (100 * np.minimum(n[i], n[y]) >= threshold * np.maximum(n[i], n[y]))
+                fits = (now[of_y] != now[label[i]]) & (100 * np.minimum(n[i], n[y]) >= threshold * np.maximum(n[i], n[y]))
                 if s1[i] == s2[i]:
                     fits &= c[y] > c[i]
-                z = y[fits]
-                if len(z):
-                    guess = estimate((regs[z] == regs[i]).sum(axis=1), level[i], level[z])
-                    common = keys[z] == keys[i]
-                    ok = (guess >= least) & (keys[i][common.argmax(axis=1)] == key[i])
-                    left.append(np.full(ok.sum(), c[i]))
-                    right.append(c[z[ok]])
-                    guessed.append(guess[ok])
-        none = [np.zeros(0, np.int64)]
-        left, right = np.concatenate(left + none), np.concatenate(right + none)
-        return pa.table({"class": np.maximum(left, right), "hub": np.minimum(left, right), "guess": np.concatenate([*guessed, np.zeros(0)])})
+                at = np.flatnonzero(fits)
+                at = at[keys[i][(keys[y[at]] == keys[i]).argmax(axis=1)] == key[i]]
+                if len(at):
+                    at = at[estimate((regs[y[at]] == regs[i]).sum(axis=1), level[i], level[y[at]]) >= least]
+                for j in at[_linked_to(sets[i], [sets[k] for k in y[at]], threshold)] if len(at) else ():
+                    p, q = now[label[i]], now[of_y[j]]
+                    if p != q:
+                        now[now == q] = p
+                        links.append((c[i], c[y[j]]))
+        pairs = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs.min(axis=1, initial=2**63 - 1), "b": pairs.max(axis=1, initial=-(2**63))})
 
     spark = rows.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-dealt.count() // TASK_ROWS))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
     placed = dealt.withColumn("bucket", F.pmod(F.xxhash64("key", "s1", "s2"), F.lit(buckets)).cast("int"))
-    return placed.groupBy("bucket").applyInArrow(compare, "class long, hub long, guess double")
+    return placed.groupBy("bucket").applyInArrow(compare, "a long, b long")
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -277,23 +290,6 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return store(roots.join(up.toDF("root", "up"), "root", "left").select("class", F.coalesce("up", "root").alias("root")), "hmh-roots")
 
 
-def _settled(roots: DataFrame, pairs: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
-    """Roots after all pairs (class, hub, guess) were decided that are not within a component by then.
-
-    The likeliest pair of each class comes first and joins most of a family in linear work; then the others that still matter.
-    """
-    for each in (True, False):
-        apart = pairs.join(roots.toDF("class", "x"), "class").join(roots.toDF("hub", "y"), "hub").filter("x != y").select("class", "hub", "guess")
-        if each:
-            apart = apart.groupBy("class").agg(F.max_by("hub", F.struct("guess", "hub")).alias("hub"))
-        tried = store(apart.select("class", "hub"), "hmh-tried")
-        if tried.isEmpty():
-            break
-        roots = _merged(roots, _verified(tried, members, threshold))
-        pairs = pairs.join(tried, ["class", "hub"], "left_anti")
-    return roots
-
-
 def _nearest(candidates: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
     """Pairs (class, hub) of different components: for each class the hub of most of its bands, among the hubs of this turn."""
     rooted = candidates.select("key", "class").join(roots, "class")
@@ -326,14 +322,8 @@ def near_copies(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFra
         star = store(_likely(_nearest(candidates, roots, turn), classes, threshold).select("class", "hub"), "hmh-star")
         roots = _merged(roots, _verified(star, members, threshold))
         candidates = store(_open(candidates.select("key", "class"), roots), "hmh-open")
-    # what is still apart meets the hub of each band; the hub has then met all classes of the band and leaves it
-    hubs = candidates.groupBy("key").agg(F.min(F.struct("class", "root")).alias("h")).select("key", F.col("h.class").alias("hub"), F.col("h.root").alias("hub_root"))
-    met = store(candidates.join(hubs, "key").filter("class != hub"), "hmh-met")
-    pairs = store(_likely(met.filter("root != hub_root").select("class", "hub").distinct(), classes, threshold), "hmh-star")
-    roots = _settled(roots, pairs, members, threshold)
-    candidates = store(_open(met.select("key", "class"), roots), "hmh-open")
-    pairs = store(_tiles(candidates.join(classes.select("class", "n", "registers"), "class"), threshold), "hmh-pairs")
-    roots = _settled(roots, pairs, members, threshold)
+    apart = candidates.join(classes.select("class", "n", "registers"), "class").join(members, "class")
+    roots = _merged(roots, store(_tile_links(apart, threshold), "hmh-links"))
 
     of_class = classes.select("class", "least").join(roots, "class", "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     of_root = of_class.groupBy("root").agg(F.min("least").alias("component"))
