@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from calendar import monthrange
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, functions as F
 
 from seqpulse.config import Config
 from seqpulse.functions import (
-    fill_days, fill_weeks, norm_cadence, ratio, rep_facing, starts_with_any, weeks_back,
+    bucket, fill_days, fill_weeks, norm_cadence, ratio, rep_facing, starts_with_any, weeks_back,
 )
 from seqpulse.operators import sequence as seq
 from seqpulse.operators.baseline import baseline, is_drop, is_spike
@@ -19,8 +20,10 @@ from seqpulse.sources import Tables, snapshot
 from seqpulse.sources.snapshot import at
 
 
-def _months_back(as_of: date, months: int):
-    return F.add_months(F.lit(as_of), -months).cast("timestamp")
+def months_back(as_of: date, months: int) -> date:
+    """The same day of an earlier month, or the last day of a shorter one."""
+    year, month = divmod(as_of.year * 12 + as_of.month - 1 - months, 12)
+    return date(year, month + 1, min(as_of.day, monthrange(year, month + 1)[1]))
 
 
 # 1 ------------------------------------------------------------------------------------------------
@@ -31,11 +34,11 @@ def start_recency(checkpoints: DataFrame, as_of: date, cfg: Config = Config()) -
     The floor is safe: a sequence is kept only with a start inside the months, so its last start lies there too.
     """
     ts = F.col("event_timestamp")
-    alive = _months_back(as_of, cfg.alive_months)
-    recent = at(as_of - timedelta(days=cfg.silent_days))
-    starts = exclude_domains(snapshot(checkpoints, "checkpoints", as_of), cfg.internal_domains)
+    alive = months_back(as_of, cfg.alive_months)
+    recent = at(as_of - timedelta(days=cfg.silent_days), cfg.tz)
+    starts = exclude_domains(snapshot(checkpoints, "checkpoints", as_of, alive, cfg.tz), cfg.internal_domains)
     return (
-        starts.filter((F.col("cadence_step") == "Start") & (ts >= alive))
+        starts.filter(F.col("cadence_step") == "Start")
         .groupBy(norm_cadence().alias("cadence_id"))
         .agg(F.count("*").alias("starts_last_4mo"), F.count_if(ts >= recent).alias("starts_last_7d"),
              F.max(ts).alias("last_start_ts"))
@@ -82,7 +85,7 @@ def recent_doubles(checkpoints: DataFrame, as_of: date, event: str, cfg: Config
     named = exclude_names(checkpoints, cfg.recurring_substrings)
     state = seq.person_state(named, as_of, cfg)
     floor = as_of - timedelta(days=cfg.double_days)
-    events = seq.external_events(snapshot(named, "checkpoints", as_of, floor), cfg)
+    events = seq.external_events(snapshot(named, "checkpoints", as_of, floor, cfg.tz), cfg)
     flagged = _double_alert(double_rates(checkpoints, as_of, cfg, state), cfg, event).select("cadence_id")
     return seq.double_events(events, cfg, event, state).join(flagged, "cadence_id", "left_semi")
 
@@ -95,7 +98,7 @@ def stuck_rates(
     """Of the recent entrants who are still in: how many have been for `stuck_days` or more."""
     people = seq.person_state(checkpoints, as_of, cfg) if state is None else state
     active = exclude_names(people, cfg.recurring_substrings).filter(seq.still_in("recent_start", cfg))
-    days = F.date_diff(F.lit(as_of), F.to_date("recent_start"))
+    days = F.date_diff(F.lit(as_of), bucket("recent_start", "day", cfg.tz))
     return (
         active.groupBy("cadence_id")
         .agg(F.count("*").alias("active_pros"), F.count_if(days >= cfg.stuck_days).alias("stuck_pros"),
@@ -114,7 +117,7 @@ def _grid_floor(as_of: date, cfg: Config) -> date:
     return weeks_back(as_of, cfg.n_weeks)[0]
 
 
-def _judge(weekly: DataFrame, metrics: list[str], as_of: date, cfg: Config) -> DataFrame:
+def judge(weekly: DataFrame, metrics: list[str], as_of: date, cfg: Config) -> DataFrame:
     """Zero-filled complete weeks with their baselines.
 
     A sequence without a single row in these weeks has a mean of 0 and cannot be flagged, so the series alone
@@ -124,7 +127,7 @@ def _judge(weekly: DataFrame, metrics: list[str], as_of: date, cfg: Config) -> D
     return baseline(filled, metrics, cfg.baseline_weeks)
 
 
-def _recent(weekly: DataFrame, as_of: date, cfg: Config) -> DataFrame:
+def recent_weeks(weekly: DataFrame, as_of: date, cfg: Config) -> DataFrame:
     return weekly.filter(F.col("week_start") >= F.lit(as_of - timedelta(days=cfg.recent_days)))
 
 
@@ -141,7 +144,7 @@ def entry_exit_baselines(checkpoints: DataFrame, as_of: date, cfg: Config = Conf
         snapshot(checkpoints, "checkpoints", as_of, _grid_floor(as_of, cfg), cfg.tz), cfg.internal_domains
     )
     weekly = people_per_week(people, {"entries": "Start", "exits": "Exit"}, cfg.tz)
-    return _recent(_judge(weekly, ["entries", "exits"], as_of, cfg), as_of, cfg)
+    return recent_weeks(judge(weekly, ["entries", "exits"], as_of, cfg), as_of, cfg)
 
 
 def entry_exit_drop(checkpoints: DataFrame, as_of: date, cfg: Config = Config()) -> DataFrame:
@@ -159,7 +162,7 @@ def step_baselines(steps: DataFrame, as_of: date, cfg: Config = Config()) -> Dat
         snapshot(steps, "steps", as_of, _grid_floor(as_of, cfg), cfg.tz), cfg.internal_domains, "email__c"
     )
     weekly = steps_per_week(seen, cfg, blank_is_open=True)
-    return _recent(_judge(weekly, ["steps_surfaced", "steps_completed"], as_of, cfg), as_of, cfg)
+    return recent_weeks(judge(weekly, ["steps_surfaced", "steps_completed"], as_of, cfg), as_of, cfg)
 
 
 def _step_drop(judged: DataFrame, metric: str, cfg: Config) -> DataFrame:
@@ -189,7 +192,7 @@ def engagement(
     floor = as_of - timedelta(days=oldest)
     cohort = (
         exclude_names(
-            exclude_domains(snapshot(checkpoints, "checkpoints", as_of - timedelta(days=newest), floor),
+            exclude_domains(snapshot(checkpoints, "checkpoints", as_of - timedelta(days=newest), floor, cfg.tz),
                             cfg.internal_domains),
             cfg.quiet_substrings,
         )
@@ -198,12 +201,12 @@ def engagement(
         .filter("cadence_id IS NOT NULL")
     )
     worked = (
-        exclude_domains(snapshot(steps, "steps", as_of, floor), cfg.internal_domains, "email__c")
+        exclude_domains(snapshot(steps, "steps", as_of, floor, cfg.tz), cfg.internal_domains, "email__c")
         .filter(rep_facing(cfg))
         .select(norm_cadence("cadence_id__c").alias("cadence_id"), F.col("email__c").alias("email"),
                 F.greatest("createddate", "result_date_time__c").alias("touch"))
     )
-    touches = worked.unionByName(_mail_touches(cohort, comms, email_msgs, as_of, floor))
+    touches = worked.unionByName(_mail_touches(cohort, comms, email_msgs, as_of, floor, cfg))
     last = touches.groupBy("cadence_id", "email").agg(F.max("touch").alias("touch"))
     return (
         cohort.join(last, ["cadence_id", "email"], "left")
@@ -214,24 +217,32 @@ def engagement(
 
 
 def _mail_touches(
-    cohort: DataFrame, comms: DataFrame, email_msgs: DataFrame, as_of: date, floor: date
+    cohort: DataFrame, comms: DataFrame, email_msgs: DataFrame, as_of: date, floor: date, cfg: Config
 ) -> DataFrame:
     """Times of e-mails to members of the cohort, from workflows named after the member's sequence.
 
     Messages are brought to one row per id and sequence, receivers to the members they concern; the two then meet
     on id and sequence, so that a message id with many workflows and many receivers does not multiply.
     """
-    sent = snapshot(comms, "comms", as_of, floor).filter("comm_id IS NOT NULL AND workflow_name IS NOT NULL")
+    sent = snapshot(comms, "comms", as_of, floor, cfg.tz).filter("comm_id IS NOT NULL AND workflow_name IS NOT NULL")
     messages = sent.groupBy("comm_id", "workflow_name").agg(F.max("comm_date").alias("touch"))
     by_sequence = (
         messages.join(name_bridge(messages.filter("touch IS NOT NULL"), cohort), "workflow_name")
         .groupBy("comm_id", "cadence_id").agg(F.max("touch").alias("touch"))
     )
-    receivers = (
-        email_msgs.select(F.col("message_id").alias("comm_id"), F.col("pro_email_address").alias("email"))
-        .filter("comm_id IS NOT NULL").join(cohort.select("cadence_id", "email"), "email")
-    )
-    return receivers.join(by_sequence, ["comm_id", "cadence_id"]).select("cadence_id", "email", "touch")
+    return received_by(cohort, by_sequence, email_msgs)
+
+
+def received_by(people: DataFrame, by_sequence: DataFrame, email_msgs: DataFrame) -> DataFrame:
+    """cadence_id, email, touch: the messages (comm_id, cadence_id, touch) that members of the sequence received.
+
+    `email_msgs` has no date and is the large side. It is first cut to the ids of these messages: where they are few Spark hands them
+    out, else it sifts the receivers by a bloom filter of the ids before it deals them.
+    """
+    ids = by_sequence.select("comm_id").distinct()
+    received = email_msgs.select(F.col("message_id").alias("comm_id"), F.col("pro_email_address").alias("email")).filter("comm_id IS NOT NULL")
+    members = received.join(ids, "comm_id", "left_semi").join(people.select("cadence_id", "email"), "email")
+    return members.join(by_sequence, ["comm_id", "cadence_id"]).select("cadence_id", "email", "touch")
 
 
 def low_engagement(
@@ -258,7 +269,7 @@ def email_baselines(
     listed = active_names(checkpoints, as_of) if names is None else names
     watched = listed.filter(starts_with_any(F.col("cadence_id"), cfg.name_prefixes)) if cfg.name_prefixes else listed
     weekly = weekly_email_volume(comms, watched, as_of, weeks_back(as_of, cfg.n_weeks, include_current=False), cfg.tz)
-    return _recent(_judge(weekly, ["email_volume"], as_of, cfg), as_of, cfg)
+    return recent_weeks(judge(weekly, ["email_volume"], as_of, cfg), as_of, cfg)
 
 
 def email_volume(
@@ -281,7 +292,7 @@ def double_baseline(
     """Days on which repeats exceed their own trailing mean by `n_sd` deviations."""
     named = exclude_names(checkpoints, cfg.recurring_substrings)
     first_day = as_of - timedelta(days=days + recent_days - 1)
-    events = seq.external_events(snapshot(named, "checkpoints", as_of, first_day), cfg)
+    events = seq.external_events(snapshot(named, "checkpoints", as_of, first_day, cfg.tz), cfg)
     state = seq.person_state(named, as_of, cfg, before_day=first_day)
     daily = fill_days(seq.daily_doubles(events, cfg, event, state), ["doubles"], as_of, days + recent_days)
     judged = baseline(daily, ["doubles"], days, "day")
@@ -313,14 +324,14 @@ def no_surfaced(steps: DataFrame, as_of: date, cfg: Config = Config()) -> DataFr
     """Sequences that surfaced steps in the last months but none in the last days."""
     created = F.col("createddate")
     seen = exclude_names(
-        exclude_domains(snapshot(steps, "steps", as_of), cfg.internal_domains, "email__c"),
+        exclude_domains(snapshot(steps, "steps", as_of, tz=cfg.tz), cfg.internal_domains, "email__c"),
         cfg.quiet_substrings, "cadence_id__c",
     )
     return (
-        seen.filter(rep_facing(cfg) & (created >= _months_back(as_of, cfg.alive_months)))
+        seen.filter(rep_facing(cfg) & (created >= at(months_back(as_of, cfg.alive_months), cfg.tz)))
         .groupBy(norm_cadence("cadence_id__c").alias("cadence_id"))
         .agg(F.count("*").alias("surfaced_last_4mo"),
-             F.count_if(created >= at(as_of - timedelta(days=cfg.silent_days))).alias("surfaced_last_7d"),
+             F.count_if(created >= at(as_of - timedelta(days=cfg.silent_days), cfg.tz)).alias("surfaced_last_7d"),
              F.max(created).alias("last_surfaced_ts"))
         .filter("surfaced_last_7d = 0")
     )

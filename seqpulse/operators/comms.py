@@ -32,7 +32,7 @@ def name_bridge(names: DataFrame, cadences: DataFrame) -> DataFrame:
     return pieces.join(wanted, F.col("piece") == F.lower("cadence_id")).select("workflow_name", "cadence_id")
 
 
-def _per_cadence(counts: DataFrame, cadences: DataFrame, keys: list[str], metric: str) -> DataFrame:
+def per_cadence(counts: DataFrame, cadences: DataFrame, keys: list[str], metric: str) -> DataFrame:
     """Counts per workflow name as counts per sequence.
 
     The names come from the counted rows, so that the messages are read and shuffled once for both.
@@ -51,7 +51,7 @@ def comms_volume(comms: DataFrame, cadences: DataFrame, as_of: date, floor: date
         sent.groupBy("workflow_name", "comm_type", F.to_date("comm_date").alias("comm_day"))
         .agg(F.count("*").alias("n"))
     )
-    return _per_cadence(daily, cadences, ["comm_type", "comm_day"], "messages")
+    return per_cadence(daily, cadences, ["comm_type", "comm_day"], "messages")
 
 
 def weekly_email_volume(comms: DataFrame, cadences: DataFrame, as_of: date, weeks: list[date], tz: str | None = None) -> DataFrame:
@@ -63,7 +63,7 @@ def weekly_email_volume(comms: DataFrame, cadences: DataFrame, as_of: date, week
         .filter(F.col("week_start").between(first, last))
         .groupBy("workflow_name", "week_start").agg(F.count("*").alias("n"))
     )
-    return _per_cadence(weekly, cadences, ["week_start"], "email_volume")
+    return per_cadence(weekly, cadences, ["week_start"], "email_volume")
 
 
 def workflow_coverage(checkpoints: DataFrame, comms: DataFrame) -> DataFrame:

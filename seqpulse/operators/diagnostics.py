@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqpulse.config import Config
-from seqpulse.functions import fill_weeks, is_break_exit, monday, norm_cadence, weeks_back
+from seqpulse.functions import bucket, fill_weeks, is_break_exit, monday, norm_cadence, weeks_back
 from seqpulse.operators import sequence as seq
 from seqpulse.operators.funnel import people_per_week, sequence_names, steps_per_week, wow
 from seqpulse.sources import snapshot
@@ -21,11 +21,11 @@ def last_starts(checkpoints: DataFrame, as_of: date, cfg: Config = Config()) ->
     recent = as_of - timedelta(days=cfg.silent_days)
     earlier = recent - timedelta(weeks=cfg.n_weeks)
     return (
-        snapshot(checkpoints, "checkpoints", as_of).filter("cadence_step = 'Start'")
+        snapshot(checkpoints, "checkpoints", as_of, tz=cfg.tz).filter("cadence_step = 'Start'")
         .groupBy(norm_cadence().alias("cadence_id"))
         .agg(F.max(ts).alias("last_start_ts"),
-             F.count_if((ts >= at(earlier)) & (ts < at(recent))).alias("starts_prior_weeks"))
-        .withColumn("days_since_last_start", F.date_diff(F.lit(as_of), F.to_date("last_start_ts")))
+             F.count_if((ts >= at(earlier, cfg.tz)) & (ts < at(recent, cfg.tz))).alias("starts_prior_weeks"))
+        .withColumn("days_since_last_start", F.date_diff(F.lit(as_of), bucket("last_start_ts", "day", cfg.tz)))
         .withColumn("prior_weekly_starts", F.round(F.col("starts_prior_weeks") / cfg.n_weeks, 4))
         .withColumn("is_sparse", F.col("starts_prior_weeks") < cfg.n_weeks)
     )
@@ -93,7 +93,7 @@ def payload_class(cfg: Config) -> Column:
 
 
 def payload_profile(checkpoints: DataFrame, as_of: date, cfg: Config = Config()) -> DataFrame:
-    recent = snapshot(checkpoints, "checkpoints", as_of, as_of - timedelta(days=cfg.payload_days))
+    recent = snapshot(checkpoints, "checkpoints", as_of, as_of - timedelta(days=cfg.payload_days), cfg.tz)
     return (
         recent.groupBy(norm_cadence().alias("cadence_id"), "cadence_step", "cadence_step_status", "cadence_step_value")
         .agg(F.count("*").alias("rows"))
@@ -106,7 +106,7 @@ def sibling_profile(
 ) -> DataFrame:
     """How two sequences write the same events: rows and shares of each payload side by side."""
     name = norm_cadence()
-    recent = snapshot(checkpoints, "checkpoints", as_of, as_of - timedelta(days=cfg.payload_days))
+    recent = snapshot(checkpoints, "checkpoints", as_of, as_of - timedelta(days=cfg.payload_days), cfg.tz)
     a, b = F.count_if(name == cadence_a), F.count_if(name == cadence_b)
     return (
         recent.filter(name.isin(cadence_a, cadence_b))
@@ -152,7 +152,7 @@ def diagnose(
     `as_of` has not had its time yet.
     """
     keys = sequence_names(checkpoints, as_of) if cadences is None else cadences
-    events = seq.all_events(snapshot(checkpoints, "checkpoints", as_of))
+    events = seq.all_events(snapshot(checkpoints, "checkpoints", as_of, tz=cfg.tz))
     people = weekly_people(checkpoints, as_of, cfg, keys)
     worked = weekly_steps(steps, as_of, cfg, keys)
 

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqpulse.config import Config
-from seqpulse.operators import alerts
+from seqpulse.operators import alerts, folds
 from seqpulse.operators.baseline import is_drop, is_spike
 from seqpulse.sources import Tables
 
@@ -66,25 +66,29 @@ def _against_baseline(check: int, series: str, flagged: Column, sub_key: str | N
 
 
 def alert_feed(
-    tables: Tables, as_of: date, cfg: Config = Config(), state: DataFrame | None = None, names: DataFrame | None = None
+    tables: Tables, as_of: date, cfg: Config = Config(), state: DataFrame | None = None, names: DataFrame | None = None,
+    cube: DataFrame | None = None, mail: DataFrame | None = None, rates: DataFrame | None = None,
 ) -> DataFrame:
     """Every alert of every check as one row of nine columns. No rows means that nothing was found.
 
-    Checks that read the same aggregate (2 and 3, both metrics of 5, 7 and 8, both directions of 9) come from one
-    branch, so that the union holds one scan per source and period. With a stored `person_state` and list of
-    `active_names` the event history is not scanned at all.
+    Checks 1 and 5 to 9 are rolled up from the day cube and the mail fold (`operators.folds`), checks 2 to 4 from the state of each person. A batch
+    run stores these and the list of `active_names`, and gives the `rates` of checks 2 and 3 from the stored slices: then no fact table is scanned here.
     """
     cp, steps = tables.checkpoints, tables.steps
+    cube = folds.day_cube(cp, steps, as_of, cfg) if cube is None else cube
+    mail = folds.mail_fold(tables.comms, as_of, cfg) if mail is None else mail
+    names = alerts.active_names(cp, as_of) if names is None else names
+    rates = alerts.double_rates(cp, as_of, cfg, state) if rates is None else rates
     today = F.lit(as_of)
     col = F.col
 
     silent = _emit(
-        alerts.start_recency(cp, as_of, cfg),
+        folds.start_recency(cube, as_of, cfg),
         _alert(1, col("starts_last_7d") == 0, col("starts_last_7d"), F.lit(cfg.silent_days),
                _text(last_start_ts=F.date_format("last_start_ts", "yyyy-MM-dd HH:mm:ss.SSS")), today),
     )
     doubled = _emit(
-        alerts.double_rates(cp, as_of, cfg, state),
+        rates,
         *[
             _alert(check, col(f"double_{e}_pct") > cfg.double_pct, col(f"double_{e}_pct"), F.lit(cfg.double_pct),
                    _text(**{f"double_{e}_count": col(f"double_{e}s"), f"total_{e}s_7d": col(f"total_{e}s"),
@@ -98,26 +102,23 @@ def alert_feed(
                _text(stuck_pros=col("stuck_pros"), active_pros=col("active_pros"),
                      longest_days_in_cadence=col("longest_days_in_cadence")), today),
     )
-    dropped = _emit(
-        alerts.entry_exit_baselines(cp, as_of, cfg),
+    weekly = _emit(
+        folds.weekly_baselines(cube, as_of, cfg),
         *[_against_baseline(5, m, is_drop(m, cfg), m, metric=F.lit(m)) for m in ("entries", "exits")],
+        *[_against_baseline(check, m, is_drop(m, cfg)) for check, m in ((7, "steps_surfaced"), (8, "steps_completed"))],
     )
     ignored = _emit(
-        alerts.engagement(cp, steps, tables.comms, tables.email_msgs, as_of, cfg),
+        folds.engagement(cube, mail, tables.email_msgs, as_of, cfg),
         _alert(6, col("engaged_pct") < cfg.engage_pct, col("engaged_pct"), F.lit(cfg.engage_pct),
                _text(cohort_size=col("cohort_size"), engaged_count=col("engaged_count")), today),
     )
-    worked = _emit(
-        alerts.step_baselines(steps, as_of, cfg),
-        *[_against_baseline(check, m, is_drop(m, cfg)) for check, m in ((7, "steps_surfaced"), (8, "steps_completed"))],
-    )
     mailed = _emit(
-        alerts.email_baselines(cp, tables.comms, as_of, cfg, names),
+        folds.email_baselines(mail, names, as_of, cfg),
         _against_baseline(9, "email_volume", is_drop("email_volume", cfg), "drop", direction=F.lit("drop")),
         _against_baseline(9, "email_volume", is_spike("email_volume", cfg), "spike", direction=F.lit("spike")),
     )
     rows = silent
-    for part in (doubled, stuck, dropped, ignored, worked, mailed):
+    for part in (doubled, stuck, weekly, ignored, mailed):
         rows = rows.unionByName(part)
     return rows.withColumn("id", row_id()).select(FEED_COLUMNS)
 

