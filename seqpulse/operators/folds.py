@@ -30,12 +30,14 @@ def cube_floor(as_of: date, cfg: Config) -> date:
     return min(weeks_back(as_of, cfg.n_weeks)[0], alive, as_of - timedelta(days=cfg.engage_band[1]))
 
 
-def day_cube(checkpoints: DataFrame, steps: DataFrame, as_of: date, cfg: Config = Config()) -> DataFrame:
+def day_cube(
+    checkpoints: DataFrame, steps: DataFrame, as_of: date, cfg: Config = Config(), floor: date | None = None
+) -> DataFrame:
     """starts, exits, first_start, last_start, surfaced, completed and last_touch per sequence, external person and day.
 
-    A step counts as surfaced on the day it was created and as completed on the day of its result; both are touches.
+    From `floor` on, by default the first day the checks look at. A step counts as surfaced on the day it was created and as completed on the day of its result; both are touches.
     """
-    floor, ts, step = cube_floor(as_of, cfg), F.col("event_timestamp"), F.col("cadence_step")
+    floor, ts, step = floor or cube_floor(as_of, cfg), F.col("event_timestamp"), F.col("cadence_step")
     start = F.when(step == "Start", ts)
     no_time, none = F.lit(None).cast("timestamp"), F.lit(0).cast("bigint")
     one = F.lit(1).cast("bigint")

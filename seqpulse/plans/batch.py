@@ -7,38 +7,59 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqpulse.config import Config
-from seqpulse.operators import alerts, feed as feeds, marts, sequence
+from seqpulse.functions import bucket
+from seqpulse.operators import alerts, feed as feeds, folds, marts, slices
 from seqpulse.session import configure, durable
-from seqpulse.sources import Tables, read_feed, write_feed, write_mart
+from seqpulse.sources import Tables, read_feed, snapshot, write_feed, write_mart
 
 
 def run_alerts(
-    spark: SparkSession, tables: Tables, as_of: date, cfg: Config, out: str, previous_day: date | None = None
+    spark: SparkSession, tables: Tables, as_of: date, cfg: Config, out: str, previous_day: date | None = None,
+    late: DataFrame | None = None,
 ) -> DataFrame:
     """All nine checks into the feed folder of this run.
 
-    The per-person state and the list of sequences are written first and shared by the checks. With `previous_day`,
-    those of that run are carried forward, so that a daily run reads months of events instead of the whole
-    history. Running a day again replaces its own folders only.
+    What the checks share is stored first: one summary per person and day (`operators.slices`), the state put together from them, the list of sequences, the
+    day cube and the mail fold. With `previous_day` the summaries and names of that run are carried forward and only the days since are
+    read; `late` holds checkpoints that arrived after their day, whose days are summarised anew. Summaries of other parameters are refused.
+    Running a day again replaces its own folders only.
     """
     configure(spark)
     cp = tables.checkpoints
     if previous_day is not None and previous_day >= as_of:
         raise ValueError(f"previous_day {previous_day} is not before {as_of}")
     if previous_day is None:
-        state = sequence.person_state(cp, as_of, cfg)
+        days = slices.day_slices(cp, as_of, cfg)
         names = alerts.active_names(cp, as_of)
     else:
-        previous = _read(spark, out, "person_state", previous_day)
-        state = sequence.advance_state(previous, cp, previous_day, as_of, cfg)
+        stored = _read(spark, out, "day_slices", previous_day)
+        made_with = _read(spark, out, "day_slices_made_with", previous_day).first()["fingerprint"]
+        if made_with != slices.fingerprint(cfg):
+            raise ValueError(f"the summaries of {previous_day} were made with other parameters; run without previous_day")
+        fresh = [previous_day + timedelta(days=i) for i in range(1, (as_of - previous_day).days + 1)]
+        days = slices.replaced(stored, cp, as_of, cfg, sorted({*fresh, *_days_of(late, as_of, cfg)}))
         known = _read(spark, out, "sequence_names", previous_day)
-        names = known.union(alerts.active_names(cp, as_of, floor=as_of - timedelta(days=cfg.stuck_window))).distinct()
-    state = _store(state, out, "person_state", as_of)
+        recent = alerts.active_names(cp, as_of, floor=previous_day)
+        names = known.union(recent if late is None else recent.union(alerts.active_names(late, as_of))).distinct()
+    days = _store(days, out, "day_slices", as_of)
+    _store(spark.createDataFrame([(slices.fingerprint(cfg),)], "fingerprint string"), out, "day_slices_made_with", as_of)
+    state = _store(slices.person_state(days, as_of, cfg), out, "person_state", as_of)
     names = _store(names, out, "sequence_names", as_of)
-    write_feed(feeds.alert_feed(tables, as_of, cfg, state, names), f"{out}/alert_feed", as_of)
+    cube = _store(folds.day_cube(cp, tables.steps, as_of, cfg), out, "day_cube", as_of)
+    mail = _store(folds.mail_fold(tables.comms, as_of, cfg), out, "mail_fold", as_of)
+    rates = slices.double_rates(days, as_of, cfg, state)
+    write_feed(feeds.alert_feed(tables, as_of, cfg, state, names, cube, mail, rates), f"{out}/alert_feed", as_of)
     return read_feed(spark, f"{out}/alert_feed")
 
 
+def _days_of(late: DataFrame | None, as_of: date, cfg: Config) -> list[date]:
+    """The local days of late rows: as many as the history has days at most."""
+    if late is None:
+        return []
+    seen = snapshot(late, "checkpoints", as_of, tz=cfg.tz).select(bucket("event_timestamp", "day", cfg.tz).alias("day")).distinct()
+    return [r["day"] for r in seen.filter("day IS NOT NULL").collect()]
+
+
 def _read(spark: SparkSession, out: str, table: str, day: date) -> DataFrame:
     return spark.read.parquet(f"{out}/{table}/as_of={day.isoformat()}")
 
