@@ -90,6 +90,10 @@ def checkpoints(src: Source) -> DataFrame:
             _text(key % 39).alias("workflow_id"),
             F.concat(F.lit("g"), _text(customer % 2)).alias("entry_group"),
             F.col("o_orderdate").alias("event_timestamp"),
+            F.concat(F.lit("r"), _text(key % 9)).alias("rep_id"), F.concat(F.lit("s"), _text(customer % 7)).alias("sdr_id"),
+            F.concat(F.lit("Rep "), _text(customer % 7)).alias("sdr_name"), F.when(key % 3 > 0, F.concat(F.lit("pod "), _text(key % 3))).alias("sdr_pod_role"),
+            F.when(key % 6 == 0, F.concat(F.lit("o"), _text("o_orderkey"))).alias("opportunity_id"), F.concat(F.lit("c"), _text(key % 12)).alias("case_id"),
+            F.concat(F.lit("w"), _text(key % 5)).alias("case_owner_id"), _text(key % 4).alias("cadence_time_required"),
         ),
         "checkpoints",
     )

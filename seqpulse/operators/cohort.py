@@ -23,14 +23,25 @@ def cohort_rollup(cohort: DataFrame, grain: str = "week", cfg: Config = Config()
     )
 
 
-def conversion_funnel(cohort: DataFrame, horizon: int = 60) -> DataFrame:
+def _periods(cohort: DataFrame, horizon: int, as_of: date | None, grain: str | None) -> tuple[DataFrame, list[str]]:
+    """The cohort with `mature` (old enough at `as_of` for the horizon to be over; all, where no day is given), and the keys of a period."""
+    mature = F.lit(True) if as_of is None else F.coalesce(F.date_diff(F.lit(as_of), "entry_dt") >= horizon, F.lit(False))
+    marked = cohort.withColumn("mature", mature)
+    return (marked, []) if grain is None else (marked.withColumn("entry_period", F.trunc("entry_dt", grain)), ["entry_period"])
+
+
+def conversion_funnel(cohort: DataFrame, horizon: int = 60, as_of: date | None = None, grain: str | None = None) -> DataFrame:
     """Entries that reached each stage at least once, with the rate against the stage before and against entries.
 
-    Both enrolment types are compared with the demos attended.
+    Both enrolment types are compared with the demos attended. With `as_of` only entries old enough for the horizon are counted, as
+    the others had no time to convert: stage 0 is `mature_entries`, and `all_entries` stands beside it. `grain` splits by entry week or month.
     """
     before = dict(zip(MEASURES, ["entries", *MEASURES[:6], "demo_attended"]))
-    reached = cohort.groupBy("cadence_id").agg(
-        F.count("*").alias("entries"), *[F.count_if(F.col(f"{m}_{horizon}_days") > 0).alias(m) for m in MEASURES]
+    marked, period = _periods(cohort, horizon, as_of, grain)
+    mature = F.col("mature")
+    reached = marked.groupBy("cadence_id", *period).agg(
+        F.count("*").alias("all_entries"), F.count_if(mature).alias("entries"),
+        *[F.count_if(mature & (F.col(f"{m}_{horizon}_days") > 0)).alias(m) for m in MEASURES]
     )
 
     def stage(position: int, name: str, previous: str) -> Column:
@@ -41,17 +52,23 @@ def conversion_funnel(cohort: DataFrame, horizon: int = 60) -> DataFrame:
         )
 
     stages = [stage(0, "entries", "entries"), *[stage(i, m, before[m]) for i, m in enumerate(MEASURES, 1)]]
-    return reached.select("cadence_id", F.inline(F.array(*stages)))
+    beside = [] if as_of is None else ["all_entries", F.col("entries").alias("mature_entries")]
+    return reached.select("cadence_id", *period, *beside, F.inline(F.array(*stages)))
 
 
-def test_vs_control(cohort: DataFrame, horizon: int = 60, by: str | None = None) -> DataFrame:
+def test_vs_control(
+    cohort: DataFrame, horizon: int = 60, by: str | None = None, as_of: date | None = None, grain: str | None = None
+) -> DataFrame:
     """Mean measure per entry of the treated and of the held-out population, and their difference.
 
-    `by="entry_group"` also splits by landing group.
+    `by="entry_group"` also splits by landing group, `grain` by entry week or month. With `as_of` both means are over
+    entries old enough for the horizon alone, and `all_entries` tells how many there are of any age.
     """
-    keys = ["cadence_id"] + ([by] if by else [])
-    treated, held = F.col("test_flag") == 0, F.col("test_flag") == 1
-    sums = cohort.groupBy(*keys).agg(
+    marked, period = _periods(cohort, horizon, as_of, grain)
+    keys = ["cadence_id", *([by] if by else []), *period]
+    treated, held = F.col("mature") & (F.col("test_flag") == 0), F.col("mature") & (F.col("test_flag") == 1)
+    sums = marked.groupBy(*keys).agg(
+        F.count("*").alias("all_entries"),
         F.count_if(treated).alias("treatment_entries"), F.count_if(held).alias("control_entries"),
         *[F.sum(F.when(treated, F.col(f"{m}_{horizon}_days"))).alias(f"{m}_t") for m in MEASURES],
         *[F.sum(F.when(held, F.col(f"{m}_{horizon}_days"))).alias(f"{m}_c") for m in MEASURES],
@@ -65,7 +82,8 @@ def test_vs_control(cohort: DataFrame, horizon: int = 60, by: str | None = None)
             F.round(t - c, 4).alias("difference"),
         )
 
-    return sums.select(*keys, "treatment_entries", "control_entries", F.inline(F.array(*map(compared, MEASURES))))
+    beside = [] if as_of is None else ["all_entries"]
+    return sums.select(*keys, *beside, "treatment_entries", "control_entries", F.inline(F.array(*map(compared, MEASURES))))
 
 
 test_vs_control.__test__ = False

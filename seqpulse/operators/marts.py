@@ -57,26 +57,33 @@ def checkpoint_facts(checkpoints: DataFrame, cfg: Config = Config()) -> DataFram
     )
 
 
-def _first_and_exit_times(events: DataFrame, cfg: Config) -> DataFrame:
-    """Time of the first entry per person and sequence, and of the first exit at or after it.
+_ATTRIBUTES = [
+    "cadence_step", "entry_group", "workflow_id", "email", "lead_id", "user_id", "anonymous_id", "object_record_id", *REP_FIELDS,
+]
+
 
-    The exit depends on the entry, so instants are first folded per slice of time: within the slice of the first
-    entry only exits from that entry on count, later slices give their earliest exit. A person with very many
-    events is spread over many groups, and only numbers are shuffled.
+def _first_entry_and_exit(events: DataFrame, cfg: Config) -> DataFrame:
+    """The first entry per person and sequence with its attributes, and the first exit at or after it with its reason.
+
+    Time and attributes travel together as one struct, whose minimum is the earliest event (of equal times the one with the
+    smallest attributes), so that nothing has to be fetched afterwards. The exit depends on the entry: events are first folded per slice of
+    time, where only exits from the slice's first entry on count, and later slices give their earliest exit. A person with very
+    many events is spread over many groups; each slice hands on at most one entry and two exits.
     """
     ts = F.col("event_timestamp")
     sliced = [*_PERSON, "slice"]
+    entry = F.when(_is_entry(), F.struct("event_timestamp", *_ATTRIBUTES))
+    leave = F.when(_is_exit(), F.struct("event_timestamp", "cadence_step_value"))
     instants = (
         events.withColumn("slice", F.floor(F.unix_seconds(ts) / cfg.slice_seconds))
-        .groupBy(*sliced, "event_timestamp")
-        .agg(F.max(F.when(_is_entry(), ts)).alias("entered"), F.max(F.when(_is_exit(), ts)).alias("left"))
+        .groupBy(*sliced, "event_timestamp").agg(F.min(entry).alias("entered"), F.min(leave).alias("left"))
     )
-    slice_entry = F.min("entered").over(Window.partitionBy(*sliced))
+    slice_entry = F.min("entered.event_timestamp").over(Window.partitionBy(*sliced))
     slices = (
         instants.withColumn("slice_entry", slice_entry).groupBy(*sliced)
         .agg(
             F.min("entered").alias("entered"),
-            F.min(F.when(F.col("left") >= F.col("slice_entry"), F.col("left"))).alias("left_after"),
+            F.min(F.when(F.col("left.event_timestamp") >= F.col("slice_entry"), F.col("left"))).alias("left_after"),
             F.min("left").alias("left_any"),
         )
     )
@@ -84,41 +91,26 @@ def _first_and_exit_times(events: DataFrame, cfg: Config) -> DataFrame:
     here, later = F.col("slice") == F.col("entry_slice"), F.col("slice") > F.col("entry_slice")
     return (
         slices.withColumn("entry_slice", entry_slice).groupBy(*_PERSON)
-        .agg(F.min("entered").alias("entry_timestamp"),
-             F.min(F.when(here, F.col("left_after")).when(later, F.col("left_any"))).alias("exit_timestamp"))
-        .filter("entry_timestamp IS NOT NULL")
+        .agg(F.min("entered").alias("entry"), F.min(F.when(here, F.col("left_after")).when(later, F.col("left_any"))).alias("exit"))
+        .filter("entry IS NOT NULL")
     )
 
 
 def entries(
     checkpoints: DataFrame, account_map: DataFrame, as_of: date, cfg: Config = Config()
 ) -> DataFrame:
-    """First entry (treated or held out) per person and sequence, with the first exit at or after it.
+    """First entry (treated or held out) per person and sequence, with the first exit at or after it, from one pass.
 
-    The two times are found on narrow rows; the attributes are then fetched from the events at exactly these
-    times. Events that tie are decided by their attributes, so that a rerun gives the same row.
+    Events that tie are decided by their attributes, so that a rerun gives the same row.
     """
+    known = snapshot(checkpoints, "checkpoints", as_of)
     events = (
-        snapshot(checkpoints, "checkpoints", as_of)
-        .filter(F.col("cadence_step").isin("Start", "Test", "Exit") & F.col("cadence_id").isNotNull())
-        .withColumns({"unique_id": F.coalesce(unique_id(), F.lit(_NOBODY)), "cadence_id": norm_cadence()})
+        known.filter(F.col("cadence_step").isin("Start", "Test", "Exit") & F.col("cadence_id").isNotNull())
+        .withColumns({"unique_id": F.coalesce(unique_id(), F.lit(_NOBODY)), "cadence_id": norm_cadence(),
+                      **dict(zip(REP_FIELDS, _rep_fields(known)))})
     )
-    times = _first_and_exit_times(events.select(*_PERSON, "cadence_step", "event_timestamp"), cfg)
-    wanted = times.select(*_PERSON, F.inline(F.array(
-        F.struct(F.col("entry_timestamp").alias("event_timestamp"), F.lit(True).alias("at_entry")),
-        F.struct(F.col("exit_timestamp").alias("event_timestamp"), F.lit(False).alias("at_entry")),
-    ))).filter("event_timestamp IS NOT NULL")
-    attributes = ["cadence_step", "entry_group", "workflow_id", "email", "lead_id", "user_id", "anonymous_id",
-                  "object_record_id"]
     found = (
-        events.select(*_PERSON, "event_timestamp", "cadence_step_value", *attributes, *_rep_fields(checkpoints))
-        .join(wanted, [*_PERSON, "event_timestamp"])
-        .filter(F.when(F.col("at_entry"), _is_entry()).otherwise(_is_exit()))
-        .groupBy(*_PERSON)
-        .agg(
-            F.min(F.when(F.col("at_entry"), F.struct("event_timestamp", *attributes, *REP_FIELDS))).alias("entry"),
-            F.min(F.when(~F.col("at_entry"), F.struct("event_timestamp", "cadence_step_value"))).alias("exit"),
-        )
+        _first_entry_and_exit(events, cfg)
         .select(
             F.nullif("unique_id", F.lit(_NOBODY)).alias("unique_id"), "cadence_id", "entry.*",
             F.col("exit.event_timestamp").alias("exit_timestamp"), F.col("exit.cadence_step_value").alias("exit_group"),
@@ -216,9 +208,17 @@ def cohort_performance(
     )
 
 
-def eligible_counts(eligible: DataFrame) -> DataFrame:
-    """Eligible leads and accounts per day, segment and assignment."""
+def eligible_counts(eligible: DataFrame, as_of: date | None = None, floor: date | None = None) -> DataFrame:
+    """Eligible leads and accounts per day, segment and assignment, of the days from `floor` to `as_of`.
+
+    Ids are folded before they are counted, so that copies of an id end where they lie and a day's count is a sum over many tasks.
+    The bounds are on the day the table is stored by.
+    """
+    day = F.col("eligible_dt")
+    kept = eligible if as_of is None else eligible.filter(day <= F.lit(as_of))
+    kept = kept if floor is None else kept.filter(day >= F.lit(floor))
+    keys = ["eligible_dt", "lead_specialization_segment", "object_type", "assigned_flag"]
     return (
-        eligible.groupBy("eligible_dt", "lead_specialization_segment", "object_type", "assigned_flag")
-        .agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids"))
+        kept.groupBy(*keys, "id").agg(F.count("*").alias("rows"))
+        .groupBy(*keys).agg(F.sum("rows").alias("rows"), F.count("id").alias("ids"))
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,6 +12,7 @@ from seqpulse.functions import bucket
 from seqpulse.operators import alerts, feed as feeds, folds, marts, slices
 from seqpulse.session import configure, durable
 from seqpulse.sources import Tables, read_feed, snapshot, write_feed, write_mart
+from seqpulse.sources.snapshot import at
 
 
 def run_alerts(
@@ -95,11 +97,40 @@ def run_digest(spark: SparkSession, today: date, cfg: Config, out: str, ledger:
         df.write.mode("overwrite").parquet(f"{out}/digest/{name}/run_date={today.isoformat()}")
 
 
-def run_marts(spark: SparkSession, tables: Tables, as_of: date, cfg: Config, out: str) -> None:
-    """Checkpoint facts, entries and cohort performance; the cohort mart reads the entries just written."""
+def run_marts(
+    spark: SparkSession, tables: Tables, as_of: date, cfg: Config, out: str, previous_day: date | None = None,
+    late: DataFrame | None = None,
+) -> None:
+    """Checkpoint facts, entries, cohort performance and, where there are eligible rows, their counts.
+
+    With `previous_day` the facts of the months since that run and of the months of `late` rows are written anew, and the counts of the days since; the
+    other folders stay as they are. Entries may change at any time in the past, so entries and cohorts are written whole; the
+    cohort mart reads the entries just written.
+    """
     configure(spark)
     known = tables.as_of(as_of)
-    write_mart(marts.checkpoint_facts(known.checkpoints, cfg), f"{out}/fact_cadence_checkpoints")
+    months = None if previous_day is None else _months(previous_day, as_of) | {d.replace(day=1) for d in _days_of(late, as_of, replace(cfg, tz=None))}
+    facts = marts.checkpoint_facts(_of_months(known.checkpoints, months), cfg).withColumn("event_dt", F.to_date("event_timestamp"))
+    write_mart(facts, f"{out}/fact_cadence_checkpoints", "event_dt", only_months=months is not None)
     write_mart(marts.entries(tables.checkpoints, tables.account_map, as_of, cfg), f"{out}/detail_cadence_entries", "entry_dt")
     stored = spark.read.parquet(f"{out}/detail_cadence_entries").drop("entry_dt_month")
     write_mart(marts.cohort_performance(stored, tables.activity, as_of, cfg), f"{out}/cohort_cadence_performance", "entry_dt")
+    if tables.eligible is not None:
+        floor = None if previous_day is None else min(_months(previous_day, as_of))
+        write_mart(marts.eligible_counts(tables.eligible, as_of, floor), f"{out}/eligible_counts", "eligible_dt", only_months=floor is not None)
+
+
+def _months(after: date, as_of: date) -> set[date]:
+    """First days of the months with a day after `after` up to `as_of`."""
+    return {(after + timedelta(days=i)).replace(day=1) for i in range(1, (as_of - after).days + 1)}
+
+
+def _of_months(checkpoints: DataFrame, months: set[date] | None) -> DataFrame:
+    """Rows of the given months, by bounds on the raw column; all rows where none are given."""
+    if months is None:
+        return checkpoints
+    ts, wanted = F.col("event_timestamp"), F.lit(False)
+    for first in sorted(months):
+        following = (first + timedelta(days=31)).replace(day=1)
+        wanted = wanted | ((ts >= at(first)) & (ts < at(following)))
+    return checkpoints.filter(wanted)

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from seqpulse.sources.schema import SCHEMAS
 
 
-def write_mart(df: DataFrame, path: str, date_column: str | None = None, mode: str = "overwrite") -> None:
-    """Write a mart, one folder per month of `date_column`.
+def write_mart(
+    df: DataFrame, path: str, date_column: str | None = None, mode: str = "overwrite", only_months: bool = False
+) -> None:
+    """Write a mart, one folder per month of `date_column`; `only_months` replaces the months that occur in `df` and leaves the others.
 
     Rows of a month are first brought together, so that a run does not leave one small file per task and month; the
     rebalancing splits months that are too large for one file.
@@ -21,7 +23,7 @@ def write_mart(df: DataFrame, path: str, date_column: str | None = None, mode: s
     month = f"{date_column}_month"
     (
         df.withColumn(month, F.trunc(F.col(date_column), "month")).hint("rebalance", F.col(month))
-        .write.mode(mode).partitionBy(month).parquet(path)
+        .write.mode(mode).option("partitionOverwriteMode", "dynamic" if only_months else "static").partitionBy(month).parquet(path)
     )
 
 
