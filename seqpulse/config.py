@@ -27,8 +27,7 @@ class Config:
     system_step: str = "clear_step"
     lost_status: str = "Lost Lead"
     known_steps: tuple[str, ...] = (
-        "Start", "Test", "Break", "Exit", "Call Disposition", "Stage Update",
-        "Appcues segmentation", "Request failed",
+        "Start", "Test", "Break", "Exit", "Call Disposition", "Stage Update", "Request failed",
     )
     known_statuses: tuple[str, ...] = ("Success", "Failure", "Break")
     lite_enroll_types: tuple[str, ...] = ("Lite", "Type 1")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqpulse.config import Config
-from seqpulse.operators import alerts, folds
+from seqpulse.functions import bucket
+from seqpulse.operators import alerts, folds, slices
 from seqpulse.operators.baseline import is_drop, is_spike
+from seqpulse.operators.sequence import still_in
 from seqpulse.sources import Tables
 
 # The number, name and tier of each check, as readers of the feed know them.
@@ -276,25 +278,38 @@ def check_overview(feed: DataFrame) -> DataFrame:
     )
 
 
-# Main column of each check and its direction.
+# Main column of each check and its direction; the weekly checks are sorted by how far the week lies from its baseline.
 MAIN_COLUMN = {
     1: ("last_start_ts", "desc"),
     2: ("double_start_pct", "desc"),
     3: ("double_exit_pct", "desc"),
     4: ("stuck_pct", "desc"),
-    5: ("week_start", "desc"),
+    5: ("gap", "desc"),
     6: ("engaged_pct", "asc"),
-    7: ("week_start", "desc"),
-    8: ("week_start", "desc"),
-    9: ("week_start", "desc"),
+    7: ("gap", "desc"),
+    8: ("gap", "desc"),
+    9: ("gap", "desc"),
 }
+_WEEKLY = {5: {"entries": "entries_", "exits": "exits_"}, 7: {"steps_surfaced": ""}, 8: {"steps_completed": ""}, 9: {"email_volume": ""}}
+
+
+def _weekly_detail(rows: DataFrame, metrics: dict[str, str]) -> DataFrame:
+    """cadence_id, week_start, metric, this_week, baseline, gap: one row for each metric that was flagged."""
+    def line(metric: str, prefix: str) -> Column:
+        flag = F.col(f"{metric}_drop_flag") if prefix else F.lit(True)
+        baseline = F.col(f"{prefix}baseline_mean")
+        return F.when(flag, F.struct(F.lit(metric).alias("metric"), F.col(metric).alias("this_week"), baseline.alias("baseline"),
+                                     F.round(F.abs(F.col(metric) - baseline), 1).alias("gap")))
+    lines = F.filter(F.array(*[line(m, p) for m, p in metrics.items()]), lambda r: r.isNotNull())
+    return rows.select("cadence_id", "week_start", F.inline(lines))
 
 
 def check_detail(checks: dict[int, DataFrame], number: int) -> DataFrame:
-    """The own columns of one check, sorted by the one that matters most."""
+    """The detail table of one check, sorted by the column that matters most: its own columns, of a weekly check this week beside its baseline."""
+    rows = _weekly_detail(checks[number], _WEEKLY[number]) if number in _WEEKLY else checks[number]
     column, direction = MAIN_COLUMN[number]
     order = F.desc(column) if direction == "desc" else F.asc(column)
-    return checks[number].orderBy(order, "cadence_id")
+    return rows.orderBy(order, "cadence_id", *(["week_start"] if number in _WEEKLY else []))
 
 
 # text ---------------------------------------------------------------------------------------------
@@ -303,15 +318,43 @@ def _number(column: str) -> Column:
     return F.round(column, 4).cast("decimal(38,4)").cast("string")
 
 
-def urgent_messages(feed: DataFrame) -> DataFrame:
-    """One message per alert: headline and numbers. No cause is stated."""
+def samples(feed: DataFrame, days: DataFrame, state: DataFrame, as_of: date, cfg: Config = Config(), n: int = 5) -> DataFrame:
+    """check_number, cadence_id, emails: up to `n` of the people behind each alert of checks 2 to 4, those with most repeats or days first.
+
+    From the stored `day_slices` and `person_state`. Only people of flagged sequences are ranked, and each task keeps its best `n` before the shuffle.
+    """
+    recent = days.filter(F.col("day").between(F.lit(as_of - timedelta(days=cfg.double_days)), F.lit(as_of)))
+    repeated = slices.chained(recent, state).groupBy("cadence_id", "email").agg(
+        F.sum("double_starts").alias("double_starts"), F.sum("double_exits").alias("double_exits"))
+    stay = F.date_diff(F.lit(as_of), bucket("recent_start", "day", cfg.tz))
+    waiting = state.filter(still_in("recent_start", cfg) & (stay >= cfg.stuck_days))
+    people = (
+        repeated.select("cadence_id", "email", F.inline(F.array(
+            F.struct(F.lit(2).alias("check_number"), F.col("double_starts").alias("weight")),
+            F.struct(F.lit(3).alias("check_number"), F.col("double_exits").alias("weight")))))
+        .filter("weight > 0")
+        .unionByName(waiting.select("cadence_id", "email", F.lit(4).alias("check_number"), stay.cast("bigint").alias("weight")))
+    )
+    alerts_of = feed.filter(F.col("check_number").isin(2, 3, 4)).select("check_number", "cadence_id").distinct()
+    most = Window.partitionBy("check_number", "cadence_id").orderBy(F.desc("weight"), "email")
+    best = people.join(alerts_of, ["check_number", "cadence_id"], "left_semi").withColumn("place", F.row_number().over(most)).filter(F.col("place") <= n)
+    in_order = F.sort_array(F.collect_list(F.struct("place", "email")))  # at most n
+    return best.groupBy("check_number", "cadence_id").agg(F.transform(in_order, lambda r: r["email"]).alias("emails"))
+
+
+def urgent_messages(feed: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """One message per alert: headline, numbers and, where there are `samples`, some of the people. No cause is stated."""
     headline = F.concat(F.lit("**"), F.col("check_name"), F.lit(" — "), F.coalesce("cadence_id", F.lit("")), F.lit("**"))
     against = F.concat(
         F.lit("• "), _number("metric_value"),
         F.coalesce(F.concat(F.lit(" vs. "), _number("reference_value")), F.lit("")),
     )
-    body = F.concat_ws("\n", headline, against, F.concat(F.lit("• "), F.col("detail")))
-    return route(feed).filter("tier = 'urgent'").select("id", "check_number", "cadence_id", body.alias("message"))
+    lines = [headline, against, F.concat(F.lit("• "), F.col("detail"))]
+    urgent = route(feed).filter("tier = 'urgent'")
+    if samples is not None:
+        urgent = urgent.join(samples, ["check_number", "cadence_id"], "left")
+        lines.append(F.concat(F.lit("• e.g. "), F.array_join("emails", ", ")))
+    return urgent.select("id", "check_number", "cadence_id", F.concat_ws("\n", *lines).alias("message"))
 
 
 def digest_message(feed: DataFrame, today: date, n: int = 3) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 from datetime import date, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqpulse.config import Config
@@ -82,7 +83,7 @@ def run_digest(spark: SparkSession, today: date, cfg: Config, out: str, ledger:
     latest = durable(feeds.freshest(history).drop("run_date"))
     period = feeds.digest_period(latest, today)
     results = {
-        "urgent_messages": feeds.urgent_messages(current),
+        "urgent_messages": feeds.urgent_messages(current, _samples(spark, current, today, cfg, out)),
         "digest_message": feeds.digest_message(latest, today),
         "check_overview": feeds.check_overview(period),
         "top_by_severity": feeds.top_by_severity(period),
@@ -97,6 +98,15 @@ def run_digest(spark: SparkSession, today: date, cfg: Config, out: str, ledger:
         df.write.mode("overwrite").parquet(f"{out}/digest/{name}/run_date={today.isoformat()}")
 
 
+def _samples(spark: SparkSession, feed: DataFrame, today: date, cfg: Config, out: str) -> DataFrame | None:
+    """The people behind today's alerts, where the run that found them left its summaries."""
+    try:
+        days, state = (_read(spark, out, name, today) for name in ("day_slices", "person_state"))
+    except AnalysisException:
+        return None
+    return feeds.samples(feed, days, state, today, cfg)
+
+
 def run_marts(
     spark: SparkSession, tables: Tables, as_of: date, cfg: Config, out: str, previous_day: date | None = None,
     late: DataFrame | None = None,
