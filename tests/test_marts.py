@@ -102,3 +102,26 @@ def test_maturity(spark):
     df = spark.createDataFrame([("S", DAY - timedelta(days=d)) for d in (29, 30, 59, 60)], "cadence_id string, entry_dt date")
     marked = {r.cohort_age_days: (r.mature_30_days, r.mature_60_days) for r in cohort.with_maturity(df, DAY, CFG).collect()}
     assert marked == {29: (False, False), 30: (True, False), 59: (True, False), 60: (True, True)}
+
+
+def test_rates_are_over_mature_entries_by_period(spark):
+    """A young entry has had no time to convert: it is neither in the numerator nor in the denominator."""
+    from datetime import date
+
+    from seqpulse.operators import cohort
+
+    totals = [f"{m}_{h}_days" for m in marts.MEASURES for h in (30, 60)]
+    rows = [("S", date(2024, 1, 5), 0, 1), ("S", date(2024, 1, 9), 0, 0), ("S", date(2024, 1, 31), 1, 1), ("S", date(2024, 3, 2), 0, 1), ("S", None, 0, 1)]
+    kind = "cadence_id string, entry_dt date, test_flag int, entry_group string, " + ", ".join(f"{c} long" for c in totals)
+    df = spark.createDataFrame([(c, d, f, "g", *[n] * len(totals)) for c, d, f, n in rows], kind)
+    day = date(2024, 3, 20)
+    found = {(r.entry_period, r.stage): r for r in cohort.conversion_funnel(df, 60, day, "month").collect()}
+    january, march = date(2024, 1, 1), date(2024, 3, 1)
+    assert [(found[january, s].all_entries, found[january, s].mature_entries, found[january, s].reached) for s in ("entries", "calls")] == [(3, 2, 2), (3, 2, 1)]
+    assert found[january, "calls"].cumulative_rate == 0.5
+    assert (found[march, "calls"].all_entries, found[march, "calls"].reached, found[march, "calls"].cumulative_rate) == (1, 0, None)
+    assert found[None, "calls"].mature_entries == 0
+    compared = {r.entry_period: r for r in cohort.test_vs_control(df, 60, as_of=day, grain="month").filter("measure = 'calls'").collect()}
+    assert (compared[january].treatment_entries, compared[january].control_entries, compared[january].treatment_mean) == (2, 0, 0.5)
+    older = {r.entry_period: r for r in cohort.test_vs_control(df, 30, as_of=day, grain="month").filter("measure = 'calls'").collect()}
+    assert (older[january].control_entries, older[january].control_mean) == (1, 1.0)

@@ -118,3 +118,46 @@ def test_stored_state_replaces_the_history(t, spark, tmp_path):
 def test_the_best_few_are_kept_before_the_shuffle(t):
     samples = diagnostics.ticket_samples(t.checkpoints, F.col("cadence_step") == "Exit", AS_OF, days=2000)
     assert "WindowGroupLimit" in plan(samples)
+
+
+def scans(df, column):
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return len([s for s in re.findall(r"FileScan parquet \[(.*?)\]", text) if re.search(rf"\b{column}#", s)])
+
+
+def test_entry_mart_is_one_pass(t):
+    """Attributes travel with the time: one scan, and no join but the one for the account."""
+    mart = marts.entries(t.checkpoints, t.account_map, AS_OF, CONFIG)
+    assert scans(mart, "event_timestamp") == 1
+    assert len(re.findall(r"^\(\d+\) (?:SortMerge|BroadcastHash|ShuffledHash)Join", plan(mart), flags=re.M)) == 1
+
+
+def test_diagnosis_reads_checkpoints_three_times(t):
+    df = diagnostics.diagnose(t.checkpoints, t.steps, AS_OF, CONFIG)
+    text = executed(df)
+    assert len([s for s in re.findall(r"FileScan parquet \[(.*?)\]", text) if "event_timestamp#" in s]) <= 3
+    assert len([s for s in re.findall(r"FileScan parquet \[(.*?)\]", text) if "createddate#" in s]) == 1
+
+
+def test_corroboration_is_bounded_before_the_shuffle(t):
+    from datetime import date
+
+    flagged = diagnostics.weekly_people(t.checkpoints, AS_OF, CONFIG).filter("entries_wow < 0")
+    df = diagnostics.corroborating_events(flagged, t.checkpoints, t.changes, period=(date(2001, 1, 1), date(2001, 6, 4)))
+    filters = pushed(df)
+    assert "GreaterThanOrEqual(changed_at" in filters and "LessThan(changed_at" in filters
+
+
+def test_eligible_bounds_reach_the_scan(t, spark, tmp_path):
+    p.Source(spark, SF).eligible.write.parquet(f"{tmp_path}/eligible")
+    stored = spark.read.parquet(f"{tmp_path}/eligible")
+    filters = pushed(marts.eligible_counts(stored, AS_OF, AS_OF.replace(day=1)))
+    assert "LessThanOrEqual(eligible_dt" in filters and "GreaterThanOrEqual(eligible_dt" in filters
+
+
+def test_samples_are_cut_before_the_shuffle(t):
+    from seqpulse.operators import slices
+
+    days = slices.day_slices(t.checkpoints, AS_OF, CONFIG)
+    found = feed.samples(feed.alert_feed(t, AS_OF, CONFIG), days, slices.person_state(days, AS_OF, CONFIG), AS_OF, CONFIG)
+    assert "WindowGroupLimit" in plan(found)

@@ -124,3 +124,43 @@ def test_durable_uses_the_named_folder(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     kept = durable(spark.range(3))
     assert kept.count() == 3 and "Range" not in kept._jdf.queryExecution().toString()
+
+
+def test_marts_replace_the_months_of_a_run_only(spark, stored, tmp_path):
+    """A later run writes the months since; late rows land in theirs, and all other folders stay untouched."""
+    from seqpulse import Tables
+
+    tables = read_tables(spark, stored)
+    out, before = str(tmp_path), date(2001, 5, 20)
+    old_day = date(1997, 3, 9)
+    is_late = F.to_date("event_timestamp").between(F.lit(old_day), F.lit(old_day + timedelta(days=9)))
+    late = tables.checkpoints.filter(is_late)
+    early = Tables(**{**vars(tables), "checkpoints": tables.checkpoints.filter(~is_late)})
+    run_marts(spark, early, before, CONFIG, out)
+
+    def files():
+        return {f.parent.name: sorted(x.name for x in f.parent.glob("*.parquet")) for f in (tmp_path / "fact_cadence_checkpoints").glob("*/*.parquet")}
+
+    first = files()
+    run_marts(spark, tables, AS_OF, CONFIG, out, previous_day=before, late=late)
+    second = files()
+    touched = {f"event_dt_month={m}" for m in ("1997-03-01", "2001-05-01", "2001-06-01")}
+    assert late.count() > 0 and {k for k in second if first.get(k) != second[k]} <= touched
+    assert "event_dt_month=1997-03-01" in second and first.get("event_dt_month=1997-03-01") != second["event_dt_month=1997-03-01"]
+    facts = spark.read.parquet(f"{out}/fact_cadence_checkpoints")
+    whole = snapshot(tables.checkpoints, "checkpoints", AS_OF)
+    assert facts.count() == whole.count()
+    assert facts.filter("valid_entry").count() == whole.filter("cadence_step = 'Start'").count()
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from seqpulse import session
+
+    class Elsewhere:
+        conf = spark.conf
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.shared_folder(Elsewhere)
