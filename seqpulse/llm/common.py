@@ -14,8 +14,10 @@ BROADCAST_BYTES = 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset one below the warehouse."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset a local master may use one below the warehouse; on a cluster it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints").rstrip("/")
 
 

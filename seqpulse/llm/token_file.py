@@ -6,17 +6,18 @@ with `end_id` and masked 0. A row of the index tells, per document, the file, th
 from sums over files. File names hold the attempt, and only files named in the stored index count, so a task that runs twice does no
 harm. Ids are 16-bit where the vocabulary allows it.
 
-Words are encoded once per task and remembered up to a bound: the tokenizer never lets a token cross one of the
-six white-space characters, which the tests hold against encoding whole texts.
+Where a tokenizer drops spaces (found out by probe texts), words between spaces are encoded once per task and remembered up to a bound of bytes, in one call
+for the texts of a chunk; any other tokenizer gets whole texts. The tests hold both against encoding whole texts.
 
 Defined cases: null and empty texts give the end id alone; rows of one doc_id follow each other by text; null ids come
-first; an empty table gives an empty index and no file. Very long texts are encoded piece by piece. Other columns are ignored.
+first; an empty table gives an empty index and no file. A very long text is a chunk of its own. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from seqpulse.llm.common import shared_folder, store
+from seqpulse.llm.common import chunks, shared_folder, store
 
 INDEX = "file string, at long, n_tokens long"
 
@@ -35,25 +36,50 @@ def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
     return (fs.FileSystem.from_uri(uri) if urlparse(uri).scheme else (fs.LocalFileSystem(), uri))
 
 
+#: Texts by which it is found out whether a tokenizer gives the same ids for a text and for its words between single spaces.
+PROBES = ("the quick  brown fox ", " a b", "x\n y   z", "don't stop , 12 34 . <a> b", "\u00c4\u00d6 \u6f22\u5b57  caf\u00e9 \u0301e", "   ")
+#: Bytes the remembered words of a task may take, about.
+REMEMBERED = 64 << 20
+_BATCH = 20_000
+
+
 class Encoder:
-    """Ids of whole texts, by way of words that are remembered up to `limit`."""
+    """Ids of whole texts, as bytes of unsigned 32-bit numbers.
+
+    Where the tokenizer drops spaces, texts are cut at them, words are remembered, and those not known yet go to the tokenizer in one call for all
+    texts of a chunk. Any other tokenizer gets the texts whole.
+    """
+
+    def __init__(self, tokenizer_path: str):
+        import os
 
-    def __init__(self, tokenizer_path: str, limit: int = 300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.limit = Tokenizer.from_file(tokenizer_path), {}, limit
+        self.tokenizer, self.known, self.held = Tokenizer.from_file(tokenizer_path), {}, 0
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.cuts = not any(t.lstrip or t.rstrip or " " in t.content for t in added) and all(
+            self._ids([p])[0] == b"".join(self._ids(p.split(" "))) for p in PROBES)
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> np.ndarray:
-        words = text.split(" ") if text else []
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        if not self.cuts:
+            return [np.frombuffer(self._ids([t])[0], np.uint32) if t else np.zeros(0, np.uint32) for t in texts]
+        words = [t.split(" ") if t else [] for t in texts]
         known = self.known
-        missing = list({w for w in words if w not in known})
-        if missing:
-            if len(known) + len(missing) > self.limit:
-                known.clear()
-                missing = list(set(words))
-            for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                known[w] = np.array(e.ids, np.uint32).tobytes()
-        return np.frombuffer(b"".join([known[w] for w in words]), np.uint32)
+        missing = {w for some in words for w in some if w not in known}
+        if missing and self.held > REMEMBERED:
+            known.clear()
+            self.held, missing = 0, {w for some in words for w in some}
+        todo = list(missing)
+        for at in range(0, len(todo), _BATCH):
+            piece = todo[at : at + _BATCH]
+            ids = self._ids(piece)
+            known.update(zip(piece, ids))
+            self.held += sum(map(len, piece)) + sum(map(len, ids)) + 200 * len(piece)
+        return [np.frombuffer(b"".join([known[w] for w in some]), np.uint32) for some in words]
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, length: int = 2048, parts: int | None = None) -> DataFrame:
@@ -78,16 +104,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
             writer.write_batch(pa.RecordBatch.from_arrays(arrays, schema=schema))
 
         sink = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for table in chunks(batches, 2 << 20):
             if writer is None:
                 system.create_dir(path.rpartition("/")[0], recursive=True)
                 sink = system.open_output_stream(path)
                 writer = pa.ipc.new_file(sink, schema)
             sizes = []
-            for text in batch["text"]:
-                ids = np.append(encoder.encode(text.as_py() or ""), end_id).astype(kind.to_pandas_dtype())
+            for of_text in encoder.encode_all(table["text"].to_pylist()):
+                ids = np.append(of_text, end_id).astype(kind.to_pandas_dtype())
                 sizes.append(len(ids))
                 held.append(ids)
                 n_held += len(ids)
@@ -97,8 +121,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
                     put(flat[:full], full)
                     held, n_held = [flat[full:]], n_held - full
             ends = at + np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array([name] * len(sizes)), pa.array(ends - sizes), pa.array(sizes, pa.int64())], ["doc_id", "file", "at", "n_tokens"])
+            yield from pa.table({
+                "doc_id": table["doc_id"], "file": pa.array([name] * len(sizes)), "at": pa.array(ends - sizes), "n_tokens": pa.array(sizes, pa.int64())}).to_batches()
             at = int(ends[-1])
         if writer is not None:
             if n_held:

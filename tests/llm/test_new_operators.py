@@ -248,3 +248,25 @@ def test_registered_with_sql(spark, name):
         con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
     cur = con.execute(q.SQL[name])
     assert sorted(c[0] for c in cur.description) == sorted(q.QUERIES[name](spark, SF).columns)
+
+
+# tokens --------------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_any_tokenizer_are_those_of_whole_texts(name, texts, monkeypatch):
+    """One tokenizer drops spaces, the other does not; also when remembered words are given up at each chunk."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from seqpulse.llm import token_file
+
+    path = public_tokenizers.path(name)
+    plain = Tokenizer.from_file(path)
+    some = [None, "", " ", "the quick  brown fox", " a  b ", "x\n y\t z", "don't  stop", "ÄÖ <|im_end|> \\ ñ 漢字 🙂", *(t for _, t in texts[:40])]
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in some]
+    assert [x.tolist() for x in token_file.Encoder(path).encode_all(some)] == want
+    monkeypatch.setattr(token_file, "REMEMBERED", 0)
+    monkeypatch.setattr(token_file, "_BATCH", 7)
+    encoder = token_file.Encoder(path)
+    assert [x.tolist() for t in some for x in encoder.encode_all([t])] == want
+    assert encoder.cuts == name.startswith("word")
