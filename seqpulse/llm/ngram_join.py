@@ -4,13 +4,14 @@ r"""N-gram Jaccard join: documents whose sets of word shingles overlap by `thres
 2. Shingles are put in one global order, those with the rarest word first (word counts from a sketch of fixed size over all documents; the
    order steers the work, any order gives the same links). Two sets that reach the threshold share one of the first
    n - ceil(t n) + 1 shingles of each, so classes meet by these keys.
-3. Each class is first compared with the hub it shares most keys with (the smallest class of a key). This links most copies in linear work.
-4. Then all classes of a key that are not yet in one component are compared: in tiles by size band (sizes beyond the threshold's
-   ratio never meet) and salt, whose number follows the size of the group. Bitmaps of 1,024 bits bound the overlap from above; what they leave
-   is decided by an exact intersection of the sorted sets. Pairs within a component cannot change a component.
+3. Each class belongs to the family of the hub it shares most keys with (the smallest class of a key). All classes of a family are compared in tiles that
+   hold their sets, whose number follows the family's size in classes and shingles. Sizes and bitmaps of 1,024 bits bound the overlap from above; what they
+   leave is decided by an exact intersection of the sorted sets. A tile gives the links of each class as a sum, and of the links themselves only those that join what is
+   still apart in it, so that no more rows come out than went in.
+4. Classes of different families that share a key are compared in tiles by size band (sizes beyond the threshold's ratio never meet) and salt, by sizes
+   and bitmaps; the pairs that are left are verified on the full sets. Links of two classes of one family are never looked for by keys, so that each link counts once.
 
-Steps 3 and the restriction of 4 serve the components alone (`jaccard_groups`, for drop_near_copies). The join itself (`jaccard_links`) compares all classes of a
-key in tiles and returns every linked pair of classes with the membership of rows.
+For the components alone (`jaccard_groups`, for drop_near_copies) tiles leave out pairs that are joined already, and step 4 those of one component.
 
 Words are `[^\x20\x09-\x0D]+` after A-Z are lower-cased. A text of fewer words than a shingle is one shingle. Null or empty texts have no
 set and are linked with nothing. Rows with a null id take part; a component's id is its smallest id that is not null.
@@ -20,6 +21,7 @@ Repeated rows fall into one class. Other columns play no part. An empty table gi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,45 +33,47 @@ from seqpulse.llm.common import WordHashes, chunks, connected, count_slots, mix,
 SKETCH_BITS = 16
 BITMAP_BITS = 1024
 TILE = 1000
-STARS = 3
+#: Shingles on one side of a family's tile, and rows of key tiles and shingles of family tiles that one task holds at a time, about.
+TILE_SHINGLES = 2_000_000
+TASK_ROWS = 100_000
+TASK_SHINGLES = 4_000_000
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
     return (mix(h) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _sets(texts: list[str | None], width: int, hashes: WordHashes, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each text by (text, hash), the text of each, and the count of its rarest word."""
+def _sets(texts: list[str | None], width: int, hashes: WordHashes, counts: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray | None]]:
+    """For each text its distinct shingles, sorted, and the count of each one's rarest word."""
     words = [words_of(t, lower=True) for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
     h = hashes.of([x for w in words for x in w])
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    rarity = counts[_slot(h)] if counts is not None else np.zeros(len(h), np.int64)
+    rarity = counts[_slot(h)] if counts is not None else None
     n = max(len(h) - width + 1, 0)
+    out = []
     with np.errstate(over="ignore"):
-        key, rare = np.full(n, np.uint64(width)), np.full(n, np.iinfo(np.int64).max)
+        key = np.full(n, np.uint64(width))
         for k in range(width):
             key = mix(key * np.uint64(31) + h[k : k + n])
-            rare = np.minimum(rare, rarity[k : k + n])
-        inside = doc[:n] == doc[width - 1 :] if n else np.zeros(0, bool)
-        key, rare, doc_of = key[inside], rare[inside], doc[:n][inside]
-        ends = np.cumsum(sizes)
-        short = np.flatnonzero((sizes > 0) & (sizes < width))
-        extra, extra_rare = [], []
-        for i in short:
-            x = np.full(1, np.uint64(sizes[i]))
-            for j in range(ends[i] - sizes[i], ends[i]):
-                x = mix(x * np.uint64(31) + h[j : j + 1])
-            extra.append(x[0])
-            extra_rare.append(rarity[ends[i] - sizes[i] : ends[i]].min())
-    key = np.concatenate([key, np.array(extra, np.uint64)])
-    rare = np.concatenate([rare, np.array(extra_rare, np.int64)])
-    doc_of = np.concatenate([doc_of, short])
-    order = np.lexsort((key, doc_of))
-    key, rare, doc_of = key[order], rare[order], doc_of[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (doc_of[1:] != doc_of[:-1])
-    return key[new], doc_of[new], rare[new]
+        rare = None
+        if rarity is not None:
+            rare = rarity[:n].copy()
+            for k in range(1, width):
+                np.minimum(rare, rarity[k : k + n], out=rare)
+        for at, size in zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist()):
+            if size >= width:
+                mine = key[at : at + size - width + 1]
+                order = np.argsort(mine)
+                mine = mine[order]
+                new = np.ones(len(mine), bool)
+                np.not_equal(mine[1:], mine[:-1], out=new[1:])
+                out.append((mine[new], rare[at : at + size - width + 1][order][new] if rare is not None else None))
+            else:
+                one = np.full(min(size, 1), np.uint64(size))
+                for j in range(at, at + size):
+                    one = mix(one * np.uint64(31) + h[j : j + 1])
+                out.append((one, rarity[at : at + size].min(keepdims=True) if size and rarity is not None else np.zeros(len(one), np.int64)))
+    return out
 
 
 def _class_of(members: np.ndarray) -> int:
@@ -88,20 +92,23 @@ def shingle_classes(docs: DataFrame, width: int, threshold: int) -> DataFrame:
 
     shared = docs.sparkSession.sparkContext.broadcast(count_slots(docs, SKETCH_BITS, slots))
 
+    def first(members: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        n = len(members)
+        if 100 * n < threshold * (n + 1):
+            return members[:0]  # too small to reach the threshold with any other set
+        # members are sorted, so a stable sort by rarity orders equal ones by hash
+        return members[np.argsort(rare, kind="stable")[: n - least_overlap(n, threshold) + 1]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), shared.value
-        for table in chunks(batches, 4 << 20):
-            key, doc, rare = _sets(table["text"].to_pylist(), width, hashes, counts)
-            n = np.bincount(doc, minlength=table.num_rows)
-            ends = np.cumsum(n)
-            classes = [_class_of(key[e - k : e]) if k else None for e, k in zip(ends, n)]
-            # sets too small to reach the threshold with any other set need no keys
-            first = np.where(100 * n >= threshold * (n + 1), n - least_overlap(n, threshold) + 1, 0)
-            order = np.lexsort((key, rare, doc))
-            rank = np.arange(len(key)) - np.repeat(ends - n, n)
-            chosen = key[order][rank < np.repeat(first, n)].view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first)]), pa.int32()), pa.array(chosen))
-            out = pa.table({"doc_id": table["doc_id"], "row_key": table["row_key"], "n": pa.array(n, pa.int64()), "class": pa.array(classes, pa.int64()), "keys": lists})
+        hashes, counts = WordHashes(200_000), shared.value
+        for table in chunks(batches, 2 << 20):
+            sets = _sets(table["text"].to_pylist(), width, hashes, counts)
+            chosen = [first(*x) for x in sets]
+            ends = np.cumsum([0, *map(len, chosen)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*chosen, np.zeros(0, np.uint64)]).view(np.int64)))
+            out = pa.table({
+                "doc_id": table["doc_id"], "row_key": table["row_key"], "n": pa.array([len(x) for x, _ in sets], pa.int64()),
+                "class": pa.array([_class_of(x) if len(x) else None for x, _ in sets], pa.int64()), "keys": lists})
             yield from out.to_batches()
 
     kind = dict(docs.dtypes)["doc_id"]
@@ -109,28 +116,35 @@ def shingle_classes(docs: DataFrame, width: int, threshold: int) -> DataFrame:
 
 
 def _members(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """class, n, members (sorted hashes), bitmap of the wanted rows (doc_id, row_key), one row per class."""
-    kind = "class long, n long, members binary, bitmap binary"
-    rows = docs.select("doc_id", row_key().alias("row_key"), "text")
-    w = wanted.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
-    rows = rows.join(w, F.col("row_key").eqNullSafe(F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """class, members (sorted hashes), bitmap of the wanted rows (class, doc_id, row_key), one row per class.
+
+    Texts and wanted rows are dealt by id and key together, so that one shuffle finds the texts and folds repeated rows.
+    """
+    texts = docs.select("doc_id", row_key().alias("row_key"), "text", F.lit(None).cast("long").alias("class"))
+    marks = wanted.select("doc_id", "row_key", F.lit(None).cast("string").alias("text"), "class")
+    rows = texts.union(marks).groupBy("doc_id", "row_key").agg(F.max("class").alias("class"), F.first("text", ignorenulls=True).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for table in chunks(batches, 4 << 20):
-            key, doc, _ = _sets(table["text"].to_pylist(), width, hashes, None)
-            n = np.bincount(doc, minlength=table.num_rows)
-            ends = np.cumsum(n)
-            bits = np.zeros((table.num_rows, BITMAP_BITS), bool)
-            bits[doc, (key >> np.uint64(54)).astype(np.int64)] = True
-            packed = np.packbits(bits, axis=1)
-            full = np.flatnonzero(n)
-            sets = [key[ends[i] - n[i] : ends[i]] for i in full]
+        hashes = WordHashes(200_000)
+        for table in chunks(batches, 2 << 20):
+            sets = [x for x, _ in _sets(table["text"].to_pylist(), width, hashes)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_class_of(s) for s in sets], pa.int64()), pa.array(n[full], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
-                 pa.array([packed[i].tobytes() for i in full], pa.binary())], ["class", "n", "members", "bitmap"])
+                [table["class"].combine_chunks(), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in _bitmaps(sets)], pa.binary())],
+                ["class", "members", "bitmap"])
 
-    return rows.mapInArrow(run, kind)
+    return rows.filter("class is not null").select("class", "text").mapInArrow(run, "class long, members binary, bitmap binary")
+
+
+def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    bits = np.zeros((len(sets), BITMAP_BITS), bool)
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    bits[np.repeat(np.arange(len(sets)), [len(x) for x in sets]), (flat >> np.uint64(54)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def _least_both(total: np.ndarray, threshold: int) -> np.ndarray:
+    """The smallest overlap with which two sets of `total` members together are linked."""
+    return -(-threshold * total // (100 + threshold))
 
 
 def _linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
@@ -167,10 +181,13 @@ def _tile_pairs(rows: DataFrame, threshold: int) -> DataFrame:
     salts = banded.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("salts"))
     salted = banded.join(salts, "key").withColumn("salt", F.pmod(F.xxhash64("class"), "salts").cast("int"))
     every = F.sequence(F.lit(0), F.col("salts") - 1)
-    left = salted.withColumn("t", F.explode(F.flatten(F.transform(every, lambda s: F.array(
+    whole = F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("step"), F.lit(0).alias("s1"), F.lit(0).alias("s2"), F.lit(0).alias("side")))
+    banded = F.flatten(F.transform(every, lambda s: F.array(
         F.struct(F.col("band").alias("low"), F.lit(0).alias("step"), F.least("salt", s).alias("s1"), F.greatest("salt", s).alias("s2"), F.lit(0).alias("side")),
         F.struct(F.col("band").alias("low"), F.lit(1).alias("step"), F.col("salt").alias("s1"), s.alias("s2"), F.lit(0).alias("side")),
-        F.struct((F.col("band") - 1).alias("low"), F.lit(1).alias("step"), s.alias("s1"), F.col("salt").alias("s2"), F.lit(1).alias("side")))))))
+        F.struct((F.col("band") - 1).alias("low"), F.lit(1).alias("step"), s.alias("s1"), F.col("salt").alias("s2"), F.lit(1).alias("side")))))
+    # the group of most keys fits into one tile, with all its bands
+    left = salted.withColumn("t", F.explode(F.when(F.col("salts") == 1, whole).otherwise(banded)))
     tiles = left.select("key", "t.low", "t.step", "t.s1", "t.s2", "t.side", "salt", "class", "n", "root", "bitmap").distinct()
 
     def compare(table: pa.Table) -> pa.Table:
@@ -193,7 +210,7 @@ def _tile_pairs(rows: DataFrame, threshold: int) -> DataFrame:
                 x, y = rows[salt[rows] == s1[one]], rows[salt[rows] == s2[one]]
             for i in x:
                 total = n[i] + n[y]
-                need = -(-threshold * total // (100 + threshold))  # overlap of a linked pair
+                need = _least_both(total, threshold)
                 fits = (np.minimum(n[i], n[y]) >= need) & (root[y] != root[i])
                 if not step[one] and s1[one] == s2[one]:
                     fits &= c[y] > c[i]
@@ -205,69 +222,147 @@ def _tile_pairs(rows: DataFrame, threshold: int) -> DataFrame:
         return pa.table({"hub": pairs[:, 0], "class": pairs[:, 1]})
 
     # many small tiles share a bucket, so that a call's cost is spread over them
-    buckets = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
     dealt = tiles.withColumn("bucket", F.pmod(F.xxhash64("key", "low", "step", "s1", "s2"), F.lit(buckets)).cast("int"))
     return dealt.groupBy("bucket").applyInArrow(compare, "hub long, class long").distinct()
 
 
-def _best_hub(pairs: DataFrame) -> DataFrame:
-    """For each class the hub that it shares most keys with."""
-    return pairs.groupBy("class", "hub").count().groupBy("class").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
-
-
-def _rooted(candidates: DataFrame, roots: DataFrame) -> DataFrame:
-    return candidates.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("key", "class", "n", F.coalesce("root", "class").alias("root"))
-
-
-def _all_links(candidates: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
-    """Every linked pair (a, b) of classes once: all classes of a key meet in tiles, and what sizes and bitmaps leave is decided exactly."""
-    each = candidates.select("key", "class", "n", F.col("class").alias("root")).join(members.select("class", "bitmap"), "class")
-    return _star_edges(store(_tile_pairs(each, threshold), "shingle-pairs"), members, threshold).distinct()
-
-
-def _component_edges(candidates: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
-    """Linked pairs that join the same components as all links do, without most of those inside a component."""
-    star = _best_hub(candidates.filter("class != hub"))
-    edges = store(_star_edges(star, members, threshold), "edges-star")
-    roots = connected(edges)
-    # further stars around other hubs, for keys that still hold more than one component: linear work that saves comparing all with all
-    for turn in range(1, STARS):
-        rooted = _rooted(candidates, roots)
-        hubs = rooted.groupBy("key").agg(
-            F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("class", F.lit(turn)), "class", "root")).alias("h"))
-        hubs = hubs.filter("lo != hi").select("key", F.col("h.class").alias("hub"), F.col("h.root").alias("hub_root"))
-        # a key with one component stays so: only the others go on
-        still = store(rooted.join(hubs, "key"), "shingle-open")
-        star = _best_hub(still.filter("root != hub_root"))
-        candidates = still.select("key", "class", "n")
-        edges = store(edges.union(_star_edges(star, members, threshold)), "edges-star")
-        roots = connected(edges)
-    rooted = _rooted(candidates, roots)
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
-    still = rooted.join(open_keys, "key", "left_semi").join(members.select("class", "bitmap"), "class")
-    pairs = store(_tile_pairs(still, threshold), "shingle-pairs")
-    more = _star_edges(pairs, members, threshold)
-    return edges.union(more)
-
-
-def _join(docs: DataFrame, width: int, threshold: int, links: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with their class, the component of each class, and the verified pairs."""
+def _families(candidates: DataFrame) -> DataFrame:
+    """class, family: the hub that a class shares most keys with, itself among them; where that hub belongs to another one, that one."""
+    most = store(candidates.groupBy("class", "hub").count().groupBy("class").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub")), "shingle-hubs")
+    up = most.toDF("hub", "up")
+    return store(most.join(up, "hub", "left").select("class", F.coalesce("up", "hub").alias("family")), "shingle-families")
+
+
+def _family_tiles(families: DataFrame, sizes: DataFrame, members: DataFrame, threshold: int, mode: str) -> DataFrame:
+    """All classes of a family against each other, in tiles that hold their sets. Rows (a, b, links):
+
+    `links`: per class a and tile the number of rows linked with it (b null), and links (a, b) that join what is apart in the tile (links 0);
+    `joins`: only the latter, without looking at pairs that are joined already; `pairs`: every link (a, b).
+    """
+    mine = families.join(sizes, "class")
+    of_family = mine.groupBy("family").agg(F.count("*").alias("c"), F.sum("n").alias("shingles")).filter("c > 1")
+    salts = F.greatest(F.ceil(F.col("c") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
+    salted = store(mine.join(of_family.select("family", salts.alias("salts")), "family").select(
+        "family", "class", "n", "size", "salts", F.pmod(F.xxhash64("class"), "salts").cast("int").alias("salt")), "shingle-family-rows")
+    held = salted.agg(F.sum(F.col("n") * F.col("salts"))).first()[0] or 0
+    buckets = max(int(families.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // TASK_SHINGLES))
+    dealt = salted.join(members.select("class", "members"), "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(
+        "family", F.least("salt", "other").alias("s1"), F.greatest("salt", "other").alias("s2"), "salt", "class", "n", "size", "members")
+
+    def compare(table: pa.Table) -> pa.Table:
+        """All tiles of a bucket, one after the other."""
+        family, s1, s2, salt, c, size = (table[x].to_numpy() for x in ("family", "s1", "s2", "salt", "class", "size"))
+        order = np.lexsort((s2, s1, family))
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (family, s1, s2)])
+        cut = np.append(np.flatnonzero(new), len(order))
+        column = table["members"].combine_chunks()
+        out_a, out_b, out_links = [], [], []
+        for first, end in zip(cut[:-1], cut[1:]):
+            at = order[first:end]
+            if len(at) < 2:
+                continue
+            sets = [_set(column[int(i)]) for i in at]
+            n = np.array([len(x) for x in sets], np.int64)
+            bits = _bitmaps(sets)
+            # shingles numbered within the tile, so that an intersection is a look at marks
+            names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            ends = np.cumsum(n)
+            sets = [flat[e - k : e] for e, k in zip(ends, n)]
+            marked = np.zeros(len(names), bool)
+            now = np.arange(len(at))  # what is joined so far
+            links = np.zeros(len(at), np.int64)
+            name, weight, side = c[at], size[at], salt[at]
+            same = s1[at[0]] == s2[at[0]]
+            x = np.arange(len(at)) if same else np.flatnonzero(side == s1[at[0]])
+            y = x if same else np.flatnonzero(side == s2[at[0]])
+            for i in x:
+                z = y[y > i] if same else y
+                total = n[i] + n[z]
+                need = _least_both(total, threshold)
+                fits = np.minimum(n[i], n[z]) >= need
+                if mode == "joins":
+                    fits &= now[z] != now[i]
+                z, total, need = z[fits], total[fits], need[fits]
+                if len(z):
+                    fits = total - 2 * need >= np.bitwise_count(bits[i] ^ bits[z]).sum(axis=1, dtype=np.int64)
+                    z, need = z[fits], need[fits]
+                if not len(z):
+                    continue
+                marked[sets[i]] = True
+                starts = np.cumsum(n[z]) - n[z]
+                both = np.add.reduceat(marked[np.concatenate([sets[j] for j in z])], starts, dtype=np.int64)
+                marked[sets[i]] = False
+                z = z[both >= need]
+                links[i] += weight[z].sum()
+                links[z] += weight[i]
+                for j in z if mode == "pairs" else z[now[z] != now[i]]:
+                    if mode != "pairs":
+                        if now[j] == now[i]:
+                            continue
+                        now[now == now[j]] = now[i]
+                    out_a.append(min(name[i], name[j]))
+                    out_b.append(max(name[i], name[j]))
+                    out_links.append(0)
+            if mode == "links":
+                found = np.flatnonzero(links)
+                out_a += name[found].tolist()
+                out_b += [None] * len(found)
+                out_links += links[found].tolist()
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "links": pa.array(out_links, pa.int64())})
+
+    placed = dealt.withColumn("bucket", F.pmod(F.xxhash64("family", "s1", "s2"), F.lit(buckets)).cast("int"))
+    return placed.groupBy("bucket").applyInArrow(compare, "a long, b long, links long")
+
+
+def _cross_links(candidates: DataFrame, roots: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
+    """Linked pairs (a, b) of classes that share a key and have different roots, each once."""
+    rooted = candidates.select("key", "class", "n").join(roots, "class")
+    several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
+    apart = store(rooted.join(several, "key", "left_semi"), "shingle-open")
+    pairs = store(_tile_pairs(apart.join(members.select("class", "bitmap"), "class"), threshold), "shingle-pairs")
+    return store(_star_edges(pairs, members, threshold), "shingle-cross")
+
+
+@dataclass(frozen=True)
+class Joined:
+    """Rows with their class, size of each class, component of each class, families, links in tiles and across families, and the sets."""
+
+    rows: DataFrame
+    sizes: DataFrame
+    known: DataFrame
+    families: DataFrame
+    inside: DataFrame
+    cross: DataFrame
+    members: DataFrame
+
+
+def _join(docs: DataFrame, width: int, threshold: int, links: bool) -> Joined:
     rows = store(shingle_classes(docs, width, threshold), "shingle-classes")
     classes = rows.filter(F.col("class").isNotNull()).groupBy("class").agg(
-        F.first("n").alias("n"), F.first("keys").alias("keys"), F.min(F.struct("doc_id", "row_key")).alias("rep"))
+        F.first("n").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("size"), F.min(F.struct("doc_id", "row_key")).alias("rep"), F.min("doc_id").alias("least"))
+    classes = store(classes, "shingle-sets")
+    sizes = classes.select("class", "n", "size")
     each = classes.select(F.explode("keys").alias("key"), "class", "n")
     met = each.groupBy("key").agg(F.min(F.struct("n", "class"))["class"].alias("hub"), F.count("*").alias("c")).filter("c > 1")
     candidates = store(each.join(met.select("key", "hub"), "key"), "shingle-candidates")
-    wanted = candidates.select("class").distinct().join(
-        rows.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct("doc_id", "row_key")).alias("rep")), "class").select("rep.doc_id", "rep.row_key")
-    members = store(_members(docs, wanted, width).dropDuplicates(["class"]), "shingle-members")
-    edges = store(_all_links(candidates, members, threshold), "shingle-links") if links else _component_edges(candidates, members, threshold)
-    nodes = connected(edges).select(F.col("node").alias("class"), "root")
-    of_class = rows.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least")).join(nodes, "class", "left").select(
-        "class", "least", F.coalesce("root", "class").alias("root"))
+    families = _families(candidates)
+    wanted = classes.join(families, "class", "left_semi").select("class", "rep.doc_id", "rep.row_key")
+    members = store(_members(docs, wanted, width), "shingle-members")
+    inside = store(_family_tiles(families, sizes, members, threshold, "links" if links else "joins"), "shingle-inside")
+    joins = inside.filter("b is not null").select("a", "b")
+    if links:
+        roots = families.withColumnRenamed("family", "root")
+    else:
+        roots = store(families.select("class").join(connected(joins).withColumnRenamed("node", "class"), "class", "left").select(
+            "class", F.coalesce("root", "class").alias("root")), "shingle-roots")
+    cross = _cross_links(candidates, roots, members, threshold)
+    nodes = connected(joins.union(cross)).select(F.col("node").alias("class"), "root")
+    of_class = classes.select("class", "least").join(nodes, "class", "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     of_root = of_class.groupBy("root").agg(F.min("least").alias("component"))
     known = store(of_class.join(of_root, "root").select("class", "component"), "shingle-components")
-    return rows, known, edges
+    return Joined(rows, sizes, known, families, inside, cross, members)
 
 
 def _grouped(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -277,21 +372,24 @@ def _grouped(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 def jaccard_groups(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, row_key, n_shingles, component_id for every row."""
-    rows, known, _ = _join(docs, width, threshold, links=False)
-    return _grouped(rows, known).drop("class")
+    found = _join(docs, width, threshold, links=False)
+    return _grouped(found.rows, found.known).drop("class")
 
 
 def jaccard_links(docs: DataFrame, width: int = 5, threshold: int = 80) -> tuple[DataFrame, DataFrame]:
     """The join itself: every linked pair (a, b) of classes with a < b, and the membership: doc_id, row_key, n_shingles, component_id, class, n_links for every row.
 
     Rows of one class are linked with each other and with all rows of the classes theirs is paired with; n_links counts the other rows linked with a row.
+    The pairs, whose number may grow with the square of a family, are worked out only where they are used; the membership doesn't need them.
     """
-    rows, known, pairs = _join(docs, width, threshold, links=True)
-    sizes = rows.filter(F.col("class").isNotNull()).groupBy("class").agg(F.count("*").alias("size"))
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("class", "other")
-    linked = both.join(sizes.toDF("other", "others"), "other").groupBy("class").agg(F.sum("others").alias("others"))
-    links = store(sizes.join(linked, "class", "left").select("class", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "shingle-n-links")
-    return pairs, _grouped(rows, known).join(links, "class", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    found = _join(docs, width, threshold, links=True)
+    both = found.cross.select("a", "b").union(found.cross.select("b", "a")).toDF("class", "other")
+    across = both.join(found.sizes.select(F.col("class").alias("other"), "size"), "other").select("class", F.col("size").alias("links"))
+    inside = found.inside.filter("b is null").select(F.col("a").alias("class"), "links")
+    linked = inside.union(across).groupBy("class").agg(F.sum("links").alias("links"))
+    links = store(found.sizes.join(linked, "class", "left").select("class", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "shingle-n-links")
+    pairs = _family_tiles(found.families, found.sizes, found.members, threshold, "pairs").select("a", "b").union(found.cross)
+    return pairs, _grouped(found.rows, found.known).join(links, "class", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
@@ -300,9 +398,10 @@ def drop_near_copies(docs: DataFrame, width: int = 5, threshold: int = 80) -> Da
     Of rows that repeat the kept id one stays. Rows that share no link stay even if a null id is all they have.
     """
     groups = jaccard_groups(docs, width, threshold)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("n_shingles").alias("_n")).distinct()
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
     key = f"_key_{len(docs.columns)}"
-    keyed = docs.withColumn(key, row_key())
-    same = keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed[key] == kept["_key"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", key]).select(*docs.columns)
+    once = docs.withColumn(key, row_key()).dropDuplicates(["doc_id", key])
+    # by plain equality texts need no second shuffle; null ids meet by the key alone
+    known = once.join(kept, (once["doc_id"] == kept["_id"]) & (once[key] == kept["_key"]), "left_semi")
+    unknown = once.filter("doc_id is null").join(kept.filter("_id is null"), once[key] == kept["_key"], "left_semi")
+    return known.union(unknown).select(*docs.columns)
