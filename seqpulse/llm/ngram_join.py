@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from seqpulse.llm.common import WordHashes, chunks, connected, count_slots, mix, row_key, store, words_of
+from seqpulse.llm.common import WordHashes, chunks, connected, count_slots, free, mix, row_key, store, words_of
 
 SKETCH_BITS = 16
 BITMAP_BITS = 1024
@@ -116,23 +116,25 @@ def shingle_classes(docs: DataFrame, width: int, threshold: int) -> DataFrame:
 
 
 def _members(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """class, members (sorted hashes), bitmap of the wanted rows (class, doc_id, row_key), one row per class.
+    """The wanted rows (doc_id, row_key, class and `kept`, a struct) as class, kept, members (sorted hashes) and bitmap, one row per class.
 
     Texts and wanted rows are dealt by id and key together, so that one shuffle finds the texts and folds repeated rows.
     """
-    texts = docs.select("doc_id", row_key().alias("row_key"), "text", F.lit(None).cast("long").alias("class"))
-    marks = wanted.select("doc_id", "row_key", F.lit(None).cast("string").alias("text"), "class")
-    rows = texts.union(marks).groupBy("doc_id", "row_key").agg(F.max("class").alias("class"), F.first("text", ignorenulls=True).alias("text"))
+    kept = wanted.schema["kept"].dataType
+    texts = docs.select("doc_id", row_key().alias("row_key"), "text", F.lit(None).cast(kept).alias("kept"))
+    marks = wanted.select("doc_id", "row_key", F.lit(None).cast("string").alias("text"), "kept")
+    rows = texts.union(marks).groupBy("doc_id", "row_key").agg(F.max("kept").alias("kept"), F.first("text", ignorenulls=True).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(200_000)
         for table in chunks(batches, 2 << 20):
             sets = [x for x, _ in _sets(table["text"].to_pylist(), width, hashes)]
             yield pa.RecordBatch.from_arrays(
-                [table["class"].combine_chunks(), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in _bitmaps(sets)], pa.binary())],
-                ["class", "members", "bitmap"])
+                [table["kept"].combine_chunks(), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in _bitmaps(sets)], pa.binary())],
+                ["kept", "members", "bitmap"])
 
-    return rows.filter("class is not null").select("class", "text").mapInArrow(run, "class long, members binary, bitmap binary")
+    schema = f"kept {kept.simpleString()}, members binary, bitmap binary"
+    return rows.filter("kept is not null").select("kept", "text").mapInArrow(run, schema).select("kept.*", "members", "bitmap")
 
 
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -227,28 +229,31 @@ def _tile_pairs(rows: DataFrame, threshold: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(compare, "hub long, class long").distinct()
 
 
-def _families(candidates: DataFrame) -> DataFrame:
-    """class, family: the hub that a class shares most keys with, itself among them; where that hub belongs to another one, that one."""
+def _families(candidates: DataFrame, classes: DataFrame) -> DataFrame:
+    """class, n, size, rep, family and its tiles (salts, salt) for every class that shares a key.
+
+    The family is the hub that a class shares most keys with, itself among them; where that hub belongs to another one, that one.
+    """
     most = store(candidates.groupBy("class", "hub").count().groupBy("class").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub")), "shingle-hubs")
     up = most.toDF("hub", "up")
-    return store(most.join(up, "hub", "left").select("class", F.coalesce("up", "hub").alias("family")), "shingle-families")
+    mine = store(most.join(up, "hub", "left").select("class", F.coalesce("up", "hub").alias("family")).join(classes, "class"), "shingle-family")
+    salts = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
+    of_family = mine.groupBy("family").agg(F.count("*").alias("c"), salts.alias("salts"))
+    return store(mine.join(of_family, "family").select(
+        "class", "n", "size", "rep", "family", "c", "salts", F.pmod(F.xxhash64("class"), "salts").cast("int").alias("salt")), "shingle-families")
 
 
-def _family_tiles(families: DataFrame, sizes: DataFrame, members: DataFrame, threshold: int, mode: str) -> DataFrame:
+def _family_tiles(members: DataFrame, threshold: int, mode: str) -> DataFrame:
     """All classes of a family against each other, in tiles that hold their sets. Rows (a, b, links):
 
     `links`: per class a and tile the number of rows linked with it (b null), and links (a, b) that join what is apart in the tile (links 0);
     `joins`: only the latter, without looking at pairs that are joined already; `pairs`: every link (a, b).
     """
-    mine = families.join(sizes, "class")
-    of_family = mine.groupBy("family").agg(F.count("*").alias("c"), F.sum("n").alias("shingles")).filter("c > 1")
-    salts = F.greatest(F.ceil(F.col("c") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
-    salted = store(mine.join(of_family.select("family", salts.alias("salts")), "family").select(
-        "family", "class", "n", "size", "salts", F.pmod(F.xxhash64("class"), "salts").cast("int").alias("salt")), "shingle-family-rows")
-    held = salted.agg(F.sum(F.col("n") * F.col("salts"))).first()[0] or 0
-    buckets = max(int(families.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // TASK_SHINGLES))
-    dealt = salted.join(members.select("class", "members"), "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(
-        "family", F.least("salt", "other").alias("s1"), F.greatest("salt", "other").alias("s2"), "salt", "class", "n", "size", "members")
+    several = members.filter("c > 1")
+    held = several.agg(F.sum(F.col("n") * F.col("salts"))).first()[0] or 0
+    buckets = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // TASK_SHINGLES))
+    dealt = several.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(
+        "family", F.least("salt", "other").alias("s1"), F.greatest("salt", "other").alias("s2"), "salt", "class", "size", "members")
 
     def compare(table: pa.Table) -> pa.Table:
         """All tiles of a bucket, one after the other."""
@@ -318,43 +323,45 @@ def _family_tiles(families: DataFrame, sizes: DataFrame, members: DataFrame, thr
 
 def _cross_links(candidates: DataFrame, roots: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
     """Linked pairs (a, b) of classes that share a key and have different roots, each once."""
-    rooted = candidates.select("key", "class", "n").join(roots, "class")
+    rooted = candidates.select("key", "class").join(roots, "class")
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
     apart = store(rooted.join(several, "key", "left_semi"), "shingle-open")
-    pairs = store(_tile_pairs(apart.join(members.select("class", "bitmap"), "class"), threshold), "shingle-pairs")
-    return store(_star_edges(pairs, members, threshold), "shingle-cross")
+    pairs = store(_tile_pairs(apart.join(members.select("class", "n", "bitmap"), "class"), threshold), "shingle-pairs")
+    found = store(_star_edges(pairs, members, threshold), "shingle-cross")
+    free(apart, pairs)
+    return found
 
 
 @dataclass(frozen=True)
 class Joined:
-    """Rows with their class, size of each class, component of each class, families, links in tiles and across families, and the sets."""
+    """Rows with their class, classes with their size, component of each class, the sets, links in tiles and across families."""
 
     rows: DataFrame
-    sizes: DataFrame
+    classes: DataFrame
     known: DataFrame
-    families: DataFrame
+    members: DataFrame
     inside: DataFrame
     cross: DataFrame
-    members: DataFrame
 
 
 def _join(docs: DataFrame, width: int, threshold: int, links: bool) -> Joined:
-    rows = store(shingle_classes(docs, width, threshold), "shingle-classes")
-    classes = rows.filter(F.col("class").isNotNull()).groupBy("class").agg(
-        F.first("n").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("size"), F.min(F.struct("doc_id", "row_key")).alias("rep"), F.min("doc_id").alias("least"))
-    classes = store(classes, "shingle-sets")
-    sizes = classes.select("class", "n", "size")
-    each = classes.select(F.explode("keys").alias("key"), "class", "n")
-    met = each.groupBy("key").agg(F.min(F.struct("n", "class"))["class"].alias("hub"), F.count("*").alias("c")).filter("c > 1")
-    candidates = store(each.join(met.select("key", "hub"), "key"), "shingle-candidates")
-    families = _families(candidates)
-    wanted = classes.join(families, "class", "left_semi").select("class", "rep.doc_id", "rep.row_key")
+    keyed = store(shingle_classes(docs, width, threshold), "shingle-rows")
+    rows = store(keyed.drop("keys"), "shingle-classes")
+    sets = store(keyed.filter(F.col("class").isNotNull()).groupBy("class").agg(
+        F.first("n").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("size"), F.min(F.struct("doc_id", "row_key")).alias("rep"), F.min("doc_id").alias("least")), "shingle-sets")
+    free(keyed)
+    classes = store(sets.drop("keys"), "shingle-sizes")
+    each = sets.select(F.explode("keys").alias("key"), "class")
+    met = store(each.groupBy("key").agg(F.min("class").alias("hub"), F.count("*").alias("c")).filter("c > 1").select("key", "hub"), "shingle-keys")
+    candidates = store(each.join(met, "key"), "shingle-candidates")
+    free(sets, met)
+    families = _families(candidates, classes.select("class", "n", "size", "rep"))
+    wanted = families.select("rep.doc_id", "rep.row_key", F.struct("class", "n", "size", "family", "c", "salts", "salt").alias("kept"))
     members = store(_members(docs, wanted, width), "shingle-members")
-    inside = store(_family_tiles(families, sizes, members, threshold, "links" if links else "joins"), "shingle-inside")
+    inside = store(_family_tiles(members, threshold, "links" if links else "joins"), "shingle-inside")
     joins = inside.filter("b is not null").select("a", "b")
-    if links:
-        roots = families.withColumnRenamed("family", "root")
-    else:
+    roots = families.select("class", F.col("family").alias("root"))
+    if not links:
         roots = store(families.select("class").join(connected(joins).withColumnRenamed("node", "class"), "class", "left").select(
             "class", F.coalesce("root", "class").alias("root")), "shingle-roots")
     cross = _cross_links(candidates, roots, members, threshold)
@@ -362,7 +369,8 @@ def _join(docs: DataFrame, width: int, threshold: int, links: bool) -> Joined:
     of_class = classes.select("class", "least").join(nodes, "class", "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     of_root = of_class.groupBy("root").agg(F.min("least").alias("component"))
     known = store(of_class.join(of_root, "root").select("class", "component"), "shingle-components")
-    return Joined(rows, sizes, known, families, inside, cross, members)
+    free(candidates, families)
+    return Joined(rows, classes, known, members, inside, cross)
 
 
 def _grouped(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -373,6 +381,7 @@ def _grouped(rows: DataFrame, known: DataFrame) -> DataFrame:
 def jaccard_groups(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, row_key, n_shingles, component_id for every row."""
     found = _join(docs, width, threshold, links=False)
+    free(found.members, found.inside, found.cross)
     return _grouped(found.rows, found.known).drop("class")
 
 
@@ -384,11 +393,11 @@ def jaccard_links(docs: DataFrame, width: int = 5, threshold: int = 80) -> tuple
     """
     found = _join(docs, width, threshold, links=True)
     both = found.cross.select("a", "b").union(found.cross.select("b", "a")).toDF("class", "other")
-    across = both.join(found.sizes.select(F.col("class").alias("other"), "size"), "other").select("class", F.col("size").alias("links"))
+    across = both.join(found.classes.select(F.col("class").alias("other"), "size"), "other").select("class", F.col("size").alias("links"))
     inside = found.inside.filter("b is null").select(F.col("a").alias("class"), "links")
     linked = inside.union(across).groupBy("class").agg(F.sum("links").alias("links"))
-    links = store(found.sizes.join(linked, "class", "left").select("class", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "shingle-n-links")
-    pairs = _family_tiles(found.families, found.sizes, found.members, threshold, "pairs").select("a", "b").union(found.cross)
+    links = store(found.classes.join(linked, "class", "left").select("class", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "shingle-n-links")
+    pairs = _family_tiles(found.members, threshold, "pairs").select("a", "b").union(found.cross)
     return pairs, _grouped(found.rows, found.known).join(links, "class", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
 
 
