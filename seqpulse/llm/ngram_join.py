@@ -7,11 +7,11 @@ r"""N-gram Jaccard join: documents whose sets of word shingles overlap by `thres
 3. Each class belongs to the family of the hub it shares most keys with (the smallest class of a key). All classes of a family are compared in tiles that
    hold their sets, whose number follows the family's size in classes and shingles. Sizes and bitmaps of 1,024 bits bound the overlap from above; what they
    leave is decided by an exact intersection of the sorted sets. A tile gives the links of each class as a sum, and of the links themselves only those that join what is
-   still apart in it, so that no more rows come out than went in.
+   still apart in it, so that no more rows come out than went in. Sets are fetched only for classes that bitmaps leave a possible partner.
 4. Classes of different families that share a key are compared in tiles by size band (sizes beyond the threshold's ratio never meet) and salt, by sizes
    and bitmaps; the pairs that are left are verified on the full sets. Links of two classes of one family are never looked for by keys, so that each link counts once.
 
-For the components alone (`jaccard_groups`, for drop_near_copies) tiles leave out pairs that are joined already, and step 4 those of one component.
+For the components alone (`jaccard_groups`, for drop_near_copies) the tiles of families leave out pairs that are joined already.
 
 Words are `[^\x20\x09-\x0D]+` after A-Z are lower-cased. A text of fewer words than a shingle is one shingle. Null or empty texts have no
 set and are linked with nothing. Rows with a null id take part; a component's id is its smallest id that is not null.
@@ -86,7 +86,7 @@ def least_overlap(n: np.ndarray | int, threshold: int):
 
 
 def shingle_classes(docs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """doc_id, row_key, n, class (null without words), keys (the first shingles in global order)."""
+    """doc_id, row_key, n, class (null without words), keys (the first shingles in global order), bitmap."""
     def slots(texts, hashes):
         return _slot(hashes.of([w for t in texts for w in words_of(t, lower=True)]))
 
@@ -108,15 +108,16 @@ def shingle_classes(docs: DataFrame, width: int, threshold: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*chosen, np.zeros(0, np.uint64)]).view(np.int64)))
             out = pa.table({
                 "doc_id": table["doc_id"], "row_key": table["row_key"], "n": pa.array([len(x) for x, _ in sets], pa.int64()),
-                "class": pa.array([_class_of(x) if len(x) else None for x, _ in sets], pa.int64()), "keys": lists})
+                "class": pa.array([_class_of(x) if len(x) else None for x, _ in sets], pa.int64()), "keys": lists,
+                "bitmap": pa.array([x.tobytes() for x in _bitmaps([x for x, _ in sets])], pa.binary())})
             yield from out.to_batches()
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(run, f"doc_id {kind}, row_key long, n long, class long, keys array<long>")
+    return docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(run, f"doc_id {kind}, row_key long, n long, class long, keys array<long>, bitmap binary")
 
 
 def _members(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The wanted rows (doc_id, row_key, class and `kept`, a struct) as class, kept, members (sorted hashes) and bitmap, one row per class.
+    """The wanted rows (doc_id, row_key, class and `kept`, a struct) with members (sorted hashes), one row per class: the fields of kept and members.
 
     Texts and wanted rows are dealt by id and key together, so that one shuffle finds the texts and folds repeated rows.
     """
@@ -129,12 +130,10 @@ def _members(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         hashes = WordHashes(200_000)
         for table in chunks(batches, 2 << 20):
             sets = [x for x, _ in _sets(table["text"].to_pylist(), width, hashes)]
-            yield pa.RecordBatch.from_arrays(
-                [table["kept"].combine_chunks(), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in _bitmaps(sets)], pa.binary())],
-                ["kept", "members", "bitmap"])
+            yield pa.RecordBatch.from_arrays([table["kept"].combine_chunks(), pa.array([x.tobytes() for x in sets], pa.binary())], ["kept", "members"])
 
-    schema = f"kept {kept.simpleString()}, members binary, bitmap binary"
-    return rows.filter("kept is not null").select("kept", "text").mapInArrow(run, schema).select("kept.*", "members", "bitmap")
+    schema = f"kept {kept.simpleString()}, members binary"
+    return rows.filter("kept is not null").select("kept", "text").mapInArrow(run, schema).select("kept.*", "members")
 
 
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -175,8 +174,11 @@ def _star_edges(pairs: DataFrame, members: DataFrame, threshold: int) -> DataFra
     return rows.groupBy("hub", "salt").applyInArrow(verify, "a long, b long")
 
 
-def _tile_pairs(rows: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (hub, class) of different components that sizes and bitmaps allow, from rows key, class, n, bitmap, root."""
+def _tile_pairs(rows: DataFrame, bitmaps: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (hub, class) of different roots that sizes and bitmaps allow, from stored rows key, class, n, root.
+
+    Rows are dealt to tiles before they get their bitmap, so that only one shuffle carries bitmaps.
+    """
     band = F.floor(F.log(F.col("n") + F.lit(0.5)) / F.lit(float(np.log(100 / threshold)))).cast("int")
     banded = rows.withColumn("band", band)
     # a partner's size is within the threshold's ratio, so it is in the same band or the next
@@ -190,7 +192,7 @@ def _tile_pairs(rows: DataFrame, threshold: int) -> DataFrame:
         F.struct((F.col("band") - 1).alias("low"), F.lit(1).alias("step"), s.alias("s1"), F.col("salt").alias("s2"), F.lit(1).alias("side")))))
     # the group of most keys fits into one tile, with all its bands
     left = salted.withColumn("t", F.explode(F.when(F.col("salts") == 1, whole).otherwise(banded)))
-    tiles = left.select("key", "t.low", "t.step", "t.s1", "t.s2", "t.side", "salt", "class", "n", "root", "bitmap").distinct()
+    tiles = left.select("key", "t.low", "t.step", "t.s1", "t.s2", "t.side", "salt", "class", "n", "root")
 
     def compare(table: pa.Table) -> pa.Table:
         """All tiles of a bucket, one after the other."""
@@ -225,12 +227,13 @@ def _tile_pairs(rows: DataFrame, threshold: int) -> DataFrame:
 
     # many small tiles share a bucket, so that a call's cost is spread over them
     buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
-    dealt = tiles.withColumn("bucket", F.pmod(F.xxhash64("key", "low", "step", "s1", "s2"), F.lit(buckets)).cast("int"))
+    placed = tiles.withColumn("bucket", F.pmod(F.xxhash64("key", "low", "step", "s1", "s2"), F.lit(buckets)).cast("int"))
+    dealt = placed.join(bitmaps.select("class", "bitmap"), "class")
     return dealt.groupBy("bucket").applyInArrow(compare, "hub long, class long").distinct()
 
 
 def _families(candidates: DataFrame, classes: DataFrame) -> DataFrame:
-    """class, n, size, rep, family and its tiles (salts, salt) for every class that shares a key.
+    """class, n, size, rep, bitmap, family, its classes (c) and tiles (salts, salt) for every class that shares a key.
 
     The family is the hub that a class shares most keys with, itself among them; where that hub belongs to another one, that one.
     """
@@ -240,7 +243,44 @@ def _families(candidates: DataFrame, classes: DataFrame) -> DataFrame:
     salts = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
     of_family = mine.groupBy("family").agg(F.count("*").alias("c"), salts.alias("salts"))
     return store(mine.join(of_family, "family").select(
-        "class", "n", "size", "rep", "family", "c", "salts", F.pmod(F.xxhash64("class"), "salts").cast("int").alias("salt")), "shingle-families")
+        "class", "n", "size", "rep", "bitmap", "family", "c", "salts", F.pmod(F.xxhash64("class"), "salts").cast("int").alias("salt")), "shingle-families")
+
+
+def _possible(families: DataFrame, threshold: int) -> DataFrame:
+    """The classes that sizes and bitmaps allow a link within their family; no set is needed for that."""
+    several = families.filter("c > 1")
+    held = several.agg(F.sum("salts")).first()[0] or 0
+    buckets = max(int(families.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // TASK_ROWS))
+    dealt = several.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(
+        "family", F.least("salt", "other").alias("s1"), F.greatest("salt", "other").alias("s2"), "salt", "class", "n", "bitmap")
+
+    def compare(table: pa.Table) -> pa.Table:
+        family, s1, s2, salt, c, n = (table[x].to_numpy() for x in ("family", "s1", "s2", "salt", "class", "n"))
+        bits = np.frombuffer(b"".join(table["bitmap"].to_pylist()), np.uint64).reshape(len(n), -1)
+        order = np.lexsort((n, s2, s1, family))
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (family, s1, s2)])
+        cut = np.append(np.flatnonzero(new), len(order))
+        ok = np.zeros(len(n), bool)
+        for first, end in zip(cut[:-1], cut[1:]):
+            at = order[first:end]
+            same = s1[at[0]] == s2[at[0]]
+            x = at if same else at[salt[at] == s1[at[0]]]
+            y = at if same else at[salt[at] == s2[at[0]]]
+            for k, i in enumerate(x):
+                z = y[k + 1 :] if same else y
+                # sorted by size: those beyond the threshold's ratio are cut off
+                lo, hi = np.searchsorted(n[z], [-(-threshold * n[i] // 100), 100 * n[i] // threshold + 1])
+                z = z[lo:hi]
+                if len(z):
+                    total = n[i] + n[z]
+                    z = z[total - 2 * _least_both(total, threshold) >= np.bitwise_count(bits[i] ^ bits[z]).sum(axis=1, dtype=np.int64)]
+                    ok[z] = True
+                    ok[i] |= len(z) > 0
+        return pa.table({"class": pa.array(c[ok], pa.int64())})
+
+    placed = dealt.withColumn("bucket", F.pmod(F.xxhash64("family", "s1", "s2"), F.lit(buckets)).cast("int"))
+    return placed.groupBy("bucket").applyInArrow(compare, "class long")
 
 
 def _family_tiles(members: DataFrame, threshold: int, mode: str) -> DataFrame:
@@ -321,15 +361,14 @@ def _family_tiles(members: DataFrame, threshold: int, mode: str) -> DataFrame:
     return placed.groupBy("bucket").applyInArrow(compare, "a long, b long, links long")
 
 
-def _cross_links(candidates: DataFrame, roots: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
-    """Linked pairs (a, b) of classes that share a key and have different roots, each once."""
-    rooted = candidates.select("key", "class").join(roots, "class")
+def _cross_pairs(candidates: DataFrame, families: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (hub, class) of classes of different families that share a key and that sizes and bitmaps allow, each once."""
+    rooted = candidates.select("key", "class").join(families.select("class", "n", F.col("family").alias("root")), "class")
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
     apart = store(rooted.join(several, "key", "left_semi"), "shingle-open")
-    pairs = store(_tile_pairs(apart.join(members.select("class", "n", "bitmap"), "class"), threshold), "shingle-pairs")
-    found = store(_star_edges(pairs, members, threshold), "shingle-cross")
-    free(apart, pairs)
-    return found
+    pairs = store(_tile_pairs(apart, families, threshold), "shingle-pairs")
+    free(apart)
+    return pairs
 
 
 @dataclass(frozen=True)
@@ -346,30 +385,29 @@ class Joined:
 
 def _join(docs: DataFrame, width: int, threshold: int, links: bool) -> Joined:
     keyed = store(shingle_classes(docs, width, threshold), "shingle-rows")
-    rows = store(keyed.drop("keys"), "shingle-classes")
+    rows = store(keyed.drop("keys", "bitmap"), "shingle-classes")
     sets = store(keyed.filter(F.col("class").isNotNull()).groupBy("class").agg(
-        F.first("n").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("size"), F.min(F.struct("doc_id", "row_key")).alias("rep"), F.min("doc_id").alias("least")), "shingle-sets")
+        F.first("n").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("size"), F.min(F.struct("doc_id", "row_key")).alias("rep"), F.min("doc_id").alias("least"),
+        F.first("bitmap").alias("bitmap")), "shingle-sets")
     free(keyed)
     classes = store(sets.drop("keys"), "shingle-sizes")
     each = sets.select(F.explode("keys").alias("key"), "class")
     met = store(each.groupBy("key").agg(F.min("class").alias("hub"), F.count("*").alias("c")).filter("c > 1").select("key", "hub"), "shingle-keys")
     candidates = store(each.join(met, "key"), "shingle-candidates")
     free(sets, met)
-    families = _families(candidates, classes.select("class", "n", "size", "rep"))
-    wanted = families.select("rep.doc_id", "rep.row_key", F.struct("class", "n", "size", "family", "c", "salts", "salt").alias("kept"))
+    families = _families(candidates, classes.select("class", "n", "size", "rep", "bitmap"))
+    pairs = _cross_pairs(candidates, families, threshold)
+    possible = _possible(families, threshold).union(pairs.select("class")).union(pairs.select("hub")).distinct()
+    wanted = store(families.join(possible, "class").select("rep.doc_id", "rep.row_key", F.struct("class", "n", "size", "family", "c", "salts", "salt").alias("kept")), "shingle-wanted")
     members = store(_members(docs, wanted, width), "shingle-members")
     inside = store(_family_tiles(members, threshold, "links" if links else "joins"), "shingle-inside")
+    cross = store(_star_edges(pairs, members, threshold), "shingle-cross")
     joins = inside.filter("b is not null").select("a", "b")
-    roots = families.select("class", F.col("family").alias("root"))
-    if not links:
-        roots = store(families.select("class").join(connected(joins).withColumnRenamed("node", "class"), "class", "left").select(
-            "class", F.coalesce("root", "class").alias("root")), "shingle-roots")
-    cross = _cross_links(candidates, roots, members, threshold)
     nodes = connected(joins.union(cross)).select(F.col("node").alias("class"), "root")
     of_class = classes.select("class", "least").join(nodes, "class", "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     of_root = of_class.groupBy("root").agg(F.min("least").alias("component"))
     known = store(of_class.join(of_root, "root").select("class", "component"), "shingle-components")
-    free(candidates, families)
+    free(candidates, families, pairs, wanted)
     return Joined(rows, classes, known, members, inside, cross)
 
 
