@@ -1,19 +1,19 @@
 r"""Benchmark decontamination with DataFrame functions only.
 
 Benchmark items are cut into windows of `n` words (an item of fewer words is one window). The windows form a hash set
-that is broadcast when its measured size is below a bound, and is shuffled like any other table beyond it. Document
-windows are compared as whole strings, so that every hit is exact.
+that is broadcast when its measured size is below a bound, and is shuffled like any other table beyond it. Windows are
+looked up by two rare words and compared as whole strings, so that every hit is exact.
 
-Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after A-Z are lower-cased. A null or empty text has no words and no hits. Very
-long texts are cut into pieces that overlap by n - 1 words, so that no row holds all windows of a long text. Rows are told
-apart by doc_id and text: repeated rows each get the same result, rows of one doc_id with other texts their own. Only
-doc_id and text (item_id and text) are read; other columns of either table, whatever their names, play no part. An empty
+Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after A-Z are lower-cased. A null or empty text has no words and no hits. A row
+holds the words of a text, never its windows. Rows are told apart by doc_id and text: repeated rows each get the same
+result, rows of one doc_id with other texts their own. Only doc_id and text (item_id and text) are read; other columns of either table, whatever their names, play no part. An empty
 table gives an empty result, an empty benchmark hits nothing, an item with a null id counts as the item "".
 """
 
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -22,7 +22,6 @@ from seqpulse.llm.common import BROADCAST_BYTES, row_key, store
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CASED_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PIECE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
-PIECE_WORDS = 2048
 
 
 def words(text: Column) -> Column:
@@ -30,11 +29,13 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lowered, GAP), "")
 
 
-def _windows(w: Column, n: int) -> Column:
-    """(offset, words joined by one space) of each window of n words; none if there are fewer words."""
-    starts = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
-    # element by element: slice() in a lambda would copy the whole array for each window
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.concat_ws(" ", *[w[i + j] for j in range(n)]).alias("window")))
+def _cut(w: Column, at: Column, length: Column, n: int) -> Column:
+    """`length` (at most n) words from `at` on, joined by one space; fewer where the text ends or begins in between."""
+    return F.concat_ws(" ", *[F.when(F.lit(j) < length, F.get(w, at + j)) for j in range(n)])
+
+
+def _lowered(text: Column) -> Column:
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
@@ -42,62 +43,73 @@ def benchmark_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
     w = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("w"))
     short = w.filter(F.size("w").between(1, n - 1)).select(
         "item", F.array_join("w", " ").alias("window"), F.size("w").alias("n_window"))
-    full = w.select("item", F.explode(_windows(F.col("w"), n)).alias("x")).select(
-        "item", F.col("x.window").alias("window"), F.lit(n).alias("n_window"))
+    each = w.select("item", "w", F.posexplode("w").alias("at", "word")).filter(F.col("at") + n <= F.size("w"))
+    full = each.select("item", _cut(F.col("w"), F.col("at"), F.lit(n), n).alias("window"), F.lit(n).alias("n_window"))
     return full.union(short).groupBy("window", "n_window").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
+def _anchored(windows: DataFrame) -> DataFrame:
+    """Each window with its anchor, the two consecutive words it is looked up by (its word, if it has one only), and their place in it.
+
+    The pair is the one that the fewest windows hold, and of these the longest: what opens every item is no anchor.
+    """
+    w = windows.select("window", F.split("window", " ").alias("w")).select("window", "w", F.posexplode("w").alias("offset", "word"))
+    pairs = w.filter((F.col("offset") + 1 < F.size("w")) | (F.size("w") == 1)).select(
+        "window", "offset", F.lower(F.concat_ws(" ", "word", F.get("w", F.col("offset") + 1))).alias("anchor"))
+    shared = pairs.groupBy("anchor").agg(F.count_distinct("window").alias("shared"))
+    best = pairs.join(shared, "anchor").groupBy("window").agg(
+        F.min(F.struct("shared", (-F.length("anchor")).alias("shortness"), "offset", "anchor")).alias("best"))
+    return windows.join(best, "window").select("window", "n_window", "items", "best.anchor", "best.offset")
+
+
 def _known(benchmark: DataFrame, n: int) -> tuple[DataFrame, list[int], bool]:
-    """The stored windows, the lengths among them, and whether their measured size allows a broadcast."""
-    known = store(benchmark_windows(benchmark, n), "benchmark-windows")
+    """The stored windows with their anchors, the lengths among them, and whether their measured size allows a broadcast."""
+    known = store(_anchored(benchmark_windows(benchmark, n)), "benchmark-windows")
     size = known.agg(
-        F.sum(F.length("window") + 16 * F.size("items")).alias("bytes"),
-        F.collect_set(F.when(F.col("n_window") < n, F.col("n_window"))).alias("short")).first()
-    return known, [n, *sorted(size["short"])], (size["bytes"] or 0) <= BROADCAST_BYTES
+        F.sum(F.octet_length("window") + F.octet_length("anchor") + F.octet_length(F.array_join("items", "")) + 16 * F.size("items") + 64).alias("bytes"),
+        F.collect_set("n_window").alias("lengths")).first()
+    return known, sorted(size["lengths"]), (size["bytes"] or 0) <= BROADCAST_BYTES
 
 
-def _scan(docs: DataFrame, known: DataFrame, small: bool) -> DataFrame:
-    """One row per document row: doc_id, row_key, n_words, and whether it holds the longest word of any window.
+def _hits(docs: DataFrame, known: DataFrame, lengths: list[int], small: bool, n: int) -> DataFrame:
+    """One row per occurrence of a window.
 
-    No window can occur without its longest word, and long words are rare, so that only few documents are cut into windows.
-    The words meet in Unicode lower case here, which is coarser than the exact comparison that follows.
+    With a broadcast each two consecutive words ask for the windows they are the anchor of, and the words around them are
+    compared with these on the spot: a text is read once and stays where it is, and only true hits leave the task. Anchors meet
+    in Unicode lower case, which is coarser than the exact comparison that follows. Beyond the bound of the broadcast the
+    windows of the documents are shuffled to those of the benchmark.
     """
-    longest = known.select(F.array_max(F.transform(F.split("window", " "), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"].alias("x"))
-    anchors = longest.select(F.lower("x").alias("anchor")).distinct()
-    rows = docs.select("doc_id", row_key().alias("row_key"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
-    each = rows.select("doc_id", "row_key", "row", F.explode(F.split("text", CASED_GAP)).alias("word"))
-    met = each.join(F.broadcast(anchors) if small else anchors, F.lower("word") == F.col("anchor"), "left")
-    return met.groupBy("row", "doc_id", "row_key").agg(
-        F.count_if(F.col("word") != "").alias("n_words"), (F.count("anchor") > 0).alias("possible")).drop("row")
-
-
-def _hits(docs: DataFrame, scanned: DataFrame, known: DataFrame, lengths: list[int], small: bool, n: int) -> DataFrame:
-    possible = scanned.filter("possible").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
-    rows = docs.select("doc_id", row_key().alias("row_key"), "text")
-    rows = rows.join(possible, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left_semi")
-    w = rows.select("doc_id", "row_key", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    pieces = w.select("doc_id", "row_key", F.explode(F.transform(
-        F.sequence(F.lit(0), F.size("w") - 1, F.lit(PIECE_WORDS)),
-        lambda s: F.struct(s.alias("from"), F.slice("w", s + 1, PIECE_WORDS + n - 1).alias("w")))).alias("p"))
-    found = None
-    for k in lengths:
-        grams = pieces.select("doc_id", "row_key", F.col("p.from").alias("from"), F.explode(_windows(F.col("p.w"), k)).alias("x"))
-        grams = grams.select("doc_id", "row_key", (F.col("from") + F.col("x.at")).alias("at"), F.col("x.window").alias("window"))
-        found = grams if found is None else found.union(grams)
-    return found.join(F.broadcast(known) if small else known, "window").drop("window")
+    w = F.array_remove(F.split(F.coalesce("text", F.lit("")), CASED_GAP), "")
+    # outer: an inner one would add a filter on the size of w, which splits each text once more
+    each = docs.select("doc_id", row_key().alias("row_key"), w.alias("w")).select("doc_id", "row_key", "w", F.posexplode_outer("w").alias("place", "word"))
+    found = []
+    if small:
+        for anchor_words in {min(k, 2) for k in lengths or [n]}:
+            windows = known.filter(F.least("n_window", F.lit(2)) == anchor_words)
+            anchor = F.lower(_cut(F.col("w"), F.col("place"), F.lit(anchor_words), anchor_words))
+            at = F.col("place") - F.col("offset")
+            exact = _lowered(_cut(F.col("w"), at, F.col("n_window"), n)) == F.col("window")
+            met = each.join(F.broadcast(windows), (anchor == F.col("anchor")) & exact)
+            found.append(met.select("doc_id", "row_key", at.alias("at"), "n_window", "items"))
+    else:
+        for k in lengths:
+            window = _lowered(_cut(F.col("w"), F.col("place"), F.lit(k), k))
+            grams = each.filter(F.col("place") + k <= F.size("w")).select("doc_id", "row_key", F.col("place").alias("at"), window.alias("window"))
+            found.append(grams.join(known.filter(F.col("n_window") == k).drop("anchor", "offset"), "window").drop("window"))
+    return reduce(DataFrame.union, found)
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """Columns doc_id, row_key, at (first word), n_window, items: one row per occurrence of a benchmark window."""
-    known, lengths, small = _known(benchmark, n)
-    return _hits(docs, _scan(docs, known, small), known, lengths, small, n)
+    return _hits(docs, *_known(benchmark, n), n)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """Per row: doc_id, row_key, n_words, n_hit, n_items, items_sha256, contaminated."""
-    known, lengths, small = _known(benchmark, n)
-    scanned = store(_scan(docs, known, small), "benchmark-scan")
-    hits = _hits(docs, scanned, known, lengths, small, n)
+    hits = find_hits(docs, benchmark, n)
+    pieces = F.split(F.coalesce("text", F.lit("")), CASED_GAP)
+    n_words = F.size(pieces) - (F.get(pieces, F.lit(0)) == "").cast("int") - ((F.size(pieces) > 1) & (F.element_at(pieces, -1) == "")).cast("int")
+    scanned = docs.select("doc_id", row_key().alias("row_key"), n_words.alias("n_words"))
     keys = ["doc_id", "row_key"]
     # one row per hit word and one per hit item, told apart by kind, so that both counts take one pass
     marks = hits.select(*keys, F.explode(F.concat(

@@ -274,6 +274,29 @@ def test_decontamination_removes_spans(spark):
     assert len(none) == 3 and not any(r["contaminated"] for r in none)
 
 
+def test_decontamination_broadcast_and_shuffled(spark, monkeypatch):
+    """Items of one, two, three and more words, at both ends of a text, with letters whose case differs: the same from a hash set and from a shuffle."""
+    texts = ["Solo", "x solo y SOLO", "pair Of", "a pair of b", "one two three", "ONE  two\nthree one two three", " ".join(f"W{k}" for k in range(30)),
+             "w5 " + " ".join(f"w{k}" for k in range(3, 15)), "\u0130x \u00c9t\u00e9", "i\u0307x \u00e9t\u00e9", "\u0130X \u00c9t\u00e9", "", None, "...", ". solo ."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = ["solo", "pair of", "one two three", " ".join(f"w{k}" for k in range(3, 16)), " ".join(f"w{k}" for k in range(20, 30)), "\u0130x \u00c9t\u00e9", "", None]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = []
+    for bound in (decontaminate.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", bound)
+        found.append({r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate.contamination(docs, bench).collect()})
+    assert found[0] == found[1] == {
+        0: (1, 1, 1), 1: (4, 2, 1), 2: (2, 2, 1), 3: (4, 2, 1), 4: (3, 3, 1), 5: (6, 6, 1), 6: (30, 23, 2), 7: (13, 12, 1),
+        8: (2, 2, 1), 9: (2, 0, 0), 10: (2, 2, 1), 11: (0, 0, 0), 12: (0, 0, 0), 13: (0, 0, 0), 14: (1, 1, 1)}
+
+
+def test_decontamination_reads_texts_in_place(spark):
+    """No exchange of texts or windows: the hash set comes to the documents."""
+    hits = decontaminate.find_hits(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet"))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and plan.count("split(") == 1
+
+
 def test_odd_rows(spark, odd, labels):
     """Every operator takes odd rows and gives one row for each."""
     n = odd.count()
