@@ -140,19 +140,35 @@ def test_lm_base_scores_and_probability(spark, texts):
 
 
 def test_spelling_is_a_distribution():
-    """Over all words of up to two letters the spelled probabilities and what is left to longer ones add up to one."""
-    code = context_mixing.huffman(np.arange(256))
+    """The probabilities of all first bytes, and of the end of an empty text, add up to one."""
+    code = context_mixing.Code(np.arange(256))
     rng = np.random.default_rng(1)
-    tables = rng.integers(0, 50, (2, len(context_mixing.ORDERS), 1 << context_mixing.BITS)).astype(np.float32)
-    model = context_mixing._learn([b"ab", b"cab", b"", b"abba"] * 30, code, tables)
+    model = context_mixing._model(code, rng.integers(0, 50, (2, len(context_mixing.ORDERS), 1 << context_mixing.BITS)).astype(np.float32))
     letters = [bytes([i]) for i in range(256) if i != context_mixing.END_MARK]
-    slots, bit, word = context_mixing.spell(letters, code)
-    first = np.cumsum(np.concatenate([[0], np.bincount(word)]))[:-1]
-    p = context_mixing._predict(model, slots)
-    each = np.where(bit == 1, p, 1 - p)
-    n = code[0][[w[0] for w in letters]]
-    one = sum(each[a : a + k].prod() for a, k in zip(first, n))
-    assert one + 10.0 ** context_mixing.spelled([b""], model)[0] == pytest.approx(1)
+    cost, text = context_mixing.byte_costs(letters, model)
+    first = np.flatnonzero(np.diff(text, prepend=-1))
+    assert (10 ** cost[first]).sum() + 10.0 ** context_mixing.spelled([b""], model)[0] == pytest.approx(1, abs=1e-5)
+
+
+def test_lm_score_is_the_plain_bit_loop(spark):
+    """Exact contexts in dictionaries and one bit after the other: the same scores up to the 16 bits of the stored odds."""
+    learnt = [f"left{k % 9} right{k % 9} and north{k % 7} \u00e9t\u00e9 south{k % 7}" for k in range(60)]
+    asked = ["left1 right1 and north2 south2 " * 9, "", "south2", "zq zq zq new words zq", learnt[3] + " " + learnt[4]]
+    docs = spark.createDataFrame([*enumerate(learnt), *enumerate(asked, 1000)], "doc_id long, text string")
+    got = by_id(context_mixing.score_texts(docs.repartition(3), F.col("doc_id") < 1000))
+    want = brute.lm_scores(learnt, asked)
+    for k, score in enumerate(want, 1000):
+        assert got[k]["score"] == pytest.approx(score, rel=2e-3)
+
+
+def test_lm_scores_do_not_depend_on_neighbours():
+    """A text scores alike alone and among others, also beyond one block and one step."""
+    texts = [b"some words here " * 40, b"", b"x ", b"other words there and here " * 900]
+    code = context_mixing.Code(context_mixing._byte_counts(texts))
+    rng = np.random.default_rng(2)
+    model = context_mixing._model(code, rng.integers(0, 9, (2, len(context_mixing.ORDERS), 1 << context_mixing.BITS)).astype(np.float32))
+    alone = [context_mixing.spelled([t], model)[0] for t in texts]
+    assert context_mixing.spelled(texts, model) == pytest.approx(alone, rel=1e-5)
 
 
 def test_words_are_predicted_from_the_words_before(spark):
@@ -174,9 +190,9 @@ def test_lm_fit_counts_every_occurrence_however_dealt(spark):
     for d, r in one.items():
         assert r["score"] == pytest.approx(many[d]["score"], rel=1e-4)
     streams = context_mixing._streams([t for d, t in rows if d < 1000])
-    code = context_mixing.huffman(context_mixing._byte_counts(streams))
+    code = context_mixing.Code(context_mixing._byte_counts(streams))
     tables = context_mixing._bit_tables(docs.filter("doc_id < 1000").repartition(7), code)
-    assert tables[:, 0].sum() == code[0][np.frombuffer(b" ".join(streams) + b" ", np.uint8)].sum()
+    assert tables[:, 0].sum() == code.length[np.frombuffer(b" ".join(streams) + b" ", np.uint8)].sum()
 
 
 def test_quality_base_columns(spark, texts):
