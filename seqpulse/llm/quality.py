@@ -1,16 +1,16 @@
 r"""Quality: log-likelihood ratio of hashed n-grams between a trusted target and the raw corpus.
 
 Words `[^\x20\x09-\x0D]+`, unchanged, and word pairs are hashed to 2**bits slots. Two multinomials with add-one smoothing are counted: the raw
-corpus over all documents, the target over trusted ones (labelled quality 1; at most `sample` labelled rows, those with the smallest id
-hashes). A document scores the mean over its n-grams of log(p_target / p_raw). The threshold is the value that best parts the sampled
-rows of both labels (the smallest such value, so that it is deterministic). Counts leave a task as one block per slice of slots, hence
-what is shuffled depends on the number of tasks and not on the texts; the two tables of 2**bits numbers are broadcast.
+corpus over all documents, the target over all trusted ones (labelled quality 1). A document scores the mean over its n-grams of
+log(p_target / p_raw). The threshold is the value that best parts all labelled documents by their label (the smallest such value, so that
+it is deterministic). Counts leave a task as one block per slice of slots, hence what is shuffled depends on the number of tasks and not on
+the texts, unless there are too many trusted ids to broadcast; the two tables of 2**bits numbers are broadcast.
 
 Base columns per text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and base_failed when there are fewer than
 `min_words` words or more than half of them lie in repeated 3-word windows.
 
 Defined cases: a null or empty text has no words, scores 0 and fails the base; a null label is not used; a repeated label of one
-doc_id counts as its largest. Without both labels in the sample the threshold is 0. Repeated rows score alike; other columns play no part.
+doc_id counts as its largest. Without documents of both labels the threshold is 0. Repeated rows score alike; other columns play no part.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from seqpulse.llm.common import WordHashes, chunks, count_slots, mix, words_of
+from seqpulse.llm.common import BROADCAST_BYTES, WordHashes, chunks, count_slots, mix, store, words_of
 
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 
@@ -31,7 +31,6 @@ _SYMBOL = re.compile(r"[#*$%&|<>]")
 @dataclass(frozen=True)
 class Ratio:
     bits: int = 18
-    sample: int = 20_000
     min_words: int = 50
 
 
@@ -93,25 +92,54 @@ def _counts(docs: DataFrame, bits: int) -> np.ndarray:
     return count_slots(docs, bits, slots)
 
 
-def fit(docs: DataFrame, labels: DataFrame, cfg: Ratio = Ratio()) -> tuple[np.ndarray, float]:
-    """The log ratio of each slot, and the threshold."""
-    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("_label"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.sample)
-    sampled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    target = _counts(sampled.filter("_label = 1"), cfg.bits)
+_ID_BYTES = 32  # of an id in a broadcast hash table
+
+
+def label_ids(labels: DataFrame) -> DataFrame:
+    """doc_id, label: one row per labelled id, stored."""
+    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("label"))
+    return store(known, "quality-labels")
+
+
+def fit(docs: DataFrame, known: DataFrame, cfg: Ratio = Ratio()) -> np.ndarray:
+    """The log ratio of each slot: all documents labelled 1 in `known` (see `label_ids`) against all documents."""
+    trusted = known.filter("label = 1").select("doc_id")
+    few = trusted.count() * _ID_BYTES <= BROADCAST_BYTES
+    target = _counts(docs.select("doc_id", "text").join(F.broadcast(trusted) if few else trusted, "doc_id"), cfg.bits)
     raw = _counts(docs, cfg.bits)
-    ratio = np.log((target + 1) / (target.sum() + len(target))) - np.log((raw + 1) / (raw.sum() + len(raw)))
-    scored = _score(sampled.select("doc_id", "_label", "text"), ratio, cfg).select("doc_id", "_label", "llr").groupBy("doc_id").agg(F.max("_label").alias("y"), F.min("llr").alias("x"))
-    rows = scored.select("x", "y").toPandas()  # at most `sample` numbers
-    x, y = rows["x"].to_numpy(float), rows["y"].to_numpy() == 1
-    if y.all() or not y.any():
-        return ratio, 0.0
-    order = np.argsort(x, kind="stable")
-    x, y = x[order], y[order]
-    # cutting before row k keeps rows k and on
-    right = 1 - np.concatenate([[0], np.cumsum(y)]) / y.sum() + np.concatenate([[0], np.cumsum(~y)]) / (~y).sum()
-    k = int(np.argmax(right[:-1]))
-    return ratio, float(x[k] if k == 0 else (x[k - 1] + x[k]) / 2)
+    return np.log((target + 1) / (target.sum() + len(target))) - np.log((raw + 1) / (raw.sum() + len(raw)))
+
+
+def threshold(scored: DataFrame, known: DataFrame) -> float:
+    """The llr that best parts all labelled documents, from ranges of their distinct values; a row a range reaches one task.
+
+    Cutting before a value keeps it and all larger ones; the best cut has the largest share of label 1 kept plus share of the others cut.
+    """
+    parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = F.col("label") == 1
+    values = (
+        scored.join(known, "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("llr").alias("x"))
+        .groupBy("x").agg(F.count_if(one).alias("good"), F.count_if(~one).alias("bad"))
+    )
+    placed = store(values.repartitionByRange(parts, "x").withColumn("part", F.spark_partition_id()), "quality-values")
+    sums = placed.groupBy("part").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    before, all_parts = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(F.lit(1))
+    # one row for each range
+    bases = sums.select(
+        "part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_base") for c in ("good", "bad")],
+        *[F.sum(c).over(all_parts).alias(f"{c}_all") for c in ("good", "bad")])
+    within = W.partitionBy("part").orderBy("x").rowsBetween(W.unboundedPreceding, -1)
+    good, bad = (F.col(f"{c}_base") + F.coalesce(F.sum(c).over(within), F.lit(0)) for c in ("good", "bad"))
+    gain = (bad * F.col("good_all") - good * F.col("bad_all")).alias("gain")
+    best = (
+        placed.join(bases, "part").filter("good_all > 0 AND bad_all > 0").select("x", gain)
+        .agg(F.max(F.struct("gain", (-F.col("x")).alias("lowest"))).alias("best")).first()["best"]
+    )
+    if best is None:
+        return 0.0
+    x = -best["lowest"]
+    below = placed.filter(F.col("x") < F.lit(x)).agg(F.max("x").alias("x")).first()["x"]
+    return x if below is None else (below + x) / 2
 
 
 def _score(docs: DataFrame, ratio: np.ndarray, cfg: Ratio) -> DataFrame:
@@ -144,8 +172,9 @@ def _score(docs: DataFrame, ratio: np.ndarray, cfg: Ratio) -> DataFrame:
 
 def assess(docs: DataFrame, labels: DataFrame, cfg: Ratio = Ratio()) -> DataFrame:
     """doc_id, the base columns, llr, base_failed and kept for every row."""
-    ratio, threshold = fit(docs, labels, cfg)
+    known = label_ids(labels)
     base = F.col("n_words") < cfg.min_words
     failed = base | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return _score(docs.select("doc_id", "text"), ratio, cfg).withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold)))
+    texts = docs.select("doc_id", "text")
+    scored = store(_score(texts, fit(texts, known, cfg), cfg), "quality-scores")
+    return scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold(scored, known))))

@@ -14,6 +14,7 @@ sys.path.insert(0, str(ROOT))
 import corpus_pipeline  # noqa: E402
 from seqpulse.llm import byte_dedup, chat, context_mixing, decontaminate, mixing, ngram_join, quality, token_file, toxicity, word_dedup  # noqa: E402
 from seqpulse.llm import queries as q  # noqa: E402
+from seqpulse.llm.common import WordHashes  # noqa: E402
 from tests.llm import brute  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -205,6 +206,46 @@ def test_quality_base_columns(spark, texts):
         assert not (r["kept"] and r["base_failed"])
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """More labelled rows than any fixed sample; each has a word of its own, so that a row left out shows in the scores."""
+    n, cfg = 20_200, quality.Ratio(min_words=1)
+    rows = [(i, f"w{i} {'good' if i % 5 else 'bad'} x{i % 7}", int(i % 5 > 0)) for i in range(n)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(8)
+    got = by_id(quality.assess(frame.drop("quality"), frame.drop("text"), cfg))
+
+    def counts(texts):
+        _, h, doc = quality._words(texts, WordHashes())
+        return np.bincount(quality._grams(h, doc, cfg.bits)[0], minlength=1 << cfg.bits) + 1
+
+    target, raw = counts([t for _, t, y in rows if y]), counts([t for _, t, _ in rows])
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    _, h, doc = quality._words([t for _, t, _ in rows], WordHashes())
+    slots, owner = quality._grams(h, doc, cfg.bits)
+    want = np.bincount(owner, ratio[slots]) / np.bincount(owner)
+    assert np.allclose([got[i]["llr"] for i in range(n)], want, rtol=0, atol=1e-9)
+
+
+def test_quality_threshold_against_plain_loop(spark):
+    rng = np.random.default_rng(3)
+    for scale in (4, 1000):  # many ties, and hardly any
+        x, y = np.round(rng.normal(0, 1, 300) * scale) / scale, rng.integers(0, 2, 300)
+        x += np.where(y, 0.5, 0)
+        cuts = [(sum(y[x >= v]) * sum(1 - y) + sum(1 - y[x < v]) * sum(y), -v) for v in set(x)]
+        v = -max(cuts)[1]
+        want = (max(x[x < v]) + v) / 2 if (x < v).any() else v
+        scored = spark.createDataFrame([(i, float(a)) for i, a in enumerate(x)], "doc_id long, llr double")
+        known = spark.createDataFrame([(i, int(b)) for i, b in enumerate(y)], "doc_id long, label int")
+        assert quality.threshold(scored, known) == want
+        assert quality.threshold(scored, known.filter("label = 1")) == 0.0
+
+
+def test_quality_same_with_shuffled_labels(spark, monkeypatch):
+    """Trusted ids beyond the broadcast bound are joined by a shuffle, with the same rows."""
+    near = by_id(q.op4_quality_rules(spark, SF))
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", 0)
+    assert by_id(q.op4_quality_rules(spark, SF)) == near
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
