@@ -1,6 +1,7 @@
 """Entry and cohort marts against plain loops, with hot keys, ties and rows that match by both keys."""
 
 import random
+import re
 from collections import defaultdict
 from dataclasses import replace
 from datetime import date, datetime, timedelta
@@ -98,6 +99,26 @@ def test_cohort(make, seed):
     assert both > 0
 
 
+def test_cohort_tasks_follow_the_rows(make, monkeypatch):
+    """A task folds a bounded number of activities: none is folded before it is dealt, and twice the rows make twice the tasks."""
+    rows = people(random.Random(3), 60)
+    accounts = make("account_map", [{"pro_uuid": f"U{i}", "organization_id": f"o{i // 3}", "account_id": f"A{i // 3}"} for i in range(25)])
+    entries = marts.entries(make("checkpoints", rows), accounts, DAY, CFG)
+    acts = [{"activity_id": str(i), "lead_id": f"L{i % 25}", "activity_date": date(2024, 1, 1) + timedelta(days=i % 90), "call_flag": 1} for i in range(400)]
+    found = {}
+    for size in (1_000_000, 10):
+        monkeypatch.setattr(marts, "ROWS_PER_TASK", size, raising=False)
+        for n in (200, 400):
+            df = marts.cohort_performance(entries, make("activity", acts[:n]), DAY, CFG)
+            text = df._jdf.queryExecution().toString()
+            dealt = {int(x) for x in re.findall(r"hashpartitioning\(link#\d+, k1#\d+, k2#\d+, (?:activity_date|period)#\d+L?, (\d+)\), REPARTITION_BY_NUM", text)}
+            assert len(dealt) == 1 and "keys=[lead_id" not in text
+            found[size, n] = dealt.pop(), sorted(map(str, df.collect()))
+    tasks = {k: v[0] for k, v in found.items()}
+    assert tasks[10, 400] - tasks[10, 200] == 20 and tasks[1_000_000, 400] == tasks[1_000_000, 200] < tasks[10, 200]
+    assert found[10, 400][1] == found[1_000_000, 400][1]
+
+
 def test_maturity(spark):
     df = spark.createDataFrame([("S", DAY - timedelta(days=d)) for d in (29, 30, 59, 60)], "cadence_id string, entry_dt date")
     marked = {r.cohort_age_days: (r.mature_30_days, r.mature_60_days) for r in cohort.with_maturity(df, DAY, CFG).collect()}
