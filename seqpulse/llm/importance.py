@@ -117,7 +117,7 @@ def scan(docs: DataFrame, n_buckets: int = N_BUCKETS, widest: int = WIDEST, keep
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shifter, counts = Shifter(), np.zeros(n_buckets, np.int64)
-        for table in chunks(batches, 2 << 20):
+        for table in chunks(batches, 512 << 10):
             crcs, n_words, n_features = feature_crcs(table["text"].cast(pa.binary()).to_pylist(), shifter, widest)
             buckets = (crcs % np.uint32(n_buckets)).astype("<u2")
             counts += np.bincount(buckets, minlength=n_buckets)
@@ -167,7 +167,7 @@ def weigh(rows: DataFrame, gain: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gain = shared.value
-        for table in chunks(batches, 4 << 20, "buckets"):
+        for table in chunks(batches, 1 << 20, "buckets"):
             weight = [int(gain[np.frombuffer(x.as_buffer(), "<u2")].sum()) for x in table["buckets"]]
             yield from table.drop_columns(["buckets"]).append_column("weight", pa.array(weight, pa.int64())).to_batches()
 

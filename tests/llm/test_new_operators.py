@@ -270,3 +270,30 @@ def test_ids_of_any_tokenizer_are_those_of_whole_texts(name, texts, monkeypatch)
     encoder = token_file.Encoder(path)
     assert [x.tolist() for t in some for x in encoder.encode_all([t])] == want
     assert encoder.cuts == name.startswith("word")
+
+
+def test_importance_scan_holds_little_text_at_a_time(spark):
+    """What a worker holds follows a piece of the texts and not the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql.types import LongType, StructType
+
+    class Frame:
+        schema = StructType().add("doc_id", LongType())
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    n, text = 1200, " ".join(f"w{i}" for i in range(600))
+    batch = pa.record_batch({"doc_id": pa.array(range(n)), "row_key": pa.array(range(n)), "text": [text] * n})
+    run = importance.scan(Frame())
+    list(run(iter([batch.slice(0, 1)])))
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == n + 1 and peak < 40 << 20
