@@ -56,7 +56,7 @@ def by_id(df):
 @pytest.mark.parametrize("name", sorted(q.SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = q.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
