@@ -18,14 +18,14 @@ Other columns play no part. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from seqpulse.llm.common import WordHashes, chunks, connected, mix, row_key, store, words_of
+from seqpulse.llm.common import WordHashes, chunks, connected, free, mix, row_key, store, words_of
 
 REGISTERS = 256
 MANTISSA = 10
@@ -231,56 +231,66 @@ def _verified(pairs: DataFrame, members: DataFrame, threshold: int) -> DataFrame
     return rows.groupBy("hub", "salt").applyInArrow(verify, "a long, b long")
 
 
-def _tile_links(rows: DataFrame, threshold: int) -> DataFrame:
-    """Verified links (a, b) that join components, from rows key, class, n, registers, root, members.
+def _tile_links(rows: DataFrame, classes: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
+    """Verified links (a, b) that join components, from stored rows key, class, root.
 
-    Pairs are looked at in the first band they share, passed by sizes and estimate, and verified on the full sets inside the tile; of the links
-    only those come out that join what is still apart in the tile, so that no more rows come out than went in.
+    Rows are dealt to tiles by themselves, so that one shuffle alone carries registers. Pairs are looked at in the first band they share and passed by
+    sizes and estimate. Only rows that this leaves a partner get their sets, on which pairs are verified inside the tile; of the links only those come out that
+    join what is still apart in the bucket, so that no more rows come out than went in.
     """
     salts = rows.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("salts"))
     salted = rows.join(salts, "key").withColumn("salt", F.pmod(F.xxhash64("class"), "salts").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
-    dealt = salted.withColumn("other", other).select(
-        "key", F.least("salt", "other").alias("s1"), F.greatest("salt", "other").alias("s2"), "salt", "class", "n", "root", "registers", "members")
-    least = cutoff(threshold)
+    dealt = salted.withColumn("other", other).select("key", F.least("salt", "other").alias("s1"), F.greatest("salt", "other").alias("s2"), "salt", "class", "root")
+    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
+    placed = dealt.withColumn("bucket", F.pmod(F.xxhash64("key", "s1", "s2"), F.lit(buckets)).cast("int"))
+    columns, sketched, least = placed.columns, classes.select("class", "n", "registers"), cutoff(threshold)
 
-    def compare(table: pa.Table) -> pa.Table:
-        """All tiles of a bucket, one after the other."""
-        key, s1, s2, salt, c, n, root = (table[x].to_numpy() for x in ("key", "s1", "s2", "salt", "class", "n", "root"))
-        regs, sets = _matrix(table["registers"]), [_set(x) for x in table["members"]]
+    def partners(table: pa.Table, apart: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        """For the rows of all tiles of a bucket, one after the other, the rows that may be linked with each."""
+        key, s1, s2, salt, c, n = (table[x].to_numpy() for x in ("key", "s1", "s2", "salt", "class", "n"))
+        regs = _matrix(table["registers"])
         keys, level = band_keys(regs), levels(n)
         order = np.lexsort((s2, s1, key))
         new = np.ones(len(order), bool)
         new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (key, s1, s2)])
         cut = np.append(np.flatnonzero(new), len(order))
-        links = []
         for a, b in zip(cut[:-1], cut[1:]):
             rows = order[a:b]
             x, y = rows[salt[rows] == s1[rows[0]]], rows[salt[rows] == s2[rows[0]]]
-            names, labels = np.unique(root[rows], return_inverse=True)
-            label = dict(zip(rows.tolist(), labels.tolist()))
-            now = np.arange(len(names))  # the component of each root so far
-            of_y = np.array([label[j] for j in y.tolist()], np.int64)
             for i in x:
-                fits = (now[of_y] != now[label[i]]) & (100 * np.minimum(n[i], n[y]) >= threshold * np.maximum(n[i], n[y]))
+                fits = apart(i, y) & (100 * np.minimum(n[i], n[y]) >= threshold * np.maximum(n[i], n[y]))
                 if s1[i] == s2[i]:
                     fits &= c[y] > c[i]
-                at = np.flatnonzero(fits)
-                at = at[keys[i][(keys[y[at]] == keys[i]).argmax(axis=1)] == key[i]]
+                at = y[fits]
+                at = at[keys[i][(keys[at] == keys[i]).argmax(axis=1)] == key[i]]
+                if len(at):
+                    at = at[estimate((regs[at] == regs[i]).sum(axis=1), level[i], level[at]) >= least]
                 if len(at):
-                    at = at[estimate((regs[y[at]] == regs[i]).sum(axis=1), level[i], level[y[at]]) >= least]
-                for j in at[_linked_to(sets[i], [sets[k] for k in y[at]], threshold)] if len(at) else ():
-                    p, q = now[label[i]], now[of_y[j]]
-                    if p != q:
-                        now[now == q] = p
-                        links.append((c[i], c[y[j]]))
+                    yield i, at
+
+    def possible(table: pa.Table) -> pa.Table:
+        root, ok = table["root"].to_numpy(), np.zeros(len(table), bool)
+        for i, at in partners(table, lambda i, y: root[y] != root[i]):
+            ok[i] = ok[at] = True
+        return table.select(columns).filter(pa.array(ok))
+
+    def compare(table: pa.Table) -> pa.Table:
+        c, sets = table["class"].to_numpy(), [_set(x) for x in table["members"]]
+        label = np.unique(table["root"].to_numpy(), return_inverse=True)[1]
+        now = np.arange(label.max(initial=-1) + 1)  # the component of each root so far
+        links = []
+        for i, at in partners(table, lambda i, y: now[label[y]] != now[label[i]]):
+            for j in at[_linked_to(sets[i], [sets[k] for k in at], threshold)]:
+                p, q = now[label[i]], now[label[j]]
+                if p != q:
+                    now[now == q] = p
+                    links.append((c[i], c[j]))
         pairs = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs.min(axis=1, initial=2**63 - 1), "b": pairs.max(axis=1, initial=-(2**63))})
 
-    spark = rows.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
-    placed = dealt.withColumn("bucket", F.pmod(F.xxhash64("key", "s1", "s2"), F.lit(buckets)).cast("int"))
-    return placed.groupBy("bucket").applyInArrow(compare, "a long, b long")
+    left = store(placed.join(sketched, "class").groupBy("bucket").applyInArrow(possible, placed.schema), "hmh-possible")
+    return left.join(sketched, "class").join(members, "class").groupBy("bucket").applyInArrow(compare, "a long, b long")
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -307,10 +317,12 @@ def _open(candidates: DataFrame, roots: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, row_key, n_shingles, component_id and kept (doc_id is the component's) for every row."""
-    rows = store(sketches(docs, width), "hmh-rows")
-    full = rows.filter(F.col("class").isNotNull())
+    sketched = store(sketches(docs, width), "hmh-sketches")
+    rows = store(sketched.drop("registers"), "hmh-rows")
+    full = sketched.filter(F.col("class").isNotNull())
     classes = store(full.groupBy("class").agg(F.first("n").alias("n"), F.first("registers").alias("registers"), F.min(F.struct("doc_id", "row_key")).alias("rep"),
                                               F.min("doc_id").alias("least")), "hmh-classes")
+    free(sketched)
     # sets too small to reach the threshold with any other set meet none
     each = _keyed(classes.filter(100 * F.col("n") >= threshold * (F.col("n") + 1)))
     met = each.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
@@ -321,13 +333,14 @@ def near_copies(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFra
         # one hub for each class, the one it shares most bands with: a family becomes one component in linear work
         star = store(_likely(_nearest(candidates, roots, turn), classes, threshold).select("class", "hub"), "hmh-star")
         roots = _merged(roots, _verified(star, members, threshold))
-        candidates = store(_open(candidates.select("key", "class"), roots), "hmh-open")
-    apart = candidates.join(classes.select("class", "n", "registers"), "class").join(members, "class")
-    roots = _merged(roots, store(_tile_links(apart, threshold), "hmh-links"))
+        done, candidates = candidates, store(_open(candidates.select("key", "class"), roots), "hmh-open")
+        free(done)
+    roots = _merged(roots, store(_tile_links(candidates, classes, members, threshold), "hmh-links"))
 
     of_class = classes.select("class", "least").join(roots, "class", "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     of_root = of_class.groupBy("root").agg(F.min("least").alias("component"))
-    known = of_class.join(of_root, "root").select("class", "component")
+    known = store(of_class.join(of_root, "root").select("class", "component"), "hmh-components")
+    free(classes, candidates, members)
     component = F.coalesce("component", "doc_id")
     return rows.join(known, "class", "left").select(
         "doc_id", "row_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
