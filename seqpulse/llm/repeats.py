@@ -7,8 +7,8 @@ window and chunk goes on, however often it occurs. The rows of a key meet in one
 copies. The number of buckets follows the bytes of all texts, so that a bucket's share stays the same. Consecutive windows of one
 key travel as a group: with their hashes, or, where tokens are bytes, as the bytes they span, which are fewer and compress.
 
-Results are ranges of covered window starts by doc_id; the caller applies them to the texts. They are broadcast if their measured size
-is below a bound and joined by a shuffle beyond it.
+Results are ranges of covered window starts by doc_id; the caller applies them to the texts. Both are dealt by doc_id and joined, by one plan at
+every size.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from seqpulse.llm.common import chunks, mix, store
 
 RANGE = np.dtype([("start", "<u4"), ("count", "<u4"), ("check", "<u4")])
-HITS_BYTES = 32 << 20  # ranges of all documents, for a broadcast
 BUCKET_BYTES = 16 << 20  # text for each bucket
 LONGEST = 1 << 15  # windows in a group, whose count has 16 bits
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -415,10 +414,9 @@ def covered_tokens(h: np.ndarray, ranges: list[bytes] | None, width: int) -> np.
 
 def apply_repeats(docs: DataFrame, hits: DataFrame, cut: Callable[[str | None, list[bytes] | None], tuple], added: T.StructType) -> DataFrame:
     """doc_id and what `cut` makes of each text and its ranges."""
-    size = hits.agg(F.sum(F.aggregate("ranges", F.lit(0).cast("long"), lambda a, x: a + F.length(x) + 16))).first()[0] or 0
     kind = dict(docs.dtypes)["doc_id"]
     ranges = hits.select(F.col("doc_id").cast(kind).alias("doc_id"), "ranges")
-    joined = docs.select("doc_id", "text").join(F.broadcast(ranges) if size <= HITS_BYTES else ranges, "doc_id", "left")
+    joined = docs.select("doc_id", "text").join(ranges.hint("merge"), "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in chunks(batches, 4 << 20):
