@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, types as T
 
 from seqpulse.llm.common import mix
-from seqpulse.llm.repeats import Parse, Symbols, apply_repeats, covered_tokens, find_repeats, window_hashes
+from seqpulse.llm.repeats import Parse, Symbols, apply_repeats, covered_tokens, find_repeats
 
 LEVELS = 2
 PREFIX = 24
@@ -28,49 +28,67 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def name_between_minima(s: Symbols) -> Symbols:
+class Powers:
+    """Powers of the base of the hashes and of its inverse, as many as were asked for."""
+
+    def __init__(self):
+        self.power = self.back = np.zeros(0, np.uint64)
+
+    def sums(self, name: np.ndarray) -> np.ndarray:
+        """Prefix sums of which two tell the hash of what is between them."""
+        n = len(name) + 1
+        if len(self.power) < n:
+            one = np.ones(1, np.uint64)
+            with np.errstate(over="ignore"):
+                self.power, self.back = (np.multiply.accumulate(np.concatenate([one, np.full(n, np.uint64(x))])) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+        out = np.zeros(n, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(name * self.power[: n - 1], out=out[1:])
+        return out
+
+    def between(self, sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (sums[b] - sums[a]) * self.back[a]
+
+
+def name_between_minima(s: Symbols, powers: Powers, sums: np.ndarray) -> Symbols:
     """The substrings from one local minimum up to the next, named by a hash of their symbols."""
-    n = len(s.name)
-    if n < 3:
-        return Symbols(s.name[:0], s.row[:0], s.left[:0], s.right[:0])
-    # the next symbol that differs, within the row
-    change = np.ones(n, bool)
-    change[1:] = (s.name[1:] != s.name[:-1]) | (s.row[1:] != s.row[:-1])
-    starts = np.flatnonzero(change)
-    other = np.append(starts[1:], n)[np.cumsum(change) - 1]
-    safe = np.minimum(other, n - 1)
-    rises = (other < n) & (s.row[safe] == s.row) & (s.name[safe] > s.name)
-    falls = np.zeros(n, bool)
-    falls[1:] = (s.row[1:] == s.row[:-1]) & (s.name[1:] < s.name[:-1])
-    m = np.flatnonzero(falls & rises)
+    none = Symbols(s.name[:0], s.row[:0], s.left[:0], s.right[:0])
+    if len(s.name) < 3:
+        return none
+    # runs of equal symbols: a minimum is the start of one that is below both beside it, within the row
+    new = np.ones(len(s.name), bool)
+    new[1:] = (s.name[1:] != s.name[:-1]) | (s.row[1:] != s.row[:-1])
+    runs = np.flatnonzero(new)
+    name, row = s.name[runs], s.row[runs]
+    here, up = row[1:] == row[:-1], name[1:] > name[:-1]
+    k = np.flatnonzero(here[:-1] & here[1:] & ~up[:-1] & up[1:]) + 1
+    m, after = runs[k], runs[k + 1]
     if len(m) < 2:
-        return Symbols(s.name[:0], s.row[:0], s.left[:0], s.right[:0])
-    a, b = m[:-1], m[1:]
-    a, b = a[s.row[a] == s.row[b]], b[s.row[a] == s.row[b]]
+        return none
+    joined = s.row[m[:-1]] == s.row[m[1:]]
+    a, b, after = m[:-1][joined], m[1:][joined], after[1:][joined]
     with np.errstate(over="ignore"):
-        power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(_ODD))]))
-        back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(pow(_ODD, -1, 1 << 64)))]))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(s.name) * power[:-1])])
-        name = mix((sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64))
+        name = mix(powers.between(sums, a, b) + (b - a).astype(np.uint64))
     # a minimum is seen from the symbol before it and the first that differs after it
-    return Symbols(name, s.row[a], s.left[a - 1], np.maximum(s.right[b], s.right[other[b]]))
-
-
-def _with_prefix(s: Symbols, row: np.ndarray, prefix: np.ndarray) -> Symbols:
-    """The sampled suffixes told apart by their first bytes beside their names: common names alone bring much text together."""
-    ok = s.left < len(prefix)
-    ok[ok] = row[s.left[ok] + PREFIX - 1] == s.row[ok]
-    with np.errstate(over="ignore"):
-        name = mix(s.name[ok] + prefix[s.left[ok]])
-    return Symbols(name, s.row[ok], s.left[ok], np.maximum(s.right[ok], s.left[ok] + PREFIX))
+    return Symbols(name, s.row[a], s.left[a - 1], np.maximum(s.right[b], s.right[after]))
 
 
-def induced_levels(h: np.ndarray, row: np.ndarray) -> list[Symbols]:
+def induced_levels(h: np.ndarray, row: np.ndarray, powers: Powers) -> list[Symbols]:
+    """The sampled suffixes of each level, told apart by their first bytes beside their names: common names alone bring much text together."""
     at = np.arange(len(h))
-    s, out, prefix = Symbols(h, row, at, at + 1), [], window_hashes(h, PREFIX)
-    for _ in range(LEVELS):
-        s = name_between_minima(s)
-        out.append(_with_prefix(s, row, prefix))
+    s, out = Symbols(h, row, at, at + 1), []
+    of_bytes = sums = powers.sums(h)
+    for level in range(LEVELS):
+        s = name_between_minima(s, powers, sums)
+        ok = s.left + PREFIX <= len(h)
+        ok[ok] = row[s.left[ok] + PREFIX - 1] == s.row[ok]
+        left = s.left[ok]
+        with np.errstate(over="ignore"):
+            name = mix(s.name[ok] + mix(powers.between(of_bytes, left, left + PREFIX)))
+        out.append(Symbols(name, s.row[ok], left, np.maximum(s.right[ok], left + PREFIX)))
+        if level + 1 < LEVELS:
+            sums = powers.sums(s.name)
     return out
 
 
@@ -78,7 +96,8 @@ def byte_parse(width: int = 50) -> Parse:
     def tokens(texts: list[str | None]) -> list[np.ndarray]:
         return [_BYTES[np.frombuffer(_bytes(t), np.uint8)] for t in texts]
 
-    return Parse(tokens, induced_levels, width, gram=PREFIX, chunk=2 << 20, raw=_bytes, alphabet=_BYTES)
+    powers = Powers()
+    return Parse(tokens, lambda h, row: induced_levels(h, row, powers), width, gram=PREFIX, chunk=2 << 20, raw=_bytes, alphabet=_BYTES)
 
 
 def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:

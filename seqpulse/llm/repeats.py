@@ -20,10 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from seqpulse.llm.common import chunks, mix, store
+from seqpulse.llm.common import chunks, free, mix, store
 
 RANGE = np.dtype([("start", "<u4"), ("count", "<u4"), ("check", "<u4")])
 BUCKET_BYTES = 16 << 20  # text for each bucket
+BLOCK = 1 << 16  # windows that are hashed at once
 LONGEST = 1 << 15  # windows in a group, whose count has 16 bits
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 INF = 1 << 60
@@ -58,6 +59,24 @@ def sliding_max(x: np.ndarray, width: int) -> np.ndarray:
     return np.maximum(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
+def stable_order(x: np.ndarray) -> np.ndarray:
+    """The stable order of 64-bit hashes: sorted as numbers, with the position in their lowest bits; where those bits were needed, by a stable sort."""
+    low = np.uint64((1 << max(len(x) - 1, 1).bit_length()) - 1)
+    order = (np.sort((x & ~low) | np.arange(len(x), dtype=np.uint64)) & low).astype(np.int64)
+    found = x[order]
+    return order if (found[1:] >= found[:-1]).all() else np.argsort(x, kind="stable")
+
+
+def cut_out(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of the windows at these (sorted) starts without the rest: their positions, the piece each one is in, and where each window starts among them."""
+    first = np.concatenate([[True], starts[1:] > starts[:-1] + width])
+    begin, end = starts[first], starts[np.append(np.flatnonzero(first)[1:] - 1, len(starts) - 1)] + width
+    sizes = end - begin
+    before = np.cumsum(sizes) - sizes
+    at = np.arange(sizes.sum()) + np.repeat(begin - before, sizes)
+    return at, np.repeat(np.arange(len(begin)), sizes), starts - (begin - before)[np.cumsum(first) - 1]
+
+
 @dataclass
 class Symbols:
     """A parse of the tokens: names, rows, and for each symbol the tokens [left, right) that determine it."""
@@ -78,8 +97,21 @@ class Parse:
     raw: Callable[[str | None], bytes] | None = None  # where tokens are bytes: these, and the token of each byte value
     alphabet: np.ndarray | None = None
 
+    def _blocks(self, n: int) -> list[slice]:
+        return [slice(a, a + BLOCK + self.width - 1) for a in range(0, max(n - self.width + 1, 0), BLOCK)]
+
     def keys(self, h: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """Key of each window: its symbol of the highest level, of these the one with the largest hashed name."""
+        """Key of each window, block by block: it follows from the window alone, and arrays of a block stay near the core."""
+        ends = self._blocks(len(h))
+        return np.concatenate([np.zeros(0, np.uint64), *[self._keys(h[x], row[x]) for x in ends]])
+
+    def hashes(self, h: np.ndarray) -> np.ndarray:
+        """Hash of each window, by the same blocks."""
+        ends = self._blocks(len(h))
+        return np.concatenate([np.zeros(0, np.uint64), *[window_hashes(h[x], self.width) for x in ends]])
+
+    def _keys(self, h: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Its symbol of the highest level, of these the one with the largest hashed name."""
         n = len(h) - self.width + 1
         best = np.zeros(max(n, 0), np.uint64)
         if n <= 0:
@@ -142,6 +174,8 @@ def _load(table: pa.Table, parse: Parse):
 
 
 def _split(bucket: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    if n_buckets <= 1 << 16:
+        bucket = bucket.astype(np.uint16)  # so short ones are sorted digit by digit
     order = np.argsort(bucket, kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(n_buckets + 1))
 
@@ -152,6 +186,7 @@ def _rows(out: list[tuple[int, int | None, bytes, bytes]]) -> pa.RecordBatch:
 
 
 _EXCHANGE = "bucket int, doc_id long, groups binary, data binary"
+OPEN = np.dtype([("start", "<u4"), ("count", "<u2")])
 _GROUP = np.dtype([("id", "<i8"), ("key", "<u8"), ("at", "<u4"), ("count", "<u2")])
 
 
@@ -173,13 +208,18 @@ def _emit_windows(parse: Parse, n_buckets: int, with_open: bool):
             n = len(h) - parse.width + 1
             if n <= 0:
                 continue
-            key = parse.keys(h, row)
             valid = row[:n] == row[parse.width - 1 :]
             if with_open:
-                valid &= _open_mask(table["open"].to_pylist(), key, row[:n], begin, valid)
+                valid &= _open_windows(table["open"].to_pylist(), begin, n)
             at = np.flatnonzero(valid)
-            key, w, row_of = key[at], window_hashes(h, parse.width)[at], row[at]
-            order = np.argsort(w, kind="stable")  # rows are in order of id, so the first of equals has the smallest
+            if not len(at):
+                continue
+            row_of = row[at]
+            # a key follows from the tokens of its window, so those of the windows that go are all that is parsed
+            tokens, piece, place = cut_out(at, parse.width)
+            own = h[tokens]
+            key, w = parse.keys(own, row[tokens] + piece)[place], parse.hashes(own)[place]
+            order = stable_order(w)  # rows are in order of id, so the first of equals has the smallest
             sw, sr = w[order], row_of[order]
             new = np.concatenate([[True], sw[1:] != sw[:-1]])[: len(sw)]
             first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(sw) else np.zeros(0, int)
@@ -234,10 +274,10 @@ def _stretch(block: bytes) -> bytes:
 
 
 def _spanned_checks(raw: np.ndarray, count: np.ndarray, parse: Parse) -> np.ndarray:
-    """Hashes of the windows of groups that lie in `raw` one after the other, some LONGEST windows at a time or more."""
+    """Hashes of the windows of groups that lie in `raw` one after the other, some a block or LONGEST windows at a time."""
     out, length = [np.zeros(0, np.uint64)], count + parse.width - 1
     ends = np.concatenate([[0], np.cumsum(length)])
-    part = ends[:-1] >> 22
+    part = ends[:-1] // BLOCK
     cuts = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(count))
     for i, j in zip(cuts[:-1], cuts[1:]):
         w = window_hashes(parse.alphabet[raw[ends[i] : ends[j]]], parse.width) >> np.uint64(16)
@@ -276,7 +316,8 @@ def _settle_windows(parse: Parse):
             ids, key = np.repeat(ids, count), np.repeat(key, count)
             with np.errstate(over="ignore"):
                 same = mix(key + check * _ODD)
-            order = np.lexsort((ids, same))
+            by_id = np.argsort(ids, kind="stable")
+            order = by_id[stable_order(same[by_id])]
             sk, sc, si = key[order], check[order], ids[order]
             new = np.ones(len(order), bool)
             new[1:] = (sk[1:] != sk[:-1]) | (sc[1:] != sc[:-1])
@@ -300,74 +341,74 @@ def _emit_keys(parse: Parse, n_buckets: int):
                 continue
             key = parse.keys(h, row)
             at = np.flatnonzero(row[:n] == row[parse.width - 1 :])
+            if not len(at):
+                continue
             key, row_of = key[at], row[at]
             cut = np.ones(len(at), bool)
             cut[1:] = (key[1:] != key[:-1]) | (row_of[1:] != row_of[:-1])
-            at, key, row_of = at[cut], key[cut], row_of[cut]
-            order = np.argsort(key, kind="stable")
+            cut[::LONGEST] = True
+            cut = np.flatnonzero(cut)
+            runs = np.zeros(len(cut), OPEN)
+            at, key, row_of, runs["count"] = at[cut], key[cut], row_of[cut], np.diff(np.append(cut, len(at)))
+            runs["start"] = at - begin[row_of]
+            order = stable_order(key)
             sk, sr = key[order], row_of[order]
             new = np.concatenate([[True], sk[1:] != sk[:-1]])[: len(sk)]
             group = np.cumsum(new) - 1
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(sk)) - 1
-            shared = rank[sr[first]] != rank[sr[last]]
-            in_row = new | np.concatenate([[True], sr[1:] != sr[:-1]])[: len(sk)]
-            out = []
-            here = np.sort(order[shared[group] & in_row])
-            blocks = {}
-            for r, s in zip(row_of[here].tolist(), (at[here] - begin[row_of[here]]).astype("<u4")):
-                blocks.setdefault(r, []).append(s)
-            out += [(int(ids[r]) % n_buckets, int(ids[r]), None, np.array(s, "<u4").tobytes()) for r, s in blocks.items()]
-            # one row per key; whether the chunk has it in several documents is in the lowest bit of the start
-            pick = np.sort(order[new])
+            shared = (rank[sr[first]] != rank[sr[last]])[group]
+            here = np.sort(order[shared])
+            out = [(i % n_buckets, i, None, x) for i, x in zip(*_by_id(ids[row_of[here]], runs[here]))]
+            # one row per key that several documents of the chunk have, and all runs of the others; which it is is in the lowest bit of the start
             flag = np.zeros(len(at), np.int64)
-            flag[order[first]] = shared
-            k, r, s = key[pick], row_of[pick], (at[pick] - begin[row_of[pick]]) * 2 + flag[pick]
+            flag[order[shared & new]] = 1
+            pick = np.sort(order[~shared | new])
+            k, r, s, c = key[pick], row_of[pick], runs["start"][pick].astype(np.int64) * 2 + flag[pick], runs["count"][pick]
             order, edge = _split((mix(k) % np.uint64(n_buckets)).astype(np.int64), n_buckets)
-            k, i, s = mix(k[order]) >> np.uint64(24), ids[r[order]], s[order]
+            k, i, s, c = mix(k[order]) >> np.uint64(24), ids[r[order]], s[order], c[order]
             for b in np.flatnonzero(np.diff(edge)):
                 x = slice(edge[b], edge[b + 1])
-                low = b"".join(y.tobytes() for y in (np.diff(i[x], prepend=0).astype("<i8"), s[x].astype("<u4"), (k[x] >> np.uint64(32)).astype("u1")))
+                low = b"".join(y.tobytes() for y in (np.diff(i[x], prepend=0).astype("<i8"), s[x].astype("<u4"), c[x].astype("<u2"), (k[x] >> np.uint64(32)).astype("u1")))
                 out.append((int(b), None, low, (k[x] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()))
             yield _rows(out)
     return run
 
 
 def _settle_keys(table: pa.Table) -> pa.Table:
-    """The starts, by document, whose key another document has too (40 bits of it: more may be found, never less)."""
-    ids_out, starts_out = _passed(table)
+    """The runs of windows, by document, whose key another document has too (40 bits of it: more may be found, never less)."""
+    ids_out, runs_out = _passed(table)
     blocks = [(g, d) for g, d in zip(table["groups"].to_pylist(), table["data"].to_pylist()) if g is not None]
     if blocks:
         sizes = [len(d) // 4 for _, d in blocks]
         ids = np.concatenate([np.cumsum(np.frombuffer(g, "<i8", n)) for (g, _), n in zip(blocks, sizes)])
         start = np.concatenate([np.frombuffer(g, "<u4", n, 8 * n) for (g, _), n in zip(blocks, sizes)])
-        high = np.concatenate([np.frombuffer(g, "u1", n, 12 * n) for (g, _), n in zip(blocks, sizes)])
+        count = np.concatenate([np.frombuffer(g, "<u2", n, 12 * n) for (g, _), n in zip(blocks, sizes)])
+        high = np.concatenate([np.frombuffer(g, "u1", n, 14 * n) for (g, _), n in zip(blocks, sizes)])
         key = np.frombuffer(b"".join(d for _, d in blocks), "<u4").astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
-        order = np.lexsort((ids, key))
+        order = stable_order(key << np.uint64(24))
         sk, si = key[order], ids[order]
         new = np.concatenate([[True], sk[1:] != sk[:-1]])
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(sk)) - 1
-        many = np.logical_or.reduceat((start[order] & 1).astype(bool), first) | (si[first] != si[last])
+        many = np.logical_or.reduceat((start[order] & 1).astype(bool), first) | (np.minimum.reduceat(si, first) != np.maximum.reduceat(si, first))
         found = order[many[np.cumsum(new) - 1]]
-        found = found[np.lexsort((start[found], ids[found]))]
-        more, more_starts = _by_id(ids[found], (start[found] >> 1).astype("<u4"))
-        ids_out, starts_out = ids_out + more, starts_out + more_starts
-    return pa.table({"doc_id": pa.array(ids_out, pa.int64()), "starts": pa.array(starts_out, pa.binary())})
-
-
-def _open_mask(opened: list, key: np.ndarray, row: np.ndarray, begin: np.ndarray, valid: np.ndarray) -> np.ndarray:
-    """Windows whose key is that of an open start of their row."""
-    starts = [np.frombuffer(b"".join(x), "<u4").astype(np.int64) + begin[i] if x else np.zeros(0, np.int64) for i, x in enumerate(opened)]
-    at = np.concatenate([*starts, np.zeros(0, np.int64)])
-    owner = np.repeat(np.arange(len(starts)), [len(x) for x in starts])
-    ok = (at < len(key)) & (at < begin[owner + 1])
-    at, owner = at[ok], owner[ok]
-    with np.errstate(over="ignore"):
-        have = mix(key + mix(row.astype(np.uint64) + np.uint64(1)))
-        want = np.unique(have[at[row[at] == owner]])
-    place = np.minimum(np.searchsorted(want, have), max(len(want) - 1, 0))
-    return want[place] == have if len(want) else np.zeros(len(key), bool)
+        found = found[np.argsort(ids[found], kind="stable")]
+        runs = np.zeros(len(found), OPEN)
+        runs["start"], runs["count"] = start[found] >> 1, count[found]
+        more, more_runs = _by_id(ids[found], runs)
+        ids_out, runs_out = ids_out + more, runs_out + more_runs
+    return pa.table({"doc_id": pa.array(ids_out, pa.int64()), "starts": pa.array(runs_out, pa.binary())})
+
+
+def _open_windows(opened: list, begin: np.ndarray, n: int) -> np.ndarray:
+    """Which windows lie in an open run of their row."""
+    blocks = [b"".join(x) if x else b"" for x in opened]
+    runs = np.frombuffer(b"".join(blocks), OPEN)
+    owner = np.repeat(np.arange(len(blocks)), [len(x) // OPEN.itemsize for x in blocks])
+    start = np.minimum(runs["start"] + begin[owner], begin[owner + 1])  # rows of one id may differ in text
+    end = np.minimum(start + runs["count"], begin[owner + 1])
+    size = int(begin[-1]) + 1
+    return np.cumsum(np.bincount(start, minlength=size) - np.bincount(end, minlength=size))[:n] > 0
 
 
 def find_repeats(docs: DataFrame, parse: Parse, sparse: bool) -> DataFrame:
@@ -381,11 +422,15 @@ def find_repeats(docs: DataFrame, parse: Parse, sparse: bool) -> DataFrame:
     if sparse:
         keys = rows.mapInArrow(_emit_keys(parse, n_buckets), _EXCHANGE)
         opened = keys.groupBy("bucket").applyInArrow(_settle_keys, "doc_id long, starts binary")
-        opened = opened.groupBy("doc_id").agg(F.collect_list("starts").alias("open"))
-        rows = rows.join(opened, "doc_id")
+        # stored, so that the shuffled keys are gone before the windows are
+        opened = store(opened.groupBy("doc_id").agg(F.collect_list("starts").alias("open")), "repeats-open")
+        rows = rows.join(opened.hint("merge"), "doc_id")
     windows = rows.mapInArrow(_emit_windows(parse, n_buckets, sparse), _EXCHANGE)
     hits = windows.groupBy("bucket").applyInArrow(_settle_windows(parse), "doc_id long, ranges binary")
-    return store(hits.groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges")), "repeats")
+    found = store(hits.groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges")), "repeats")
+    if sparse:
+        free(opened)
+    return found
 
 
 def covered_tokens(h: np.ndarray, ranges: list[bytes] | None, width: int) -> np.ndarray:
@@ -404,7 +449,9 @@ def covered_tokens(h: np.ndarray, ranges: list[bytes] | None, width: int) -> np.
     np.add.at(marks, start, 1)
     np.add.at(marks, start + count, -1)
     begins = np.cumsum(marks[:-1]) > 0
-    begins = np.isin(w, w[begins])
+    in_order = np.sort(w)
+    if (in_order[1:] == in_order[:-1]).any():
+        begins = np.isin(w, w[begins])
     edges = np.zeros(len(h) + 1, np.int64)
     at = np.flatnonzero(begins)
     edges[at] += 1

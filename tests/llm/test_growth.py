@@ -22,3 +22,69 @@ def test_ranges_and_texts_meet_by_one_plan(spark, remove):
     docs = spark.createDataFrame([(i, f"{_text(rng, 20)} {same}") for i in range(6)], "doc_id long, text string")
     plan = remove(docs)._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("remove", [word_dedup.remove_repeats, byte_dedup.remove_repeats])
+def test_texts_that_are_all_shorter_than_a_window(spark, remove):
+    docs = spark.createDataFrame([(i, "a b c d e f g") for i in range(20)], "doc_id long, text string").coalesce(1)
+    assert {r["n_removed"] for r in remove(docs).collect()} == {0}
+
+
+def test_both_texts_of_an_id_lose_a_passage(spark):
+    """The two texts of id 10 have it at different places, and an id of another task has it first."""
+    rng = random.Random(2)
+    same = _text(rng, 60)
+    ten = [(10, f"{_text(rng, 30)} {same}"), (10, f"{_text(rng, 50)} {same}")]
+    docs = spark.createDataFrame([(5, same)], "doc_id long, text string").coalesce(1).union(spark.createDataFrame(ten, "doc_id long, text string").coalesce(1))
+    size = len(same)
+    assert sorted((r["doc_id"], r["n_removed"] >= size) for r in byte_dedup.remove_repeats(docs).collect()) == [(5, False), (10, True), (10, True)]
+
+
+@pytest.mark.parametrize("parse", [word_dedup.word_parse(), byte_dedup.byte_parse()])
+def test_a_key_follows_from_the_window_alone(parse):
+    """So windows that are cut out of their texts get the keys they have there."""
+    from seqpulse.llm import repeats
+
+    rng = random.Random(3)
+    tokens = parse.tokens([_text(rng, rng.randint(0, 400)) + "aaaa " * rng.randint(0, 30) for _ in range(20)])
+    h, row = np.concatenate(tokens), np.repeat(np.arange(20), [len(t) for t in tokens])
+    valid = np.flatnonzero(row[: len(h) - parse.width + 1] == row[parse.width - 1 :])
+    some = valid[np.sort(np.random.default_rng(3).choice(len(valid), len(valid) // 8, replace=False))]
+    at, piece, place = repeats.cut_out(some, parse.width)
+    assert len(at) < len(h)
+    assert (parse.keys(h[at], row[at] + piece)[place] == parse.keys(h, row)[some]).all()
+
+
+def test_stable_order():
+    from seqpulse.llm import repeats
+
+    rng = np.random.default_rng(4)
+    for x in (rng.integers(0, 1 << 64, 3000, np.uint64), rng.integers(0, 50, 3000).astype(np.uint64), rng.integers(0, 50, 3000).astype(np.uint64) << np.uint64(40), np.zeros(0, np.uint64)):
+        assert (repeats.stable_order(x) == np.argsort(x, kind="stable")).all()
+
+
+def test_only_rows_with_a_partner_get_their_sets(spark, monkeypatch):
+    """Rows are passed by registers before they get sets, and links are those of the whole sets."""
+    rng = random.Random(5)
+    base = [_text(rng, 120).split() for _ in range(12)]
+    rows = [(100 * k + j, " ".join(words[:60 + 5 * j])) for k, words in enumerate(base) for j in range(6)]
+    stored = {}
+
+    def kept(df, name):
+        stored[name] = common.store(df, name)
+        return stored[name]
+
+    monkeypatch.setattr(hyperminhash, "store", kept)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = kept(hyperminhash.sketches(docs, 1).withColumn("rep", F.struct("doc_id", "row_key")), "classes")
+    members = hyperminhash._members(docs, classes, classes.select("class"), 1)
+    candidates = kept(hyperminhash._keyed(classes).withColumn("root", F.col("class")), "candidates")
+    links = hyperminhash._tile_links(candidates, classes, members, 80)
+    of = {r["class"]: r["doc_id"] for r in classes.collect()}
+    group = {d: d for d in of.values()}
+    for r in links.collect():
+        p, q = sorted((group[of[r["a"]]], group[of[r["b"]]]))
+        group = {d: p if g == q else g for d, g in group.items()}
+    assert group == {d: c for d, (_, c) in brute.jaccard(rows, 1, 80).items()}
+    left = stored["hmh-possible"]
+    assert not {"members", "registers"} & set(left.columns) and 0 < left.count() < candidates.count()
