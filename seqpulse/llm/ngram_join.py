@@ -5,7 +5,7 @@ r"""N-gram Jaccard join: documents whose sets of word shingles overlap by `thres
    order steers the work, any order gives the same links). Two sets that reach the threshold share one of the first
    n - ceil(t n) + 1 shingles of each, so classes meet by these keys.
 3. Each class belongs to the family of the hub it shares most keys with (the smallest class of a key). All classes of a family are compared in tiles that
-   hold their sets, whose number follows the family's size in classes and shingles. Sizes and bitmaps of 1,024 bits bound the overlap from above; what they
+   hold their sets, whose number follows the family's size in classes and shingles. Sizes and bitmaps of 2,048 bits bound the overlap from above; what they
    leave is decided by an exact intersection of the sorted sets. A tile gives the links of each class as a sum, and of the links themselves only those that join what is
    still apart in it, so that no more rows come out than went in. Sets are fetched only for classes that bitmaps leave a possible partner.
 4. Classes of different families that share a key are compared in tiles by size band (sizes beyond the threshold's ratio never meet) and salt, by sizes
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from seqpulse.llm.common import WordHashes, chunks, connected, count_slots, free, mix, row_key, store, words_of
 
 SKETCH_BITS = 16
-BITMAP_BITS = 1024
+BITMAP_BITS = 2048
 TILE = 1000
 #: Shingles on one side of a family's tile, and rows of key tiles and shingles of family tiles that one task holds at a time, about.
 TILE_SHINGLES = 2_000_000
@@ -137,10 +137,11 @@ def _members(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    bits = np.zeros((len(sets), BITMAP_BITS), bool)
-    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
-    bits[np.repeat(np.arange(len(sets)), [len(x) for x in sets]), (flat >> np.uint64(54)).astype(np.int64)] = True
-    return np.packbits(bits, axis=1).view(np.uint64)
+    """For each slot whether the set has an odd number of members there: two such maps differ in no more slots than the sets in members, however full they are."""
+    slots = (np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(65 - BITMAP_BITS.bit_length())).astype(np.int64)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    odd = np.bincount(row * BITMAP_BITS + slots, minlength=len(sets) * BITMAP_BITS) & 1
+    return np.packbits(odd.astype(bool).reshape(len(sets), BITMAP_BITS), axis=1).view(np.uint64)
 
 
 def _least_both(total: np.ndarray, threshold: int) -> np.ndarray:
@@ -364,7 +365,10 @@ def _family_tiles(members: DataFrame, threshold: int, mode: str) -> DataFrame:
 def _cross_pairs(candidates: DataFrame, families: DataFrame, threshold: int) -> DataFrame:
     """Pairs (hub, class) of classes of different families that share a key and that sizes and bitmaps allow, each once."""
     rooted = candidates.select("key", "class").join(families.select("class", "n", F.col("family").alias("root")), "class")
-    several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
+    # keys that the same classes have find the same pairs: of these the smallest stands for all
+    same = [F.count("*"), F.bit_xor(F.xxhash64("class")), F.bit_xor(F.xxhash64("class", F.lit(1)))]
+    shared = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("class").alias("first"), *[x.alias(f"by_{i}") for i, x in enumerate(same)])
+    several = shared.filter("lo != hi").groupBy("first", *[f"by_{i}" for i in range(len(same))]).agg(F.min("key").alias("key")).select("key")
     apart = store(rooted.join(several, "key", "left_semi"), "shingle-open")
     pairs = store(_tile_pairs(apart, families, threshold), "shingle-pairs")
     free(apart)

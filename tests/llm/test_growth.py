@@ -88,3 +88,32 @@ def test_only_rows_with_a_partner_get_their_sets(spark, monkeypatch):
     assert group == {d: c for d, (_, c) in brute.jaccard(rows, 1, 80).items()}
     left = stored["hmh-possible"]
     assert not {"members", "registers"} & set(left.columns) and 0 < left.count() < candidates.count()
+
+
+def test_keys_of_the_same_classes_find_a_pair_once(spark, monkeypatch):
+    stored = {}
+
+    def kept(df, name):
+        stored[name] = out = common.store(df, name)
+        stored[name, "n"] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "store", kept)
+    candidates = spark.createDataFrame([(k, c, 1) for k in range(50) for c in ((1, 2) if k < 40 else (1, 2, 3))], "key long, class long, hub long")
+    bits = np.zeros(ngram_join.BITMAP_BITS // 8, np.uint8).tobytes()
+    families = spark.createDataFrame([(c, 100, bytearray(bits), f) for c, f in ((1, 1), (2, 9), (3, 1))], "class long, n long, bitmap binary, family long")
+    pairs = ngram_join._cross_pairs(candidates, families, 90)
+    assert sorted((r["hub"], r["class"]) for r in pairs.collect()) == [(1, 2), (2, 3)]
+    assert stored["shingle-open", "n"] == 5
+
+
+def test_bitmaps_of_large_sets_rule_out(spark):
+    """Sets of thousands of members without a common one are told apart; no more slots differ than members."""
+    rng = np.random.default_rng(6)
+    for n in (50, 4000, 8000):
+        pool = np.unique(rng.integers(0, 1 << 64, 2 * n, np.uint64))
+        for shift in (1, n // 20, n // 2, n - 1):
+            a, b = pool[:n], pool[shift : shift + n]
+            differ = int(np.bitwise_count(np.bitwise_xor(*ngram_join._bitmaps([a, b]))).sum())
+            assert differ <= len(np.setxor1d(a, b))
+        assert differ > 2 * n - 2 * ngram_join._least_both(2 * n, 90)
