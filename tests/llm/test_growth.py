@@ -117,3 +117,15 @@ def test_bitmaps_of_large_sets_rule_out(spark):
             differ = int(np.bitwise_count(np.bitwise_xor(*ngram_join._bitmaps([a, b]))).sum())
             assert differ <= len(np.setxor1d(a, b))
         assert differ > 2 * n - 2 * ngram_join._least_both(2 * n, 90)
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    docs = spark.range(9000, numPartitions=1).select(F.repeat(F.lit("x"), 2000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["size"])
+
+    found = [r["size"] for r in common.store(docs.mapInArrow(sizes, "size long"), "sizes").collect()]
+    assert sum(found) > 9000 * 2000 and max(found) < 2 * common.BATCH_BYTES
+    assert spark.conf.get(common.BATCH, None) is None
