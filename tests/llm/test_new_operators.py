@@ -272,6 +272,28 @@ def test_ids_of_any_tokenizer_are_those_of_whole_texts(name, texts, monkeypatch)
     assert encoder.cuts == name.startswith("word")
 
 
+def test_pieces_are_those_of_the_tokenizer(monkeypatch):
+    """Forms of one word share their ids; any character beside, between and after letters, and added tokens, give what whole texts give."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from seqpulse.llm import token_file
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, encoder = Tokenizer.from_file(path), token_file.Encoder(path)
+    encoder.encode_all(["Word, word. WORD! (word) wOrd\nword; words"])
+    assert len(encoder.known) == 8  # two words and six marks
+    chars = [chr(c) for c in range(1, 0x3000)] + ["\ufb01", "\uff21", "\U0001f642", "e\u0301"]
+    odd = [f"a{c}B .{c}{c}'{c}s 1{c} {c}" for c in chars] + ["<|endoftext|>", "a<|startoftext|>b, <|ENDOFTEXT|>", "don't WE'LL i've 's 'S ''s '", "x" * 3000 + ". y", "\n\r\t"]
+    rng = np.random.default_rng(3)
+    odd += ["".join(rng.choice(list("azAZ'sStvremLd09.,-!_<|>  \n\té\u00c9ßŽ«’…Жё\u0301\u00a0\u00b2漢"), 40)) for _ in range(3000)]
+    want = [e.ids for e in plain.encode_batch(odd, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.encode_all(odd)] == want
+    monkeypatch.setattr(encoder, "ends", np.zeros_like(encoder.ends))  # pieces whose ends are not found go to the tokenizer
+    encoder.known.clear()
+    assert [x.tolist() for x in encoder.encode_all(odd)] == want
+
+
 def test_importance_scan_holds_little_text_at_a_time(spark):
     """What a worker holds follows a piece of the texts and not the batch."""
     import tracemalloc
