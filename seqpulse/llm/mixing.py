@@ -32,6 +32,7 @@ from seqpulse.llm.common import WordHashes, chunks, mix, store, words_of
 
 
 OTHER = "__other__"  # the class of all domains without a labelled document
+PIECE = 32 << 20  # bytes of text held at a time, times the domains (32 at least)
 
 
 @dataclass(frozen=True)
@@ -63,7 +64,7 @@ def _word_counts(sample: DataFrame, bits: int) -> dict[str, np.ndarray]:
     """How often each slot occurs in the sampled texts of each domain, which are bounded, so that a domain is one task's work."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, hashes = {}, WordHashes()
-        for table in chunks(batches, 4 << 20):
+        for table in chunks(batches, 1 << 20):
             slots, sizes = _slots(table["text"].to_pylist(), hashes, bits)
             ends = np.cumsum(sizes)
             for d, a, b in zip(table["domain"].to_pylist(), ends - sizes, ends):
@@ -98,15 +99,15 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: str, cfg: Mix) -> Do
     return Domains(names, np.log(weights / weights.sum()), np.log(table / table.sum(axis=0)))
 
 
-def posteriors(docs: DataFrame, domains: Domains, cfg: Mix, keep: list[str]) -> DataFrame:
-    """The kept columns, n_words and posterior (in the order of domains.names)."""
+def posteriors(docs: DataFrame, domains: Domains, cfg: Mix, keep: list[str], steps: list[np.ndarray] | None = None) -> DataFrame:
+    """The kept columns, n_words and posterior (in the order of domains.names); with steps also the rate, so that texts pass one Python worker."""
     if clash := {"posterior", "n_words", "rate"} & set(keep):
         raise ValueError(f"columns {sorted(clash)} are there already")
     shared = docs.sparkSession.sparkContext.broadcast((domains.prior, domains.word))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (prior, word), hashes = shared.value, WordHashes()
-        for table in chunks(batches, (128 << 20) // max(len(prior), 32)):
+        for table in chunks(batches, PIECE // max(len(prior), 32)):
             slots, sizes = _slots(table["text"].to_pylist(), hashes, cfg.bits)
             sums = np.concatenate([np.zeros((1, len(prior))), np.cumsum(word[slots], axis=0)])
             ends = np.cumsum(sizes)
@@ -115,12 +116,13 @@ def posteriors(docs: DataFrame, domains: Domains, cfg: Mix, keep: list[str]) ->
             p /= p.sum(axis=1, keepdims=True)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.reshape(-1)))
             out = table.select(keep).append_column("n_words", pa.array(sizes)).append_column("posterior", lists)
-            yield from out.to_batches()
+            yield from (out if steps is None else out.append_column("rate", pa.array(_rates(p, steps, cfg)))).to_batches()
 
     wanted = docs.select(*dict.fromkeys([*keep, "text"]))
     fields = [f for f in docs.schema.fields if f.name in keep]
     fields = sorted(fields, key=lambda f: keep.index(f.name))
     schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))])
+    schema = schema if steps is None else schema.add("rate", T.DoubleType())
     return wanted.mapInArrow(run, schema)
 
 
@@ -205,14 +207,15 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, domain: str = "lang", cfg:
         if targets is not None:
             raise ValueError(f"targets not reached, gap by domain: {gaps}")
         warnings.warn(f"targets not reached, gap by domain: {gaps}")
-    source = posteriors(docs, domains, cfg, keep) if keep != ["doc_id"] else scored
+    if keep != ["doc_id"]:
+        return posteriors(docs, domains, cfg, keep, steps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = b["posterior"].flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_rates(p, steps, cfg))], [*b.schema.names, "rate"])
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("rate", T.DoubleType())]))
+    return scored.mapInArrow(run, T.StructType([*scored.schema.fields, T.StructField("rate", T.DoubleType())]))
 
 
 def copies(rate, *by):

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seqpulse.llm import byte_dedup, common, hyperminhash, ngram_join, word_dedup
+from seqpulse.llm import byte_dedup, common, hyperminhash, mixing, ngram_join, word_dedup
 from tests.llm import brute
 
 
@@ -129,3 +129,35 @@ def test_batches_of_long_texts_are_bounded(spark):
     found = [r["size"] for r in common.store(docs.mapInArrow(sizes, "size long"), "sizes").collect()]
     assert sum(found) > 9000 * 2000 and max(found) < 2 * common.BATCH_BYTES
     assert spark.conf.get(common.BATCH, None) is None
+
+
+def test_texts_of_a_mix_pass_one_python_worker(spark):
+    """Posteriors and rates of the rows handed on are found by one function; what it holds follows a piece of the texts."""
+    import tracemalloc
+
+    rows = [(i, f"le la des {i} " * 5 if i % 2 else f"the of and {i} " * 5, "fr" if i % 2 else "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")
+    mixed = mixing.mix_documents(docs, labels)
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    rates = {r["doc_id"]: r["rate"] for r in mixing.mixing_rates(docs, labels, keep=["doc_id"]).collect()}
+    assert {r["doc_id"]: pytest.approx(r["rate"]) for r in mixing.mixing_rates(docs, labels).collect()} == rates
+
+    class Frame:
+        schema, sparkSession = docs.schema, spark  # noqa: N815
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    batch = pa.record_batch({"doc_id": pa.array(range(6000)), "text": [" ".join(f"w{i}" for i in range(200))] * 6000})
+    domains = mixing.Domains(["a", "b"], np.log([0.5, 0.5]), np.zeros((1 << 16, 2)))
+    run = mixing.posteriors(Frame(), domains, mixing.Mix(), ["doc_id"])
+    tracemalloc.start()
+    n = sum(b.num_rows for b in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 6000 and peak < 60 << 20
