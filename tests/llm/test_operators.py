@@ -14,7 +14,7 @@ sys.path.insert(0, str(ROOT))
 import corpus_pipeline  # noqa: E402
 from seqpulse.llm import byte_dedup, chat, context_mixing, decontaminate, mixing, ngram_join, quality, token_file, toxicity, word_dedup  # noqa: E402
 from seqpulse.llm import queries as q  # noqa: E402
-from seqpulse.llm.common import WordHashes  # noqa: E402
+from seqpulse.llm.common import WordHashes, words_of  # noqa: E402
 from tests.llm import brute  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -196,6 +196,26 @@ def test_lm_fit_counts_every_occurrence_however_dealt(spark):
     assert tables[:, 0].sum() == code.length[np.frombuffer(b" ".join(streams) + b" ", np.uint8)].sum()
 
 
+def test_lm_counts_equal_bytes_of_equal_contexts_at_once(monkeypatch):
+    """Bits are looked up once for each byte of each context, and count as often as they occur."""
+    symbols, sizes = context_mixing._spaced([b"some words come back " * 500, b"", b"back "])
+    code, asked, slots = context_mixing.Code(context_mixing._symbol_counts(symbols)), [], context_mixing._slots
+    monkeypatch.setattr(context_mixing, "_slots", lambda hashes, owner, salt: asked.append(len(owner)) or slots(hashes, owner, salt))
+    total = np.zeros((len(context_mixing.ORDERS), 2 << context_mixing.BITS), np.uint32)
+    context_mixing._add_bits(total, symbols, sizes, code)
+    assert (total.sum(axis=1) == code.length[symbols].sum()).all()
+    assert sum(asked) < code.length[symbols].sum() / 10
+
+
+def test_lm_streams_are_words_with_single_spaces():
+    texts = ["", None, " \t\n", "One  TWO\x0b\x0cthree\r", "\u00c9t\u00e9\u00a0\x1f x", " a", "b "]
+    want = [b"".join(w + b" " for w in words_of(t, lower=True)) for t in texts]
+    assert context_mixing._streams(texts) == want
+    symbols, _ = context_mixing._spaced(want)
+    tokens = context_mixing._tokens(symbols)
+    assert tokens.to_pylist() == [w + b" " for t in texts for w in [*words_of(t, lower=True), b""]]
+
+
 def test_quality_base_columns(spark, texts):
     got = by_id(q.op4_quality_rules(spark, SF))
     for d, t in texts:
