@@ -8,8 +8,9 @@ r"""N-gram Jaccard join: documents whose sets of word shingles overlap by `thres
    hold their sets, whose number follows the family's size in classes and shingles. Sizes and bitmaps of 2,048 bits bound the overlap from above; what they
    leave is decided by an exact intersection of the sorted sets. A tile gives the links of each class as a sum, and of the links themselves only those that join what is
    still apart in it, so that no more rows come out than went in. Sets are fetched only for classes that bitmaps leave a possible partner.
-4. Classes of different families that share a key are compared in tiles by size band (sizes beyond the threshold's ratio never meet) and salt, by sizes
-   and bitmaps; the pairs that are left are verified on the full sets. Links of two classes of one family are never looked for by keys, so that each link counts once.
+4. Classes of different families that share a key meet by it: those of a key of few classes as plain pairs, those of other keys in tiles by size band (sizes beyond the
+   threshold's ratio never meet) and salt, by sizes and bitmaps. Two sets that reach the threshold share more than one key: all of their overlap but what may lie behind the
+   keys of either. Only pairs with that many common keys whose bitmaps allow it are verified on the full sets. Links of two classes of one family are never looked for by keys, so that each link counts once.
 
 For the components alone (`jaccard_groups`, for drop_near_copies) the tiles of families leave out pairs that are joined already.
 
@@ -33,6 +34,8 @@ from seqpulse.llm.common import WordHashes, chunks, connected, count_slots, free
 SKETCH_BITS = 16
 BITMAP_BITS = 2048
 TILE = 1000
+#: Classes of different families that share a key of at most so many classes are paired without bitmaps.
+FEW = 16
 #: Shingles on one side of a family's tile, and rows of key tiles and shingles of family tiles that one task holds at a time, about.
 TILE_SHINGLES = 2_000_000
 TASK_ROWS = 100_000
@@ -149,6 +152,11 @@ def _least_both(total: np.ndarray, threshold: int) -> np.ndarray:
     return -(-threshold * total // (100 + threshold))
 
 
+def least_shared(total: np.ndarray | int, larger: np.ndarray | int, threshold: int):
+    """The fewest common keys of two linked sets of `total` members together, the larger of `larger`: of the one whose keys end first, least_overlap - 1 members lie behind them."""
+    return _least_both(total, threshold) - least_overlap(larger, threshold) + 1
+
+
 def _linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= threshold * (len(a) + len(b) - both)
@@ -176,7 +184,7 @@ def _star_edges(pairs: DataFrame, members: DataFrame, threshold: int) -> DataFra
 
 
 def _tile_pairs(rows: DataFrame, bitmaps: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (hub, class) of different roots that sizes and bitmaps allow, from stored rows key, class, n, root.
+    """Pairs (hub, class) of different roots that sizes and bitmaps allow, with their common keys in a bucket (shared) and those needed, from rows key, class, n, root, weight.
 
     Rows are dealt to tiles before they get their bitmap, so that only one shuffle carries bitmaps.
     """
@@ -193,17 +201,17 @@ def _tile_pairs(rows: DataFrame, bitmaps: DataFrame, threshold: int) -> DataFram
         F.struct((F.col("band") - 1).alias("low"), F.lit(1).alias("step"), s.alias("s1"), F.col("salt").alias("s2"), F.lit(1).alias("side")))))
     # the group of most keys fits into one tile, with all its bands
     left = salted.withColumn("t", F.explode(F.when(F.col("salts") == 1, whole).otherwise(banded)))
-    tiles = left.select("key", "t.low", "t.step", "t.s1", "t.s2", "t.side", "salt", "class", "n", "root")
+    tiles = left.select("key", "t.low", "t.step", "t.s1", "t.s2", "t.side", "salt", "class", "n", "root", "weight")
 
     def compare(table: pa.Table) -> pa.Table:
         """All tiles of a bucket, one after the other."""
-        key, low, step, s1, s2, side, salt, n, c, root = (table[x].to_numpy() for x in ("key", "low", "step", "s1", "s2", "side", "salt", "n", "class", "root"))
+        key, low, step, s1, s2, side, salt, n, c, root, weight = (table[x].to_numpy() for x in ("key", "low", "step", "s1", "s2", "side", "salt", "n", "class", "root", "weight"))
         bits = np.frombuffer(b"".join(table["bitmap"].to_pylist()), np.uint64).reshape(len(n), -1)
         order = np.lexsort((s2, s1, step, low, key))
         new = np.ones(len(order), bool)
         new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (key, low, step, s1, s2)])
         cut = np.append(np.flatnonzero(new), len(order))
-        found = []
+        found = [np.zeros((0, 4), np.int64)]
         for a, b in zip(cut[:-1], cut[1:]):
             rows = order[a:b]
             if b - a < 2:
@@ -222,15 +230,44 @@ def _tile_pairs(rows: DataFrame, bitmaps: DataFrame, threshold: int) -> DataFram
                 z = y[fits]
                 if len(z):
                     differ = np.bitwise_count(bits[i] ^ bits[z]).sum(axis=1, dtype=np.int64)
-                    found += [(min(c[i], v), max(c[i], v)) for v in c[z[total[fits] - 2 * need[fits] >= differ]]]
-        pairs = np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
-        return pa.table({"hub": pairs[:, 0], "class": pairs[:, 1]})
+                    z = z[total[fits] - 2 * need[fits] >= differ]
+                    needed = least_shared(n[i] + n[z], np.maximum(n[i], n[z]), threshold)
+                    found.append(np.stack([np.minimum(c[i], c[z]), np.maximum(c[i], c[z]), needed, np.full(len(z), weight[i])], axis=1))
+        found = np.concatenate(found)
+        pairs, place = np.unique(found[:, :3], axis=0, return_inverse=True)
+        shared = np.zeros(len(pairs), np.int64)
+        np.add.at(shared, place.reshape(-1), found[:, 3])
+        return pa.table({"hub": pairs[:, 0], "class": pairs[:, 1], "needed": pairs[:, 2], "shared": shared})
 
     # many small tiles share a bucket, so that a call's cost is spread over them
     buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
     placed = tiles.withColumn("bucket", F.pmod(F.xxhash64("key", "low", "step", "s1", "s2"), F.lit(buckets)).cast("int"))
     dealt = placed.join(bitmaps.select("class", "bitmap"), "class")
-    return dealt.groupBy("bucket").applyInArrow(compare, "hub long, class long").distinct()
+    return dealt.groupBy("bucket").applyInArrow(compare, "hub long, class long, needed long, shared long")
+
+
+def _plain_pairs(rows: DataFrame, threshold: int) -> DataFrame:
+    """As _tile_pairs, for keys of few classes and by sizes alone: a row for each pair and key, which is less than bitmaps are."""
+    one, other = rows.select("key", F.col("class").alias("hub"), F.col("n").alias("m"), F.col("root").alias("up"), "weight"), rows.select("key", "class", "n", "root")
+    both = F.expr(f"({threshold} * (m + n) + {99 + threshold}) div {100 + threshold}")
+    met = one.join(other, "key").filter((F.col("hub") < F.col("class")) & (F.col("up") != F.col("root")) & (F.least("m", "n") >= both))
+    least = F.expr(f"({threshold} * greatest(m, n) + 99) div 100")
+    return met.select("hub", "class", (both - least + 1).alias("needed"), F.col("weight").alias("shared"))
+
+
+def _allowed(pairs: DataFrame, bitmaps: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (hub, class) that bitmaps allow."""
+    of = bitmaps.select("class", "n", "bitmap")
+    both = pairs.join(of.toDF("hub", "m", "hub_bitmap"), "hub").join(of, "class").select("hub", "class", (F.col("m") + F.col("n")).alias("total"), "hub_bitmap", "bitmap")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            one, other = (np.frombuffer(b"".join(b[x].to_pylist()), np.uint64).reshape(b.num_rows, -1) for x in ("hub_bitmap", "bitmap"))
+            total = b["total"].to_numpy()
+            fits = total - 2 * _least_both(total, threshold) >= np.bitwise_count(one ^ other).sum(axis=1, dtype=np.int64)
+            yield b.select(["hub", "class"]).filter(pa.array(fits))
+
+    return both.mapInArrow(run, "hub long, class long")
 
 
 def _families(candidates: DataFrame, classes: DataFrame) -> DataFrame:
@@ -363,14 +400,20 @@ def _family_tiles(members: DataFrame, threshold: int, mode: str) -> DataFrame:
 
 
 def _cross_pairs(candidates: DataFrame, families: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (hub, class) of classes of different families that share a key and that sizes and bitmaps allow, each once."""
+    """Pairs (hub, class) of classes of different families that bitmaps allow and that share as many keys as linked sets of their sizes do at least, each once.
+
+    Where bitmaps rule a pair out some of its common keys are not counted, but a linked pair is never ruled out.
+    """
     rooted = candidates.select("key", "class").join(families.select("class", "n", F.col("family").alias("root")), "class")
     # keys that the same classes have find the same pairs: of these the smallest stands for all
     same = [F.count("*"), F.bit_xor(F.xxhash64("class")), F.bit_xor(F.xxhash64("class", F.lit(1)))]
     shared = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("class").alias("first"), *[x.alias(f"by_{i}") for i, x in enumerate(same)])
-    several = shared.filter("lo != hi").groupBy("first", *[f"by_{i}" for i in range(len(same))]).agg(F.min("key").alias("key")).select("key")
-    apart = store(rooted.join(several, "key", "left_semi"), "shingle-open")
-    pairs = store(_tile_pairs(apart, families, threshold), "shingle-pairs")
+    several = shared.filter("lo != hi").groupBy("first", *[f"by_{i}" for i in range(len(same))]).agg(
+        F.min("key").alias("key"), F.count("*").alias("weight")).select("key", "weight", F.col("by_0").alias("c"))
+    apart = store(rooted.join(several, "key"), "shingle-open")
+    met = _plain_pairs(apart.filter(F.col("c") <= FEW), threshold).union(_tile_pairs(apart.filter(F.col("c") > FEW), families, threshold))
+    enough = met.groupBy("hub", "class", "needed").agg(F.sum("shared").alias("shared")).filter("shared >= needed").select("hub", "class")
+    pairs = store(_allowed(enough, families, threshold), "shingle-pairs")
     free(apart)
     return pairs
 

@@ -107,6 +107,53 @@ def test_keys_of_the_same_classes_find_a_pair_once(spark, monkeypatch):
     assert stored["shingle-open", "n"] == 5
 
 
+def test_large_sets_that_share_a_few_keys_are_not_paired(spark):
+    """Their bitmaps allow a link, but linked sets of 6,000 have 535 common keys at least; keys of few classes and of many count alike."""
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 1 << 64, (24, 6000), np.uint64)
+    pool[1, :5500] = pool[0, :5500]
+    bits = [x.tobytes() for x in ngram_join._bitmaps([*pool])]
+    families = spark.createDataFrame([(c, 6000, bytearray(bits[c]), 100 + c) for c in range(24)], "class long, n long, bitmap binary, family long")
+    keys = [(a, b) for a in range(24) for b in range(a)] + [range(24)] * 3 + [(0, 1, 2 + k % 22) for k in range(300)] + [(0, 1)] * 100 + [(0, 1, *range(2 + k % 5, 24)) for k in range(140)]
+    candidates = spark.createDataFrame([(k, c, min(x)) for k, x in enumerate(keys) for c in x], "key long, class long, hub long")
+    assert [(r["hub"], r["class"]) for r in ngram_join._cross_pairs(candidates, families, 80).collect()] == [(0, 1)]
+
+
+def test_linked_sets_share_the_fewest_keys():
+    """However the members are ordered, two sets that reach the threshold share least_shared of their first ones; fewer would leave out links."""
+    rng = np.random.default_rng(9)
+    tight = 0
+    for _ in range(4000):
+        threshold, both = int(rng.choice([50, 80, 90])), int(rng.integers(1, 60))
+        m, n = both + int(rng.integers(0, 8)), both + int(rng.integers(0, 8))
+        if 100 * both < threshold * (m + n - both):
+            continue
+        order = rng.permutation(m + n - both)
+        sets = [np.sort(x) for x in (order[:m], np.concatenate([order[:both], order[m:]]))]
+        shared = len(np.intersect1d(*[x[: len(x) - ngram_join.least_overlap(len(x), threshold) + 1] for x in sets]))
+        least = ngram_join.least_shared(m + n, max(m, n), threshold)
+        assert shared >= least >= 1
+        tight += shared == least
+    assert tight > 20
+
+
+@pytest.mark.parametrize("few", [0, 3, 1000])
+def test_keys_of_few_and_of_many_classes_find_the_same_links(spark, monkeypatch, few):
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    rng = random.Random(10)
+    words = _text(rng, 400).split()
+    rows = []
+    for k in range(90):
+        a = rng.randint(0, 300)
+        rows.append((k, " ".join(w if rng.random() > 0.02 else "other" for w in words[a : a + rng.randint(3, 90)])))
+    pairs, found = ngram_join.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string"), 2, 70)
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert {d: (r["n_shingles"], r["component_id"]) for d, r in got.items()} == brute.jaccard(rows, 2, 70)
+    sets = {d: set(zip(x.split(), x.split()[1:])) for d, x in rows}
+    linked = {(min(got[a]["class"], got[b]["class"]), max(got[a]["class"], got[b]["class"])) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 70 * len(sets[a] | sets[b]) and got[a]["class"] != got[b]["class"]}
+    assert linked and sorted((r["a"], r["b"]) for r in pairs.collect()) == sorted(linked)
+
+
 def test_bitmaps_of_large_sets_rule_out(spark):
     """Sets of thousands of members without a common one are told apart; no more slots differ than members."""
     rng = np.random.default_rng(6)
